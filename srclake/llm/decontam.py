@@ -15,7 +15,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,23 +117,11 @@ class Block:
         return good
 
 
-def _blocks(batches, at: int):
-    """Slices of each batch with about _BLOCK_BYTES of text."""
-    for batch in batches:
-        texts = batch.column(at)
-        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        step = 0
-        while step < len(sizes):
-            n = max(1, int(np.searchsorted(np.cumsum(sizes[step:]), _BLOCK_BYTES)))
-            yield batch.slice(step, n)
-            step += n
-
-
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each block of documents, with the postings of all its terms."""
 
     def build(batches):
-        for part in _blocks(batches, 1):
+        for part in wordhash.slices(batches, 1, _BLOCK_BYTES):
             block = Block.of(part.column(1)).pack()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in block)], names=["doc_ids", "starts", "lengths", "terms", "ends", "gaps"]
@@ -279,7 +266,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     at = [c.lower() for c in docs.columns].index("text")
 
     def keep(batches):
-        for part in _blocks(batches, at):
+        for part in wordhash.slices(batches, at, _BLOCK_BYTES):
             hit, _ = _hits(Block.of(part.column(at)), Phrases(phrases))
             yield part.filter(pa.array(hit == 0))
 

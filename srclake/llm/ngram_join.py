@@ -43,7 +43,7 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(_BUCKETS, dtype=np.int64)
-        for batch in batches:
+        for batch in wordhash.slices(batches, 0):
             found = list(_sets(batch.column(0), n))
             if found:
                 total += np.bincount((np.concatenate(found) & np.uint64(_BUCKETS - 1)).astype(np.int64), minlength=_BUCKETS)
@@ -73,7 +73,7 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     levels = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n))
 
     def sign(batches):
-        for batch in batches:
+        for batch in wordhash.slices(batches, 1):
             size, cid, gid, prefix = [], [], [], []
             for s in _sets(batch.column(1), n):
                 size.append(len(s))
@@ -224,7 +224,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     wanted = members.join(placed.select("gid").distinct(), "gid", "left_semi").select("rep").distinct()
 
     def reread(batches):
-        for batch in batches:
+        for batch in wordhash.slices(batches, 0):
             found = [s for s in _sets(batch.column(0), n) if len(s)]
             yield pa.RecordBatch.from_pydict({"cid": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()), "shingles": pa.array([s.tobytes() for s in found], pa.binary())})
 
@@ -280,7 +280,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     at = [c.lower() for c in names].index("text")
 
     def tag(batches):
-        for batch in batches:
+        for batch in wordhash.slices(batches, at):
             ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in _sets(batch.column(at), n)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, key])
 

@@ -14,18 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import wordhash
 from .common import materialize
 
-_ROWS = 512  # texts tokenised at once
-_CACHE_IDS = 8 << 20  # ids kept for known words; a full cache starts afresh
-_SPACE = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+_SLOTS = 1 << 22  # places for known words, at most half of them used; a full table starts afresh
 
 
 class WordTokenizer:
-    """Ids of a tokenizer whose pieces never cross ASCII white space.
+    """Ids of a tokenizer whose pieces cross neither ASCII white space nor the border of letters and punctuation.
 
-    Texts are split at white space and each distinct chunk is encoded once, by
-    the tokenizer itself; a text's ids are those of its chunks in order.
+    A batch is cut into such words by vectorised 64-bit hashing. An
+    open-addressing table has the words seen before; each new one is encoded
+    once, by the tokenizer itself, and a text's ids are those of its words in
+    order.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -36,39 +37,77 @@ class WordTokenizer:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {"": 0, " ": 1}
-        self.pool = np.array([self.end_id], dtype="<u4")
-        self.start, self.size = np.array([0, 0]), np.array([0, 1])  # no ids; the closing id
-
-    def learn(self, chunks: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in encoded], dtype=np.int64)
-        for i, x in enumerate(chunks, len(self.start)):
-            self.known[x] = i
-        self.start = np.append(self.start, len(self.pool) + np.cumsum(sizes) - sizes)
-        self.size = np.append(self.size, sizes)
-        self.pool = np.append(self.pool, np.array([i for x in encoded for i in x], dtype="<u4"))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.keys, self.value = np.zeros(_SLOTS, dtype=np.uint64), np.zeros(_SLOTS, dtype=np.int32)
+        self.words, self.ids = 1, 1  # the first word is the closing id
+        self.start, self.size, self.pool = np.zeros(1 << 16, np.int32), np.ones(1 << 16, np.int32), np.full(1 << 18, self.end_id, "<u4")
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 if unknown."""
+        slot = (h & np.uint64(_SLOTS - 1)).astype(np.int64)
+        key = self.keys[slot]
+        out = np.where(key == h, self.value[slot], np.int32(-1))
+        left = np.flatnonzero((key != h) & (key != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (_SLOTS - 1)
+            key = self.keys[slot[left]]
+            same = key == h[left]
+            out[left[same]] = self.value[slot[left[same]]]
+            left = left[~same & (key != 0)]
+        return out
+
+    def _learn(self, h: np.ndarray, words: list[str]) -> None:
+        n = len(h)
+        if self.words + n > _SLOTS // 2:
+            raise OverflowError
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        encoded = [e.ids for e in encode(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, encoded), dtype=np.int64, count=n)
+        flat = np.fromiter((i for x in encoded for i in x), dtype="<u4", count=int(size.sum()))
+        while len(self.start) < self.words + n:
+            self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        while len(self.pool) < self.ids + len(flat):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.ids : self.ids + len(flat)] = flat
+        self.start[self.words : self.words + n] = self.ids + np.cumsum(size) - size
+        self.size[self.words : self.words + n] = size
+        value = np.arange(self.words, self.words + n, dtype=np.int32)
+        self.words, self.ids = self.words + n, self.ids + len(flat)
+        slot = (h & np.uint64(_SLOTS - 1)).astype(np.int64)
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]  # of several for one place the last stays
+            won = self.keys[slot] == h
+            self.value[slot[won]] = value[won]
+            h, value, slot = h[~won], value[~won], (slot[~won] + 1) & (_SLOTS - 1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text closed by the end id, and where each text begins (length n + 1)."""
-        if len(self.pool) > _CACHE_IDS:
-            self.reset()
-        chunks = []
-        ends = []
-        for t in texts:
-            if t:
-                chunks += t.translate(_SPACE).split(" ")
-            chunks.append(" ")
-            ends.append(len(chunks))
-        index = list(map(self.known.get, chunks))
-        if None in index:
-            self.learn(list(dict.fromkeys(c for c, i in zip(chunks, index) if i is None)))
-            index = list(map(self.known.get, chunks))
-        index = np.array(index)
-        size = self.size[index]
+        h, at, start, stop, raw = wordhash.parts(texts, wordhash.SPACE_TABLE)
+        index = self._find(h)
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            unknown, first = np.unique(h[new], return_index=True)
+            first = new[first]
+            data = raw.tobytes()
+            words = [data[a:b].decode() for a, b in zip(start[first].tolist(), stop[first].tolist())]
+            try:
+                self._learn(unknown, words)
+            except OverflowError:  # start afresh; a single text with more words than the table has none to share
+                if self.words == 1:
+                    return self._plainly(texts)
+                self.reset()
+                return self.encode(texts) if len(h) <= _SLOTS // 2 else self._plainly(texts)
+            index[new] = self._find(h[new])
+        ends = np.arange(1, len(at)) + at[1:]  # after each text's words comes the closing id
+        full = np.insert(index, at[1:], 0)
+        size = self.size[full].astype(np.int64)
         total = np.cumsum(size)
-        ids = self.pool[np.repeat(self.start[index] - total + size, size) + np.arange(total[-1] if len(total) else 0)]
-        return ids, np.concatenate([[0], total[np.array(ends, dtype=np.int64) - 1]]) if ends else np.zeros(1, np.int64)
+        ids = self.pool[np.repeat(self.start[full] - total + size, size) + np.arange(total[-1] if len(total) else 0)]
+        return ids, np.concatenate([[0], total[ends - 1]])
+
+    def _plainly(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [[*self.tokenizer.encode(t or "", add_special_tokens=False).ids, self.end_id] for t in texts.to_pylist()]
+        return np.array([i for x in ids for i in x], dtype="<u4"), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
 
 
 _TOKENIZERS: dict[tuple, WordTokenizer] = {}
@@ -112,17 +151,15 @@ def pieces(docs: DataFrame, path: str, length: int, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         t, row = tokenizer(path, end_id), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                ids, begins = t.encode(part.column(1).to_pylist())
-                out = []
-                for doc, a, b in zip(part.column(0).to_pylist(), begins[:-1].tolist(), begins[1:].tolist()):
-                    for s in range(a, b, length):
-                        e = min(s + length, b)
-                        row += 1
-                        out.append((doc, s - a, e - s, zlib.crc32(ids[s:e]), b - a, row))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+        for part in wordhash.slices(batches, 1):
+            ids, begins = t.encode(part.column(1))
+            out = []
+            for doc, a, b in zip(part.column(0).to_pylist(), begins[:-1].tolist(), begins[1:].tolist()):
+                for s in range(a, b, length):
+                    e = min(s + length, b)
+                    row += 1
+                    out.append((doc, s - a, e - s, zlib.crc32(ids[s:e]), b - a, row))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long")
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _PIECE = 1 << 20  # bytes hashed at once; bounds memory, not the text
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -20,6 +21,18 @@ _VALUES = _RNG.integers(1, 2**63 - 1, size=256, dtype=np.uint64) * np.uint64(2)
 _POW: dict[str, np.ndarray] = {}
 
 
+def slices(batches, at: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Every row of the batches, in slices with about ``size`` bytes in text column ``at`` (more for a longer text)."""
+    for batch in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        step = 0
+        while step < len(total):
+            done = total[step - 1] if step else 0
+            n = max(1, int(np.searchsorted(total[step:], done + size)))
+            yield batch.slice(step, n)
+            step += n
+
+
 def table(separators: bytes | set[int]) -> np.ndarray:
     """256 hash values by byte: 0 for separators, A-Z as a-z."""
     t = _VALUES.copy()
@@ -83,32 +96,48 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray, t: np.ndarray) -> Iterator[tup
         at = to
 
 
-def words(texts: pa.Array, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each text where its words begin (length n + 1)."""
-    raw, offsets = _buffers(texts)
-    hashes, begins = [], []
+#: Classes by byte: 1 letters, 2 punctuation between which and a letter no token reaches, 0 the rest.
+_KINDS = np.zeros(256, dtype=np.uint8)
+_KINDS[[*range(65, 91), *range(97, 123)]] = 1
+_KINDS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "'<|>"]] = 2
+
+
+def _spans(raw: np.ndarray, offsets: np.ndarray, t: np.ndarray, parts: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of every word; with ``parts``, words also end where _KINDS goes from 1 to 2 or back."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for a, b in _pieces(raw, offsets, t):
         v = t[raw[a:b]]
         word = v != 0
         edge = np.zeros(b - a + 1, dtype=bool)
         edge[0] = edge[-1] = True
-        inner = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, side="right")] - a
-        edge[inner] = True
-        before, after = np.empty_like(word), np.empty_like(word)
-        before[0], before[1:] = False, word[:-1]
-        after[-1], after[:-1] = False, word[1:]
-        start = np.flatnonzero(word & (~before | edge[:-1]))
-        stop = np.flatnonzero(word & (~after | edge[1:])) + 1
+        edge[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, side="right")] - a] = True
+        if parts:
+            k = _KINDS[raw[a:b]]
+            edge[1:-1] |= k[:-1] + k[1:] == 3
+        edge[1:-1] |= word[:-1] != word[1:]
+        start = np.flatnonzero(word & edge[:-1])
         if not len(start):
             continue
+        stop = np.flatnonzero(word & edge[1:]) + 1
         up, down = _powers(b - a + 1)
         sums = np.zeros(b - a + 1, dtype=np.uint64)
         np.cumsum(v * up[: b - a], out=sums[1:])
-        hashes.append(mix((sums[stop] - sums[start]) * down[start]))
-        begins.append(start + a)
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), offsets)
+        found.append((mix((sums[stop] - sums[start]) * down[start]), start + a, stop + a))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def words(texts: pa.Array, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and for each text where its words begin (length n + 1)."""
+    raw, offsets = _buffers(texts)
+    hashes, start, _ = _spans(raw, offsets, t, False)
+    return hashes, np.searchsorted(start, offsets)
+
+
+def parts(texts: pa.Array, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``words``, with letters and punctuation apart: hashes, begins, first bytes, ends, and the bytes."""
+    raw, offsets = _buffers(texts)
+    hashes, start, stop = _spans(raw, offsets, t, True)
+    return hashes, np.searchsorted(start, offsets), start, stop, raw
 
 
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
