@@ -149,3 +149,28 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     for j in range(k):
         total = total * np.uint64(0xD6E8FEB86659FD93) + h[j : len(h) - k + 1 + j]
     return mix(total + np.uint64(k))
+
+
+def grams(texts: pa.Array, t: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, hash) of every word, then of every word's first k bytes for each k, piece by piece."""
+    raw, offsets = _buffers(texts)
+    for a, b in _pieces(raw, offsets, t):
+        v = t[raw[a:b]]
+        word = v != 0
+        edge = np.zeros(b - a + 1, dtype=bool)
+        edge[0] = edge[-1] = True
+        edge[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, side="right")] - a] = True
+        edge[1:-1] |= word[:-1] != word[1:]
+        start = np.flatnonzero(word & edge[:-1])
+        if not len(start):
+            continue
+        stop = np.flatnonzero(word & edge[1:]) + 1
+        doc = np.searchsorted(offsets, start + a, side="right") - 1
+        up, down = _powers(b - a + 1)
+        sums = np.zeros(b - a + 1, dtype=np.uint64)
+        np.cumsum(v * up[: b - a], out=sums[1:])
+        yield doc, mix((sums[stop] - sums[start]) * down[start])
+        for k in sizes:
+            keep = stop - start > k
+            s = start[keep]
+            yield doc[keep], mix((sums[s + k] - sums[s]) * down[s] + np.uint64(k))
