@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, ngram_join, packing
+from . import decontam, html_extract, ngram_join, nn_descent, packing, pii, secrets, sharding, toxicity, warc
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -20,22 +20,62 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.kd_shards(_read(spark, sf_dir, "documents"), 40)
+
+
+def op2_wrapper_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_read(spark, sf_dir, "documents"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.deduplicated_archives(_read(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {
-    "op4_ngram_jaccard": op4_ngram_jaccard,
-    "op6_decontaminate": op6_decontaminate,
-    "op9_pack": op9_pack,
-}
+def op10_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_read(spark, sf_dir, "documents"), pii_key(spark))
+
 
-ORACLE_SQL: dict[str, str] = {}
+def pii_key(spark: SparkSession) -> bytes:
+    """The key of pseudonyms, from the session; the default is for tests only."""
+    return spark.conf.get("srclake.pii.key", "not a secret: set srclake.pii.key").encode()
+
+
+QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_wrapper_extract, op3_secrets, op4_ngram_jaccard, op5_warc_revisits, op6_decontaminate, op7_nn_descent, op8_toxicity, op9_pack, op10_pii_feistel)}
+
+ORACLE_SQL = {
+    "op5_warc_revisits": """
+        with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+        h as (select page_id, cast(octet_length(body) as bigint) as payload_bytes, sha256(body) as payload_digest from p),
+        f as (select *, min(page_id) over (partition by payload_digest) as first_id from h)
+        select page_id, payload_bytes, payload_digest,
+               case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
+        from f
+    """,
+}
