@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -39,12 +40,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     This cuts lineage durably: a lost executor costs a re-read, not a
     recomputation, and a frame used twice is computed once.
     """
+    return materialize_at(df, scratch_path(df.sparkSession, name))
+
+
+def materialize_at(df: DataFrame, path: str) -> DataFrame:
+    """As ``materialize``, at a path that can be dropped later."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now, not when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a written intermediate that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import wordhash
-from .common import free_name, materialize
+from .common import drop_path, free_name, materialize, materialize_at, release, scratch_path
 from .components import components
 
 _BUCKETS = 1 << 20
 _CHUNKS = 64
 _NODE = 16  # classes of one group in a node
-_BLOCK = 48  # classes in a block of a family
+_BITS = 1 << 25
+_COLUMNS = 1 << 13
+_BLOCK = 512  # classes in a block of a family
 
 
 def _sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -38,6 +40,17 @@ def _sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
         yield np.unique(wordhash.shingles(h[a:b], n))
 
 
+def _narrow(s: np.ndarray) -> bytes:
+    """The upper 6 bytes of each hash: within one pair of sets as good as 8, and a quarter less to move."""
+    return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _wide(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), dtype=np.uint8)
+    out[:, 2:] = np.frombuffer(b, dtype=np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     """Frequency levels by bucket of the shingle hash: fixed 1 MB whatever the input."""
 
@@ -94,11 +107,11 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
 def _group_pairs(signed: DataFrame, percent: int) -> DataFrame:
     """(g, h), g < h: groups whose prefixes meet and whose sizes and positions allow the similarity."""
     groups = signed.where("gid is not null").groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posting = groups.select("gid", "n", "prefix", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", "n", "pos", F.expr("try_element_at(prefix, if(pos = 0, null, pos))").alias("prev"))
+    posting = groups.select("gid", "n", "prefix", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", F.col("n").cast("int").alias("n"), "pos", F.expr("try_element_at(prefix, if(pos = 0, null, pos))").alias("prev"))
     left, right = posting.alias("a"), posting.alias("b")
-    shared = f"(least(a.pos, b.pos) + 1 + least(a.n - a.pos, b.n - b.pos) - 1) * {100 + percent} >= {percent} * (a.n + b.n)"
+    shared = f"(least(a.pos, b.pos) + 1 + least(a.n - a.pos, b.n - b.pos) - 1) * {100 + percent}L >= {percent}L * (a.n + b.n)"
     return (
-        left.join(right, F.expr(f"a.token = b.token and a.gid < b.gid and a.n * 100 >= {percent} * b.n and b.n * 100 >= {percent} * a.n and {shared} and not (a.prev <=> b.prev and a.prev is not null)"))
+        left.join(right, F.expr(f"a.token = b.token and a.gid < b.gid and a.n * 100L >= {percent} * b.n and b.n * 100L >= {percent} * a.n and {shared} and not (a.prev <=> b.prev and a.prev is not null)"))
         .select(F.col("a.gid").alias("g"), F.col("b.gid").alias("h"))
         .distinct()
     )
@@ -109,13 +122,14 @@ def _verify(percent: int):
 
     def unit(rows: list[tuple]) -> tuple[list, list]:
         nodes: dict[tuple, list[int]] = {}
-        cids, sizes, sets, pairs = [], [], [], []
+        cids, sizes, sets, pairs, seen = [], [], [], [], set()
         for gid, k, gid2, k2, cid, size, s in rows:
             if cid is None:
                 pairs.append(((gid, k), (gid2, k2)))
-            else:
+            elif cid not in seen:  # rows that repeat an id bring a set twice
+                seen.add(cid)
                 nodes.setdefault((gid, k), []).append(len(cids))
-                cids.append(cid), sizes.append(size), sets.append(np.frombuffer(s, dtype=np.uint64))
+                cids.append(cid), sizes.append(size), sets.append(_wide(s))
         lens = np.array([len(s) for s in sets], dtype=np.int64)
         m = len(sets)
         gram = None
@@ -124,9 +138,9 @@ def _verify(percent: int):
             wide = int(ids.max()) + 1
             row = np.repeat(np.arange(m), lens)
             gram = np.zeros((m, m), dtype=np.int64)
-            for lo in range(0, wide, 1 << 16):  # columns in slices: memory does not grow with the texts
-                inside = (ids >= lo) & (ids < lo + (1 << 16))
-                dense = np.zeros((m, min(wide - lo, 1 << 16)), dtype=np.float32)
+            for lo in range(0, wide, _COLUMNS):  # columns in slices: memory does not grow with the texts
+                inside = (ids >= lo) & (ids < lo + _COLUMNS)
+                dense = np.zeros((m, min(wide - lo, _COLUMNS)), dtype=np.float32)
                 dense[row[inside], ids[inside] - lo] = 1
                 gram += (dense @ dense.T).astype(np.int64)
         adds, parent, forest = np.zeros(m, dtype=np.int64), list(range(m)), []
@@ -191,24 +205,29 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     reachable). Links are complete and
     verified; shingles are compared by 64-bit hashes.
     """
-    full = materialize(signatures(docs, n, percent), "signed")
-    signed = full.select("doc_id", "n", "cid")
+    spark = docs.sparkSession
+    path = scratch_path(spark, "prefixes")
+    full = materialize_at(signatures(docs, n, percent), path)
+    release(spark)
+    signed = materialize(full.select("doc_id", "n", "cid"), "signed")
     classes = materialize(full.where("cid is not null").groupBy("cid").agg(F.count("*").alias("size"), F.min("doc_id").alias("rep"), F.first("gid").alias("gid")), "classes")
     groups = classes.groupBy("gid").agg(F.count("*").alias("m")).withColumn("nk", F.expr(f"cast(ceil(m / {_NODE}) as int)"))
     between = materialize(_group_pairs(full, percent), "pairs")
+    drop_path(spark, path)
+    release(spark)
 
     # families: a pair belongs to the smaller leader of its two groups
     around = between.union(between.select("h", "g"))
-    leader = around.groupBy("g").agg(F.least(F.first("g"), F.min("h")).alias("l"))
-    led = between.join(leader, "g").withColumnRenamed("l", "l1").join(leader.withColumnRenamed("g", "h"), "h").select("g", "h", F.least("l1", "l").alias("f"))
-    within = groups.where("m > 1").join(leader, groups.gid == leader.g, "left").select(F.col("gid").alias("g"), F.col("gid").alias("h"), F.coalesce("l", "gid").alias("f"))
+    leader = around.groupBy("g").agg(F.min("h").alias("l"))
+    group = materialize(groups.join(leader, groups.gid == leader.g, "left").select(F.col("gid").alias("g"), "m", "nk", F.least("gid", "l").alias("l")), "groups")
+    first, second = group.select("g", F.col("nk").alias("n1"), F.col("l").alias("l1")), group.select(F.col("g").alias("h"), F.col("nk").alias("n2"), F.col("l").alias("l2"))
+    led = between.join(first, "g").join(second, "h").select(F.least("l1", "l2").alias("f"), "g", "n1", "h", "n2")
+    within = group.where("m > 1").select(F.col("l").alias("f"), "g", F.col("nk").alias("n1"), F.col("g").alias("h"), F.col("nk").alias("n2"))
     led = materialize(led.union(within), "families")
-    sizes = led.select("f", "g").union(led.select("f", "h")).distinct().join(groups.select(F.col("gid").alias("g"), "m"), "g").groupBy("f").agg(F.sum("m").alias("total"))
-    many = groups.select("gid", "nk")
+    release(spark)
+    sizes = led.select("f", "g").union(led.select("f", "h")).distinct().join(group.select("g", "m"), "g").groupBy("f").agg(F.sum("m").alias("total"))
     pairs = (
         led.join(sizes, "f")
-        .join(many.select(F.col("gid").alias("g"), F.col("nk").alias("n1")), "g")
-        .join(many.select(F.col("gid").alias("h"), F.col("nk").alias("n2")), "h")
         .withColumn("k1", F.explode(F.expr("sequence(0, n1 - 1)")))
         .withColumn("k2", F.explode(F.expr("sequence(0, n2 - 1)")))
         .where("g <> h or k1 <= k2")
@@ -218,19 +237,28 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
         .select("f", F.least("c1", "c2").alias("b1"), F.greatest("c1", "c2").alias("b2"), "g", "k1", "h", "k2")
     )
     pairs = materialize(pairs, "units")
+    release(spark)
 
     members = classes.join(groups, "gid").withColumn("k", F.expr("cast(pmod(xxhash64(cid), nk) as int)")).select("gid", "k", "cid", "size", "rep")
     placed = pairs.select("f", "b1", "b2", F.col("g").alias("gid"), F.col("k1").alias("k")).union(pairs.select("f", "b1", "b2", "h", "k2")).distinct()
-    wanted = members.join(placed.select("gid").distinct(), "gid", "left_semi").select("rep").distinct()
+    # a fixed-size bitmap of the wanted representatives spares most texts; a false hit falls out in the join
+    slot = F.expr(f"pmod(xxhash64(rep), {_BITS})")
+    wanted = members.join(placed.select("gid").distinct(), "gid", "left_semi").where("rep is not null").select((slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {_BITS}) % 64 as int))").alias("bit"))
+    words = wanted.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(_BITS // 64, dtype=np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(bitmap.view(np.uint64))
 
     def reread(batches):
-        for batch in wordhash.slices(batches, 0):
-            found = [s for s in _sets(batch.column(0), n) if len(s)]
-            yield pa.RecordBatch.from_pydict({"cid": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()), "shingles": pa.array([s.tobytes() for s in found], pa.binary())})
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = source.join(wanted, source.doc_id.eqNullSafe(wanted.rep), "left_semi").select("text").mapInArrow(reread, "cid binary, shingles binary")
-    sets = sets.groupBy("cid").agg(F.first("shingles").alias("shingles"))
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            hit = (shared.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
+            for part in wordhash.slices([batch.filter(pa.array(hit | batch.column(2).to_numpy(zero_copy_only=False)))], 1):
+                found = [s for s in _sets(part.column(1), n) if len(s)]
+                yield pa.RecordBatch.from_pydict({"cid": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()), "shingles": pa.array([_narrow(s) for s in found], pa.binary())})
+
+    source = docs.select(F.expr(f"pmod(xxhash64(cast(doc_id as bigint)), {_BITS})").alias("slot"), "text", F.col("doc_id").isNull().alias("nameless"))
+    sets = source.mapInArrow(reread, "cid binary, shingles binary")
     full_members = placed.join(members, ["gid", "k"]).join(sets, "cid")
     none = F.lit(None)
     rows = full_members.select("f", "b1", "b2", "gid", "k", none.cast("long").alias("h"), none.cast("int").alias("k2"), "cid", "size", "shingles").union(
@@ -238,6 +266,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     )
     found = rows.repartition("f", "b1", "b2").sortWithinPartitions("f", "b1", "b2").mapInArrow(_verify(percent), "a binary, b binary, add long")
     found = materialize(found, "links")
+    release(spark)
 
     direct = found.where("b is null").groupBy("a").agg(F.sum("add").alias("links")).withColumnRenamed("a", "cid")
     roots = components(found.where("b is not null")).withColumnRenamed("node", "cid")
