@@ -1,0 +1 @@
+SECRET_NAME = "x"

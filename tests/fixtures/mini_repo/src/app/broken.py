@@ -1,0 +1,4 @@
+def ok(x):
+    return (
+
+class Half:

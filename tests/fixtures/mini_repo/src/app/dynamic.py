@@ -1,0 +1,8 @@
+import importlib
+
+
+def go(obj, name, table):
+    getattr(obj, name)()
+    table[name]()
+    eval(name)
+    importlib.import_module(name)

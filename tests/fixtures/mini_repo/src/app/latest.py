@@ -1,0 +1 @@
+LIMIT = 5

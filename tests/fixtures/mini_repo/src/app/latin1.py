@@ -1,0 +1,2 @@
+# caf�
+NAME = 1

@@ -1,0 +1,14 @@
+from pydantic import BaseModel
+from sqlalchemy.orm import DeclarativeBase
+
+
+class Base(DeclarativeBase):
+    pass
+
+
+class User(Base):
+    __tablename__ = "users"
+
+
+class UserIn(BaseModel):
+    name: str

@@ -1,0 +1,2 @@
+def alone():
+    return 1

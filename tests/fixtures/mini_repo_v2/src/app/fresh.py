@@ -1,0 +1 @@
+X = 1
