@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import wordhash
 from .common import materialize
 
-_SLOTS = 1 << 22  # places for known words, at most half of them used; a full table starts afresh
+_SLOTS = 1 << 21  # places for known words, at most half of them used; a full table starts afresh
 
 
 class WordTokenizer:

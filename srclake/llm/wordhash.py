@@ -14,14 +14,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_PIECE = 1 << 20  # bytes hashed at once; bounds memory, not the text
+_PIECE = 1 << 19  # bytes hashed at once; bounds memory, not the text
 _BASE = 0x9E3779B97F4A7C15 | 1
 _RNG = np.random.default_rng(20240607)
 _VALUES = _RNG.integers(1, 2**63 - 1, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POW: dict[str, np.ndarray] = {}
 
 
-def slices(batches, at: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches, at: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Every row of the batches, in slices with about ``size`` bytes in text column ``at`` (more for a longer text)."""
     for batch in batches:
         total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
