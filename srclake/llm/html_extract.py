@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_SALTS = 64
 BATCH = 32  # pages aligned with one pivot
 LEAST_PAGES = 4  # a node must recur on so many pages to be template
 
@@ -195,6 +196,12 @@ def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
+def _by_host(many: DataFrame, few: DataFrame, spread, how: str) -> DataFrame:
+    """Join a row per host to the rows of hosts, with each host cut into _SALTS parts so a hot one is no hot task."""
+    salted = few.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return many.withColumn("cut", F.pmod(spread, F.lit(_SALTS)).cast("int")).join(salted, ["host", "cut"], how).drop("cut")
+
+
 def induce(pages: DataFrame) -> DataFrame:
     """(host, paths): the template nodes of each host."""
 
@@ -211,7 +218,7 @@ def induce(pages: DataFrame) -> DataFrame:
 
     made = pages.select(host("url").alias("host"), F.xxhash64("page_id", "url").alias("salt"), "html").mapInArrow(skeletons, "host string, salt long, shape binary")
     sizes = made.groupBy("host").agg(F.count("*").alias("c"))
-    grouped = made.join(sizes, "host").withColumn("part", F.expr(f"pmod(salt, cast(ceil(c / {BATCH}) as bigint))")).select("host", "part", "salt", "shape")
+    grouped = _by_host(made, sizes, F.col("salt"), "inner").withColumn("part", F.expr(f"pmod(salt, cast(ceil(c / {BATCH}) as bigint))")).select("host", "part", "salt", "shape")
 
     def align(batches):
         import pickle
@@ -312,7 +319,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     wrappers = induce(pages)
     hosted = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host("url").alias("host"))
-    joined = hosted.join(wrappers, "host", "left").select("page_id", "url", "html", "paths")
+    joined = _by_host(hosted, wrappers, F.xxhash64("page_id", "url"), "left").select("page_id", "url", "html", "paths")
 
     def run(batches):
         for batch in batches:
