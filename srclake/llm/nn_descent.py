@@ -3,11 +3,14 @@
 Vectors of one label form a neighbour graph. Random hyperplane buckets give
 each vector a first list of K neighbours; then every round joins the
 neighbours (and reverse neighbours) of each vector with one another and keeps
-the best K of each, until few lists change. Saturated lists, whose last
-neighbour is still above the threshold, are enlarged as far as needed: the
-connected members of threshold edges are compared in tiles, which yields all
-their links without listing all pairs. Every gathered group has a bounded size;
-a larger one is split by hash.
+the best K of each, until few lists change. Equal vectors of a label are one
+vector with a weight. The connected members of threshold edges are compared in
+tiles, which yields all their links without listing all pairs. Saturated lists,
+whose last neighbour is still above the threshold, are enlarged as far as
+needed: their vectors look for the nearest outside their own connected group,
+and groups are joined, until no list is filled by neighbours above the
+threshold. Every gathered group has a bounded size; a larger one is split by
+hash.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ def normalised(vectors: DataFrame, vec: str = "embedding", label: str = "label",
                     a = np.array(x, dtype=np.float64)
                     big = np.abs(a).max()  # scaled first, so neither huge nor tiny components overflow
                     if np.isfinite(big) and big > 0:
-                        a = a / big
+                        a = a / big + 0.0  # no negative zeros: equal vectors have equal bytes
                         out[-1] = (a / np.sqrt((a * a).sum())).tobytes()
             v = pa.array(np.arange(row, row + len(out)))
             row += len(out)
@@ -79,15 +82,17 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), -1)
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
-    """The k nearest of each within a group, as (v, w, sim)."""
+def _nearest(ids: np.ndarray, own: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k nearest of each that are not of its own set, as (v, w, sim)."""
     sims = x @ x.T
-    sims[ids[:, None] == ids[None, :]] = -2
+    sims[own[:, None] == own[None, :]] = -2
     k = min(k, len(ids) - 1)
     near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     row = np.repeat(np.arange(len(ids)), k)
     near = near.ravel()
-    return [ids[row], ids[near], sims[row, near]]
+    sim = sims[row, near]
+    other = sim > -1.5
+    return [ids[row[other]], ids[near[other]], sim[other]]
 
 
 def _lists(table_key: list[str], k: int):
@@ -97,7 +102,7 @@ def _lists(table_key: list[str], k: int):
             ids = g.column("v").to_numpy()
             ids, first = np.unique(ids, return_index=True)
             if len(ids) > 1:
-                out.append(_nearest(ids, _matrix(g.column("x"))[first], k))
+                out.append(_nearest(ids, g.column("own").to_numpy()[first], _matrix(g.column("x"))[first], k))
                 n += len(out[-1][0])
             if n > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["v", "w", "sim"])
@@ -138,14 +143,14 @@ def _initial(unit: DataFrame, k: int, trees: int) -> DataFrame:
                         code = np.where(j < bits[some], code * 2 + side[:, j], code)
                     part = batch.take(pa.array(some))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(part.schema.get_field_index(c)) for c in ("v", "label")] + [pa.array(np.full(len(some), tree * 100_000 + d, dtype=np.int64)), pa.array(code), part.column(part.schema.get_field_index("x"))],
-                        names=["v", "label", "tree", "code", "x"],
+                        [part.column(part.schema.get_field_index(c)) for c in ("v", "own", "label")] + [pa.array(np.full(len(some), tree * 100_000 + d, dtype=np.int64)), pa.array(code), part.column(part.schema.get_field_index("x"))],
+                        names=["v", "own", "label", "tree", "code", "x"],
                     )
 
-    coded = sized.select("v", "label", "x", "bits").mapInArrow(bucket, "v long, label long, tree long, code long, x binary")
+    coded = sized.select("v", "own", "label", "x", "bits").mapInArrow(bucket, "v long, own long, label long, tree long, code long, x binary")
     key = ["label", "tree", "code"]
     heavy = coded.groupBy(*key).agg(F.count("*").alias("c"))
-    split = coded.join(heavy, key).withColumn("part", F.expr(f"pmod(xxhash64(v, tree), cast(ceil(c / {_PART}) as bigint))")).select(*key, "part", "v", "x")
+    split = coded.join(heavy, key).withColumn("part", F.expr(f"pmod(xxhash64(v, tree), cast(ceil(c / {_PART}) as bigint))")).select(*key, "part", "v", "own", "x")
     key.append("part")
     return split.repartition(*key).sortWithinPartitions(*key).mapInArrow(_lists(key, k), "v long, w long, sim double")
 
@@ -155,13 +160,13 @@ def _descend(unit: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     around = lists.select(F.col("v").alias("hub"), F.col("w").alias("v")).union(lists.select(F.col("w").alias("hub"), "v")).distinct()
     sizes = around.groupBy("hub").agg(F.count("*").alias("c"))
     placed = around.join(sizes, "hub").withColumn("part", F.expr(f"pmod(xxhash64(v, hub), cast(ceil(c / {_PART}) as bigint))")).select("hub", "part", "v")
-    met = placed.join(unit.select("v", "x"), "v").select("hub", "part", "v", "x")
+    met = placed.join(unit.select("v", "own", "x"), "v").select("hub", "part", "v", "own", "x")
     found = met.repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(_lists(["hub", "part"], k), "v long, w long, sim double")
     return _best(found.union(lists), k)
 
 
 def neighbour_lists(unit: DataFrame, k: int = _DESCENT, trees: int = _TREES, rounds: int = _ROUNDS) -> DataFrame:
-    """(v, w, sim): an approximate list of the k nearest of each vector within its label."""
+    """(v, w, sim): an approximate list of the k nearest of each vector within its label, without those of one ``own``."""
     lists = materialize(_best(_initial(unit, k, trees), k), "lists")
     total = max(1, lists.count())
     for _ in range(rounds):
@@ -173,20 +178,43 @@ def neighbour_lists(unit: DataFrame, k: int = _DESCENT, trees: int = _TREES, rou
     return lists
 
 
+def _groups_of(unit: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(node, root): the groups connected by threshold edges.
+
+    A pair above the threshold is cut from both lists only if both are
+    saturated. Such vectors look again, outside their groups; each pass joins
+    every group that still has one to another, so few passes are needed.
+    """
+    some, edges, roots = unit.withColumn("own", F.col("v")), None, None
+    while True:
+        lists = neighbour_lists(some, k)
+        near = lists.where(F.col("sim") >= threshold - 1e-9)
+        links = near.select(F.col("v").alias("a"), F.col("w").alias("b"))
+        if edges is not None and links.isEmpty():
+            return roots
+        edges = links if edges is None else edges.union(links)
+        roots = components(edges)
+        full = near.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") >= k).select("v")
+        full = materialize(full.join(roots.select(F.col("node").alias("v"), F.col("root").alias("own")), "v"), "saturated")
+        if full.select("own").distinct().limit(2).count() < 2:
+            return roots
+        some = materialize(unit.join(full, "v"), "unit")
+
+
 def _tiles(threshold: float):
     """For each pair of blocks of a connected group: links by vector and a spanning forest."""
 
     def run(batches):
         for g in _groups(batches, ["root", "b1", "b2"]):
-            ids, side, x = g.column("v").to_numpy(), g.column("block").to_numpy(), _matrix(g.column("x"))
+            ids, side, weight, x = g.column("v").to_numpy(), g.column("block").to_numpy(), g.column("weight").to_numpy(), _matrix(g.column("x"))
             b1, b2 = g.column("b1")[0].as_py(), g.column("b2")[0].as_py()
             p, q = np.flatnonzero(side == b1), np.flatnonzero(side == b2)
             linked = x[p] @ x[q].T >= threshold
             if b1 == b2:
                 linked &= ids[p][:, None] != ids[q][None, :]
-            n = np.bincount(p, weights=linked.sum(axis=1), minlength=len(ids))
+            n = np.bincount(p, weights=linked @ weight[q], minlength=len(ids))
             if b1 != b2:
-                n += np.bincount(q, weights=linked.sum(axis=0), minlength=len(ids))
+                n += np.bincount(q, weights=weight[p] @ linked, minlength=len(ids))
             parent, forest = list(range(len(ids))), []
             for i, j in np.argwhere(linked).tolist():
                 i, j = int(p[i]), int(q[j])
@@ -218,20 +246,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = _DESCE
     length never meet. Equal vectors link. Repeated rows count as rows; rows
     with a null id link but give no component its id unless all are null.
     """
-    rows = materialize(normalised(vectors), "unit")
-    unit = rows.where("x is not null")
-    lists = neighbour_lists(unit, k)
-    roots = components(lists.where(F.col("sim") >= threshold - 1e-9).select(F.col("v").alias("a"), F.col("w").alias("b")))
+    rows = materialize(normalised(vectors).withColumn("digest", F.unhex(F.sha2("x", 256))), "rows")
+    equal = materialize(rows.where("x is not null").groupBy("label", "digest").agg(F.min("v").alias("one"), F.count("*").alias("weight")), "equal")
+    unit = materialize(rows.join(equal.select(F.col("one").alias("v"), "weight"), "v").select("v", "label", "x", "weight"), "unit")
+    roots = _groups_of(unit, threshold, k)
     sizes = roots.groupBy("root").agg(F.count("*").alias("m")).withColumn("nb", F.expr(f"cast(ceil(m / {_TILE}) as int)"))
     blocks = roots.withColumnRenamed("node", "v").join(sizes, "root").withColumn("block", F.expr("cast(pmod(xxhash64(v), nb) as int)"))
     pairs = blocks.select("root", "v", "block", F.explode(F.expr("sequence(0, nb - 1)")).alias("other"))
-    tiled = pairs.select("root", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "v").join(unit.select("v", "x"), "v")
+    tiled = pairs.select("root", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "v").join(unit.select("v", "weight", "x"), "v")
     key = ["root", "b1", "b2"]
     found = materialize(tiled.repartition(*key).sortWithinPartitions(*key).mapInArrow(_tiles(threshold), "a long, b long, add long"), "found")
     links = found.where("b is null").groupBy("a").agg(F.sum("add").alias("n_links")).withColumnRenamed("a", "v")
     groups = components(found.where("b is not null")).withColumnRenamed("node", "v")
-    known = links.join(groups, "v")
-    named = materialize(rows.select("v", "vec_id").join(known, "v", "left"), "named")
+    weighed = equal.withColumnRenamed("one", "v").join(links, "v", "left").join(groups, "v", "left")
+    known = weighed.select("label", "digest", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "v").alias("root"))
+    named = materialize(rows.select("v", "vec_id", "label", "digest").join(known, ["label", "digest"], "left"), "named")
     least = named.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("least"))
     return named.join(least, "root", "left").select(
         "vec_id",

@@ -199,6 +199,21 @@ def test_nn_descent(spark):
     assert nn_descent.recall(df, 64) >= 0.9
 
 
+def test_nn_descent_saturated(spark):
+    """Blocks of copies, exact or nearly, that fill one another's lists: links between the blocks count too."""
+    rng = np.random.default_rng(5)
+    rows, axes = [], np.linalg.qr(rng.standard_normal((24, 24)))[0]
+    for block in range(6):
+        a, b = axes[2 * block], axes[2 * block + 1]
+        for y in (a, 0.985 * a + np.sqrt(1 - 0.985**2) * b):
+            for _ in range(20):
+                noise = rng.standard_normal(24) * 1e-5 * (block % 2)
+                rows.append((len(rows), [float(z) for z in y + noise], block // 2 % 2))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in nn_descent.near_duplicates(df).collect()}
+    assert len(got) == 240 and all(r.n_links == 39 and r.component_id == i // 40 * 40 and r.kept == (i % 40 == 0) for i, r in got.items())
+
+
 def test_toxicity(spark, empty):
     bad, good = "zorgle", "nice"
     rows = [(i, f"{bad if i % 4 == 0 else good} filler{i % 50} words here") for i in range(400)] + [(400, None), (401, ""), (None, bad)]
