@@ -1,12 +1,14 @@
 """Main-text extraction with wrappers induced from the pages of each host.
 
-Induction: pages of a host fall into small batches by hash. In each batch, DOM
-skeletons (tags, classes, text hashes; no text) are aligned to a pivot by
-simple tree matching, and every aligned text node reports its path, how often
-it occurred and the range of its text hashes. The reports of all batches of a
-host are summed: a node whose text never varies belongs to the template, one
-that varies is a content slot. Extraction then takes the article of a page, or
-without such markup its varying slots, and leaves out page furniture.
+Induction: DOM skeletons of a host's pages (tags, classes, text hashes; no
+text) are merged into one wrapper tree, in small batches by hash and then the
+batches' trees in turn. Two trees are aligned by simple tree matching; nodes
+without a partner are added, so each layout of a host finds its place. A node
+knows on how many pages it occurred, with text and without, and the range of
+its text hashes: text that never varies belongs to the template, text that
+varies is a content slot. Extraction aligns each page with its host's tree and
+takes the article, or without such markup the varying slots, and leaves out
+page furniture.
 """
 
 from __future__ import annotations
@@ -20,8 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 _SALTS = 64
-BATCH = 32  # pages aligned with one pivot
+_AGREE = 1 << 16  # weight of a pair with one constant text; any other pair weighs 1
+BATCH = 32  # trees merged in one go
 LEAST_PAGES = 4  # a node must recur on so many pages to be template
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -139,7 +144,7 @@ def number(root: Node) -> Node:
 
 
 def skeleton(root: Node) -> tuple:
-    """(label, hash and size of the own text, children, path) by path, without text."""
+    """A tree of (label, pages, pages with own text, children, least and greatest text hash, path), one node a path, without text."""
     own: dict[str, list[str]] = {}
     kids: dict[str, dict[str, str]] = {}
 
@@ -156,40 +161,80 @@ def skeleton(root: Node) -> tuple:
     def build(path: str, label: str) -> tuple:
         t = " ".join(" ".join(own[path]).split())
         h = int.from_bytes(blake2b(t.encode("utf-8", "replace"), digest_size=7).digest(), "little") if t else 0
-        return label, h, len(t), [build(p, k) for p, k in kids[path].items()], path
+        return label, 1, int(h > 0), [build(p, k) for p, k in kids[path].items()], h, h, path
 
     walk(root)
     return build(root.path, root.tag)
 
 
+def _constant(a: tuple) -> bool:
+    return a[2] > 0 and a[4] == a[5]
+
+
 def match(a: tuple, b: tuple) -> tuple[int, list]:
-    """Simple tree matching: the size of the largest order-keeping match and the matched pairs of nodes."""
-    if a[0] != b[0]:
-        return 0, []
-    p, q = a[3], b[3]
+    """Simple tree matching of nodes with one label: the weight of the heaviest order-keeping match, and (i, j, the
+    same below) for its pairs of children. Equal constant texts count first, then the number of pairs."""
+    labels = {c[0] for c in a[3]} & {c[0] for c in b[3]}
+    p, q = [i for i, c in enumerate(a[3]) if c[0] in labels], [j for j, c in enumerate(b[3]) if c[0] in labels]
     m, n = len(p), len(q)
     best = [[0] * (n + 1) for _ in range(m + 1)]
-    pairs = [[None] * n for _ in range(m)]
+    pairs = [[(0, [])] * n for _ in range(m)]
     for i in range(m):
         for j in range(n):
-            w, inner = match(p[i], q[j]) if p[i][0] == q[j][0] else (0, [])
-            pairs[i][j] = (w, inner)
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
-    out, i, j = [(a, b)], m, n
+            x, y = a[3][p[i]], b[3][q[j]]
+            if x[0] == y[0]:
+                pairs[i][j] = match(x, y)
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + pairs[i][j][0])
+    out, i, j = [], m, n
     while i and j:
         w, inner = pairs[i - 1][j - 1]
         if w and best[i][j] == best[i - 1][j - 1] + w:
-            out += inner
             i, j = i - 1, j - 1
+            out.append((p[i], q[j], inner))
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return best[m][n] + 1, out
+    return best[m][n] + (_AGREE if _constant(a) and _constant(b) and a[4] == b[4] else 1), out[::-1]
+
+
+def merge(a: tuple, b: tuple, pairs: list) -> tuple:
+    """Both trees in one: matched nodes once, the others of ``b`` between their matched neighbours."""
+    kids, i, j = [], 0, 0
+    for x, y, inner in pairs:
+        kids += a[3][i:x] + b[3][j:y]
+        kids.append(merge(a[3][x], b[3][y], inner))
+        i, j = x + 1, y + 1
+    kids += a[3][i:] + b[3][j:]
+    texts = [c for c in (a, b) if c[2]] or [a]
+    return a[0], a[1] + b[1], a[2] + b[2], kids, min(c[4] for c in texts), max(c[5] for c in texts), ""
+
+
+def is_template(a: tuple) -> bool:
+    return _constant(a) and a[2] >= LEAST_PAGES
+
+
+def _pruned(a: tuple) -> tuple:
+    """Without what is on too few pages to hold template."""
+    return *a[:3], [_pruned(c) for c in a[3] if c[1] >= LEAST_PAGES], *a[4:]
 
 
-def _size(a: tuple) -> int:
-    return 1 + sum(map(_size, a[3]))
+def _any_template(a: tuple) -> bool:
+    return is_template(a) or any(map(_any_template, a[3]))
+
+
+def template_paths(wrapper: tuple, page: tuple) -> frozenset:
+    """Paths of the page's nodes that are template: matched with a template node, and with its text."""
+    found = set()
+
+    def walk(a: tuple, b: tuple, pairs: list) -> None:
+        if is_template(a) and b[2] and a[4] == b[4]:
+            found.add(b[6])
+        for i, j, inner in pairs:
+            walk(a[3][i], b[3][j], inner)
+
+    walk(wrapper, page, match(wrapper, page)[1])
+    return frozenset(found)
 
 
 def host(url):
@@ -203,11 +248,10 @@ def _by_host(many: DataFrame, few: DataFrame, spread, how: str) -> DataFrame:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, paths): the template nodes of each host."""
+    """(host, shape): the wrapper tree of each host that has template nodes."""
+    import pickle
 
     def skeletons(batches):
-        import pickle
-
         for batch in batches:
             hosts, shapes, salts = [], [], []
             for h, p, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -216,40 +260,43 @@ def induce(pages: DataFrame) -> DataFrame:
                     hosts.append(h), shapes.append(pickle.dumps(s)), salts.append(p or 0)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(salts, pa.int64()), pa.array(shapes, pa.binary())], names=["host", "salt", "shape"])
 
-    made = pages.select(host("url").alias("host"), F.xxhash64("page_id", "url").alias("salt"), "html").mapInArrow(skeletons, "host string, salt long, shape binary")
-    sizes = made.groupBy("host").agg(F.count("*").alias("c"))
-    grouped = _by_host(made, sizes, F.col("salt"), "inner").withColumn("part", F.expr(f"pmod(salt, cast(ceil(c / {BATCH}) as bigint))")).select("host", "part", "salt", "shape")
-
-    def align(batches):
-        import pickle
-
-        now, shapes = None, []
+    def merged(batches):
+        now, salt, tree = None, 0, None
 
         def done():
-            trees = [pickle.loads(s) for s in shapes]
-            pivot = max(trees, key=_size)
-            out: dict[str, list] = {}
-            for t in trees:
-                for x, y in match(pivot, t)[1]:
-                    if y[2]:
-                        o = out.setdefault(x[4], [0, y[1], y[1]])
-                        o[0], o[1], o[2] = o[0] + 1, min(o[1], y[1]), max(o[2], y[1])
-            cols = list(zip(*((now[0], p, *o) for p, o in out.items()))) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "path", "n", "low", "high"])
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string()), pa.array([salt], pa.int64()), pa.array([pickle.dumps(tree)], pa.binary())], names=["host", "salt", "shape"])
 
         for batch in batches:
-            for h, part, shape in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3))):
-                if (h, part) != now or len(shapes) >= 4 * BATCH:
-                    if shapes:
-                        yield done()
-                    now, shapes = (h, part), []
-                shapes.append(shape)
-        if shapes:
+            for h, part, p, shape in zip(*(c.to_pylist() for c in batch.columns)):
+                new = pickle.loads(shape)
+                if (h, part) == now:
+                    tree = merge(tree, new, match(tree, new)[1])
+                    continue
+                if now is not None:
+                    yield done()
+                now, salt, tree = (h, part), p, new
+        if now is not None:
             yield done()
 
-    found = grouped.repartition("host", "part").sortWithinPartitions("host", "part", "salt").mapInArrow(align, "host string, path string, n long, low long, high long")
-    nodes = found.groupBy("host", "path").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return nodes.where((F.col("n") >= LEAST_PAGES) & (F.col("low") == F.col("high"))).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    def wrappers(batches):
+        for batch in batches:
+            kept = []
+            for h, shape in zip(*(c.to_pylist() for c in batch.columns)):
+                if _any_template(tree := pickle.loads(shape)):
+                    kept.append((h, pickle.dumps(_pruned(tree))))
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in kept], pa.string()), pa.array([s for _, s in kept], pa.binary())], names=["host", "shape"])
+
+    kind = "host string, salt long, shape binary"
+    trees = materialize(pages.select(host("url").alias("host"), F.xxhash64("page_id", "url").alias("salt"), "html").mapInArrow(skeletons, kind), "skeletons")
+    level = 0
+    while True:
+        sizes = trees.groupBy("host").agg(F.count("*").alias("c"))
+        if (sizes.agg(F.max("c")).first()[0] or 0) <= 1:
+            return materialize(trees.select("host", "shape").mapInArrow(wrappers, "host string, shape binary"), "wrappers")
+        level += 1
+        part = F.pmod(F.xxhash64("salt", F.lit(level)), F.ceil(F.col("c") / BATCH).cast("long"))
+        grouped = _by_host(trees, sizes, F.col("salt"), "inner").select("host", part.alias("part"), "salt", "shape")
+        trees = materialize(grouped.repartition("host", "part").sortWithinPartitions("host", "part", "salt").mapInArrow(merged, kind), "trees")
 
 
 def _articles(node: Node) -> list[Node]:
@@ -270,11 +317,12 @@ def _articles(node: Node) -> list[Node]:
     return found["article"] or found["main"]
 
 
-def main_text(text: str | None, template: frozenset = frozenset()) -> str:
+def main_text(text: str | None, wrapper: tuple | None = None) -> str:
     """The page's blocks, joined by empty lines."""
     if not text:
         return ""
     root = number(parse(text))
+    template = template_paths(wrapper, skeleton(root)) if wrapper else frozenset()
     roots = _articles(root)
     blocks: list[str] = []
     run: list[str] = []
@@ -317,17 +365,22 @@ def extract(pages: DataFrame) -> DataFrame:
     give equal results. No rows give no rows. Only page_id, url and html are
     read.
     """
-    wrappers = induce(pages)
-    hosted = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host("url").alias("host"))
-    joined = _by_host(hosted, wrappers, F.xxhash64("page_id", "url"), "left").select("page_id", "url", "html", "paths")
+    import pickle
+
+    wrappers = induce(pages).withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    hosted = pages.select(host("url").alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)).cast("int").alias("cut"), F.lit(1).alias("kind"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    # a wrapper goes before its pages as a row of its own: joined, it would be repeated in each page's row
+    rows = hosted.withColumn("shape", F.lit(None).cast("binary")).unionByName(wrappers.withColumn("kind", F.lit(0)), allowMissingColumns=True)
 
     def run(batches):
+        at, wrapper = None, None
         for batch in batches:
-            texts, last, template = [], None, frozenset()
-            for text, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if paths != last:
-                    last, template = paths, frozenset(paths or ())
-                texts.append(main_text(text, template))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            ids, urls, texts = [], [], []
+            for h, cut, kind, page_id, url, text, shape in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind == 0:
+                    at, wrapper = (h, cut), pickle.loads(shape)
+                    continue
+                ids.append(page_id), urls.append(url), texts.append(main_text(text, wrapper if (h, cut) == at else None))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return rows.repartition("host", "cut").sortWithinPartitions("host", "cut", "kind").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -148,6 +148,20 @@ def test_wrapper(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_wrapper_layouts(spark):
+    """Optional blocks shift the places of others, and a host has a second, smaller layout."""
+    plain = "<body><div class=t>Name</div><p>body {0}</p><div class=t>Terms</div></body>"
+    more = "<body><div class=t>Name</div><p>body {0}</p><div class=t>extra {0}</div><h2>head {0}</h2><div class=t>Terms</div></body>"
+    late = "<body><div class=t>Name</div><p>body {0}</p><div class=t>Terms</div><h2>head {0}</h2><div class=t>extra {0}</div></body>"
+    other = "<body><section>Second menu</section><h3>story {0}</h3><section>Second notice</section></body>"
+    layouts = {0: more, 5: late, 10: other}
+    pages = spark.createDataFrame([(i, f"http://a.b/{i}", layouts.get(i % 20, plain).format(i)) for i in range(400)], "page_id long, url string, html string")
+    for r in html_extract.extract(pages).collect():
+        i = r.page_id
+        extra = {0: f"body {i}\n\nextra {i}\n\nhead {i}", 5: f"body {i}\n\nhead {i}\n\nextra {i}", 10: f"story {i}"}
+        assert r.text == extra.get(i % 20, f"body {i}")
+
+
 def test_secrets(docs, empty):
     text = 'é PASSWORD = "abcdefghijklmn" token:short1 AKIA' + "A1" * 8 + " deadbeefdeadbeef0 passwd=xK9!pQ2z_ ſecret=abcdefghijklmn"
     spans = secrets.base_spans(text)
