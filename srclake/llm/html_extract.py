@@ -1,7 +1,7 @@
 """Main-text extraction with wrappers induced from the pages of each host.
 
 Induction: DOM skeletons of a host's pages (tags, classes, text hashes; no
-text) are merged into one wrapper tree, in small batches by hash and then the
+text; captures of one page count once) are merged into one wrapper tree, in small batches by hash and then the
 batches' trees in turn. Two trees are aligned by simple tree matching; nodes
 without a partner are added, so each layout of a host finds its place. A node
 knows on how many pages it occurred, with text and without, and the range of
@@ -27,7 +27,7 @@ from .common import materialize
 _SALTS = 64
 _AGREE = 1 << 16  # weight of a pair with one constant text; any other pair weighs 1
 BATCH = 32  # trees merged in one go
-LEAST_PAGES = 4  # a node must recur on so many pages to be template
+LEAST_PAGES = 4  # a node must recur on so many distinct pages to be template
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -211,7 +211,8 @@ def merge(a: tuple, b: tuple, pairs: list) -> tuple:
 
 
 def is_template(a: tuple) -> bool:
-    return _constant(a) and a[2] >= LEAST_PAGES
+    """One text, on enough distinct pages and on most of those that have the node."""
+    return _constant(a) and a[2] >= LEAST_PAGES and 2 * a[2] >= a[1]
 
 
 def _pruned(a: tuple) -> tuple:
@@ -247,18 +248,23 @@ def _by_host(many: DataFrame, few: DataFrame, spread, how: str) -> DataFrame:
     return many.withColumn("cut", F.pmod(spread, F.lit(_SALTS)).cast("int")).join(salted, ["host", "cut"], how).drop("cut")
 
 
+def _distinct(captures: DataFrame) -> DataFrame:
+    """(host, salt, shape): one capture of each page. Captures with one url (but for its fragment) or payload are one page."""
+    first = captures.groupBy("host", "payload").agg(F.min("page").alias("first"))
+    by_url = captures.join(first, ["host", "payload"]).groupBy("host", "page").agg(F.min(F.struct("first", "payload", "shape")).alias("one"))
+    by_payload = by_url.groupBy("host", F.col("one.first").alias("first")).agg(F.min("one").alias("one"))
+    return materialize(by_payload.select("host", F.xxhash64("first").alias("salt"), "one.shape"), "pages")
+
+
 def induce(pages: DataFrame) -> DataFrame:
     """(host, shape): the wrapper tree of each host that has template nodes."""
     import pickle
 
     def skeletons(batches):
         for batch in batches:
-            hosts, shapes, salts = [], [], []
-            for h, p, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if text:
-                    s = skeleton(number(parse(text)))
-                    hosts.append(h), shapes.append(pickle.dumps(s)), salts.append(p or 0)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(salts, pa.int64()), pa.array(shapes, pa.binary())], names=["host", "salt", "shape"])
+            rows = [(h, page, payload, pickle.dumps(skeleton(number(parse(text))))) for h, page, payload, text in zip(*(c.to_pylist() for c in batch.columns)) if text]
+            cols = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.binary()))], names=["host", "page", "payload", "shape"])
 
     def merged(batches):
         now, salt, tree = None, 0, None
@@ -287,7 +293,9 @@ def induce(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in kept], pa.string()), pa.array([s for _, s in kept], pa.binary())], names=["host", "shape"])
 
     kind = "host string, salt long, shape binary"
-    trees = materialize(pages.select(host("url").alias("host"), F.xxhash64("page_id", "url").alias("salt"), "html").mapInArrow(skeletons, kind), "skeletons")
+    payload = F.sha2("html", 256)
+    captures = pages.select(host("url").alias("host"), F.coalesce(F.regexp_replace("url", "#.*", ""), payload).alias("page"), payload.alias("payload"), "html")
+    trees = _distinct(materialize(captures.mapInArrow(skeletons, "host string, page string, payload string, shape binary"), "skeletons"))
     level = 0
     while True:
         sizes = trees.groupBy("host").agg(F.count("*").alias("c"))
@@ -361,7 +369,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars.
 
     Null and empty html gives an empty text. A page whose host has fewer than
-    four pages, or whose url is null, is read without a template. Repeated rows
+    four distinct pages, or whose url is null, is read without a template. Repeated rows
     give equal results. No rows give no rows. Only page_id, url and html are
     read.
     """

@@ -162,6 +162,21 @@ def test_wrapper_layouts(spark):
         assert r.text == extra.get(i % 20, f"body {i}")
 
 
+def test_wrapper_captures(spark):
+    """Captures of one page are no evidence that its text is template; distinct pages are."""
+    page = "<body><div class=t>Name</div><div>story {0}</div><small>seen {1}</small></body>"
+    rows = [(f"http://one.b/x#{i % 3}", page.format(1, i // 2)) for i in range(24)]  # one url, each payload twice
+    rows += [(f"http://two.b/{i}", page.format(1, 1)) for i in range(12)]  # one payload at many urls
+    rows += [(f"http://many.b/{i % 10}", page.format(i % 10, i)) for i in range(60)]
+    rows += [("http://many.b/odd", f"<body><div class=t>Name</div><section>odd story</section><small>seen {i}</small></body>") for i in range(8)]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    for r in html_extract.extract(pages).collect():
+        i = r.page_id
+        seen = i // 2 if i < 24 else 1 if i < 36 else i - 36 if i < 96 else i - 96
+        text = "story 1" if i < 36 else f"story {(i - 36) % 10}" if i < 96 else "odd story"
+        assert r.text == "\n\n".join([*(["Name"] if i < 36 else []), text, f"seen {seen}"])
+
+
 def test_secrets(docs, empty):
     text = 'é PASSWORD = "abcdefghijklmn" token:short1 AKIA' + "A1" * 8 + " deadbeefdeadbeef0 passwd=xK9!pQ2z_ ſecret=abcdefghijklmn"
     spans = secrets.base_spans(text)
