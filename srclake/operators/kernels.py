@@ -165,6 +165,20 @@ def cosine_topk(vectors: DataFrame, query: list[float], id_col: str, vec: str, k
     return top.where(F.col("_s") >= least).select(id_col, F.round("_s", 3).alias("score"))
 
 
+def cosine_topk_each(queries: DataFrame, vectors: DataFrame, id_col: str, vec: str, k: int = 10, least: float = 0.3) -> DataFrame:
+    """(query_id, id, score): for each query the k nearest of all vectors by cosine, without those below ``least``; ties by id.
+
+    No queries or no vectors give no rows; a null or zero vector is near nothing.
+    """
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0).cast("double"), lambda s, v: s + v)
+    norm = F.sqrt(dot(F.col(vec), F.col(vec)))
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("_q"), norm.alias("_nq"))
+    v = vectors.select(id_col, F.col(vec).alias("_v"), norm.alias("_nv"))
+    pairs = v.crossJoin(q).select("query_id", id_col, F.try_divide(dot(F.col("_v"), F.col("_q")), F.col("_nv") * F.col("_nq")).alias("_s"))
+    top = pairs.where("_s is not null").withColumn("_at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_s"), id_col)))
+    return top.where((F.col("_at") <= k) & (F.col("_s") >= least)).select("query_id", id_col, F.round("_s", 3).alias("score"))
+
+
 # -- text lines and rules ----------------------------------------------------
 
 

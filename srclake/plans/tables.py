@@ -135,7 +135,14 @@ def retain_unchanged(spark, sf_dir):
 select vec_id, round(s, 3) as score from (select * from s order by s desc, vec_id limit 10) where s >= 0.3""")
 def cosine_topk(spark, sf_dir):
     v = _t(spark, sf_dir, "embeddings")
-    return K.cosine_topk(v, v.where("vec_id = 0").first().embedding, "vec_id", "embedding")
+    return K.cosine_topk_each(v.where("vec_id = 0"), v, "vec_id", "embedding").select("vec_id", "score")
+
+
+@query("""with n as (select vec_id, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as l from embeddings), s as (select q.vec_id as query_id, v.vec_id, list_dot_product(v.e, q.e) / (v.l * q.l) as s from n q, n v where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by s desc, vec_id) as place from s) select query_id, vec_id, round(s, 3) as score from r where place <= 10 and s >= 0.3""")
+def cosine_topk_each(spark, sf_dir):
+    v = _t(spark, sf_dir, "embeddings")
+    return K.cosine_topk_each(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding")
 
 
 @query("select domain, count(*) as n from (select regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1) as domain from pages) where contains(domain, '.') group by 1")
