@@ -139,7 +139,7 @@ def write_phrases(benchmark: DataFrame, window: int = WINDOW) -> str:
             ids, sizes, hashes = [], [], []
             for item, a, b in zip(batch.column(0).to_pylist(), at[:-1], at[1:]):
                 k = min(window, int(b - a))
-                if k and item is not None:
+                if k:
                     for row in np.unique(np.lib.stride_tricks.sliding_window_view(h[a:b], k), axis=0):
                         ids.append(item), sizes.append(k), hashes.append(row.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.binary())], names=["item_id", "n", "hashes"])
@@ -165,7 +165,7 @@ class Phrases:
 
         slices, n = [], 0
         for batch in ds.dataset(self.path, format="parquet").to_batches(columns=["item_id", "n", "hashes"], batch_size=_SLICE):
-            items, sizes, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            items, sizes, hashes = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             made = [(items[sizes == k], np.frombuffer(b"".join(x for x, s in zip(hashes, sizes) if s == k), np.uint64).reshape(-1, k)) for k in np.unique(sizes)]
             n += len(items)
             slices = slices + [made] if n <= _SLICE else []
@@ -188,8 +188,9 @@ def _hits(block: Block, phrases: Phrases):
                 np.add.at(edge, at + rows.shape[1], -1)
                 doc = np.searchsorted(block.starts, at, side="right") - 1
                 for d, item in set(zip(doc.tolist(), items[p].tolist())):
-                    found[d].add(item)
-    if not any(found):
+                    if item is not None:
+                        found[d].add(item)
+    if not edge.any():
         return np.zeros(n, np.int64), found
     hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
     return hit[block.starts + block.lengths] - hit[block.starts], found
@@ -212,8 +213,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
     The index is written to ``index_path`` (the shared folder if none is given)
     and the benchmark's windows are searched in it. A null or empty text has no
-    words. Repeated rows give repeated results; items with a null id are not
-    searched; an empty table on either side is fine. Only doc_id, item_id and
+    words. Repeated rows give repeated results; items with a null id
+    count in n_hit and contaminated only; an empty table on either side is fine. Only doc_id, item_id and
     the texts are read.
     """
     spark = docs.sparkSession

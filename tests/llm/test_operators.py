@@ -90,6 +90,14 @@ def test_decontaminate(spark, docs, empty):
     assert ("q", 7, 3) in near and not any(n == "none" for n, _, _ in near)
 
 
+def test_decontaminate_unnamed_items(spark):
+    docs = spark.createDataFrame([(1, "x alpha beta y"), (2, "x gamma y"), (3, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "alpha beta"), (5, "gamma")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontam.decontaminate(docs, items).collect()}
+    assert got == {1: (2, 0, True), 2: (1, 1, True), 3: (0, 0, False)}
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, items).collect()] == [3]
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
