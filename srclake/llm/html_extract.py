@@ -14,7 +14,9 @@ page furniture.
 from __future__ import annotations
 
 import html as entities
+import pickle
 import re
+import sys
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -27,9 +29,12 @@ from .common import materialize
 _SALTS = 64
 _AGREE = 1 << 16  # weight of a pair with one constant text; any other pair weighs 1
 BATCH = 32  # trees merged in one go
-LEAST_PAGES = 4  # a node must recur on so many distinct pages to be template
+LEAST_PAGES = 4  # a node must recur on so many distinct pages to be template,
+LEAST_SHARE = 0.01  # and on this share of its host's
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Quotes count after an equals sign only; what is never closed goes on to the end.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?)*+)(?:>|\Z)", re.S)
+_END: dict[str, re.Pattern] = {}
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes".split())
@@ -69,9 +74,23 @@ def _element(tag: str, attributes: str) -> Node:
 
 
 def parse(text: str) -> Node:
-    """A forgiving DOM: text children are strings with character references decoded."""
+    """A forgiving DOM of any depth: text children are strings with character references decoded.
+
+    Linear in the text: open elements are found by name, not by walking up.
+    """
     root = Node("#", "", False)
     stack = [root]
+    where: dict[str, list[int]] = {}  # places in the stack of the open elements of a name
+    blocks: list[int] = []  # of open blocks and buttons
+
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            where[x.tag].pop()
+        del stack[i:]
+        while blocks and blocks[-1] >= i:
+            blocks.pop()
+
+    last = lambda names: max((where[t][-1] for t in names if where.get(t)), default=0)
     at, n = 0, len(text)
     while at < n:
         m = _TOKEN.search(text, at)
@@ -86,34 +105,24 @@ def parse(text: str) -> Node:
             continue
         tag = tag.lower()
         if m.group(1):
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if where.get(tag):
+                close(where[tag][-1])
             continue
-        if tag in _P_CLOSERS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in _BLOCK or stack[i].tag == "button":
-                    break
+        if tag in _P_CLOSERS and blocks and stack[blocks[-1]].tag == "p":
+            close(blocks[-1])
         if tag in _SAME:
             closes, edge = _SAME[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in closes:
-                    del stack[i:]
-                    break
-                if stack[i].tag in edge:
-                    break
+            if (i := last(closes)) > last(edge):
+                close(i)
         node = _element(tag, m.group(3))
         stack[-1].children.append(node)
         if tag in _RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|\Z", re.I).search(text, at)
+            end = _END.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|\Z", re.I)).search(text, at)
             at = end.end()
-        elif len(stack) < 150 and tag not in _VOID and not m.group(3).rstrip().endswith("/" if tag not in _BLOCK else "\0"):
+        elif tag not in _VOID and not m.group(3).rstrip().endswith("/" if tag not in _BLOCK else "\0"):
+            where.setdefault(tag, []).append(len(stack))
+            if tag in _BLOCK or tag == "button":
+                blocks.append(len(stack))
             stack.append(node)
     return root
 
@@ -123,11 +132,13 @@ def _label(node: Node) -> str:
 
 
 def number(root: Node) -> Node:
-    """Give nodes their paths. Consecutive siblings with one label share a path; furniture has none."""
-    state: dict[str, list] = {}
-
-    def walk(x: Node, inside: bool) -> None:
-        now = state.setdefault(x.path, [{}, None])
+    """Give nodes the numbers of their paths. Consecutive siblings with one label share a path; furniture has none."""
+    state: dict[int, list] = {}
+    ids: dict[tuple, int] = {}
+    root.path, stack = 0, [(root, False)]
+    while stack:
+        x, inside = stack.pop()
+        now, below = state.setdefault(x.path, [{}, None]), []
         for c in x.children:
             if isinstance(c, str) or c.furniture or (c.tag == "header" and not inside):
                 continue
@@ -135,36 +146,62 @@ def number(root: Node) -> Node:
             if label != now[1]:
                 now[0][label] = now[0].get(label, 0) + 1
                 now[1] = label
-            c.path = f"{x.path}/{label}#{now[0][label]}"
-            walk(c, inside or c.tag in ("article", "main"))
-
-    root.path = ""
-    walk(root, False)
+            c.path = ids.setdefault((x.path, label, now[0][label]), len(ids) + 1)
+            below.append((c, inside or c.tag in ("article", "main")))
+        stack += below[::-1]
     return root
 
 
 def skeleton(root: Node) -> tuple:
     """A tree of (label, pages, pages with own text, children, least and greatest text hash, path), one node a path, without text."""
-    own: dict[str, list[str]] = {}
-    kids: dict[str, dict[str, str]] = {}
-
-    def walk(x: Node) -> None:
-        mine, below = own.setdefault(x.path, []), kids.setdefault(x.path, {})
+    own: dict[int, list[str]] = {}
+    kids: dict[int, dict[int, str]] = {}
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        mine, below, next_ = own.setdefault(x.path, []), kids.setdefault(x.path, {}), []
         for c in x.children:
             if isinstance(c, str):
                 if c.strip():
                     mine.append(c)
             elif c.path is not None:
                 below[c.path] = _label(c)
-                walk(c)
+                next_.append(c)
+        stack += next_[::-1]
 
-    def build(path: str, label: str) -> tuple:
+    def node(path: int, label: str) -> tuple:
         t = " ".join(" ".join(own[path]).split())
         h = int.from_bytes(blake2b(t.encode("utf-8", "replace"), digest_size=7).digest(), "little") if t else 0
-        return label, 1, int(h > 0), [build(p, k) for p, k in kids[path].items()], h, h, path
-
-    walk(root)
-    return build(root.path, root.tag)
+        return label, 1, int(h > 0), [], h, h, path
+
+    top = node(root.path, root.tag)
+    trees = [top]
+    while trees:
+        t = trees.pop()
+        t[3].extend(node(p, k) for p, k in kids[t[6]].items())
+        trees += t[3]
+    return top
+
+
+def pack(tree: tuple) -> bytes:
+    """A tree in bytes, its nodes in a row: depth is no matter."""
+    rows, stack = [], [(0, tree)]
+    while stack:
+        depth, t = stack.pop()
+        rows.append((depth, *t[:3], *t[4:6]))
+        stack += [(depth + 1, c) for c in reversed(t[3])]
+    return pickle.dumps(rows)
+
+
+def unpack(data: bytes) -> tuple:
+    above: list[tuple] = []
+    for depth, label, pages, texts, low, high in pickle.loads(data):
+        t = (label, pages, texts, [], low, high, None)
+        del above[depth:]
+        if above:
+            above[-1][3].append(t)
+        above.append(t)
+    return above[0]
 
 
 def _constant(a: tuple) -> bool:
@@ -210,34 +247,50 @@ def merge(a: tuple, b: tuple, pairs: list) -> tuple:
     return a[0], a[1] + b[1], a[2] + b[2], kids, min(c[4] for c in texts), max(c[5] for c in texts), ""
 
 
-def is_template(a: tuple) -> bool:
-    """One text, on enough distinct pages and on most of those that have the node."""
-    return _constant(a) and a[2] >= LEAST_PAGES and 2 * a[2] >= a[1]
+def least_pages(wrapper: tuple) -> float:
+    """A host's template shows on so many of its distinct pages at least."""
+    return max(LEAST_PAGES, LEAST_SHARE * wrapper[1])
 
 
-def _pruned(a: tuple) -> tuple:
-    """Without what is on too few pages to hold template."""
-    return *a[:3], [_pruned(c) for c in a[3] if c[1] >= LEAST_PAGES], *a[4:]
+def is_template(a: tuple, least: float) -> bool:
+    """One text, on enough distinct pages and on most of those that have the node."""
+    return _constant(a) and a[2] >= least and 2 * a[2] >= a[1]
 
 
-def _any_template(a: tuple) -> bool:
-    return is_template(a) or any(map(_any_template, a[3]))
+def prune(wrapper: tuple) -> tuple | None:
+    """Without what is on too few pages to hold template; None if nothing is template."""
+    least = least_pages(wrapper)
+    top, found, stack = (*wrapper[:3], [], *wrapper[4:]), False, []
+    stack.append((wrapper, top))
+    while stack:
+        old, new = stack.pop()
+        found |= is_template(old, least)
+        for c in old[3]:
+            if c[1] >= least:
+                new[3].append((*c[:3], [], *c[4:]))
+                stack.append((c, new[3][-1]))
+    return top if found else None
 
 
 def template_paths(wrapper: tuple, page: tuple) -> frozenset:
     """Paths of the page's nodes that are template: matched with a template node, and with its text."""
-    found = set()
-
-    def walk(a: tuple, b: tuple, pairs: list) -> None:
-        if is_template(a) and b[2] and a[4] == b[4]:
+    _deep()
+    found, least = set(), least_pages(wrapper)
+    stack = [(wrapper, page, match(wrapper, page)[1])]
+    while stack:
+        a, b, pairs = stack.pop()
+        if b[2] and a[4] == b[4] and is_template(a, least):
             found.add(b[6])
-        for i, j, inner in pairs:
-            walk(a[3][i], b[3][j], inner)
-
-    walk(wrapper, page, match(wrapper, page)[1])
+        stack += [(a[3][i], b[3][j], inner) for i, j, inner in pairs]
     return frozenset(found)
 
 
+def _deep() -> None:
+    """Calls may nest as deep as two pages agree; such frames are on the heap."""
+    if sys.getrecursionlimit() < 1_000_000:
+        sys.setrecursionlimit(1_000_000)
+
+
 def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
@@ -258,23 +311,22 @@ def _distinct(captures: DataFrame) -> DataFrame:
 
 def induce(pages: DataFrame) -> DataFrame:
     """(host, shape): the wrapper tree of each host that has template nodes."""
-    import pickle
-
     def skeletons(batches):
         for batch in batches:
-            rows = [(h, page, payload, pickle.dumps(skeleton(number(parse(text))))) for h, page, payload, text in zip(*(c.to_pylist() for c in batch.columns)) if text]
+            rows = [(h, page, payload, pack(skeleton(number(parse(text))))) for h, page, payload, text in zip(*(c.to_pylist() for c in batch.columns)) if text]
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.binary()))], names=["host", "page", "payload", "shape"])
 
     def merged(batches):
+        _deep()
         now, salt, tree = None, 0, None
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string()), pa.array([salt], pa.int64()), pa.array([pickle.dumps(tree)], pa.binary())], names=["host", "salt", "shape"])
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string()), pa.array([salt], pa.int64()), pa.array([pack(tree)], pa.binary())], names=["host", "salt", "shape"])
 
         for batch in batches:
             for h, part, p, shape in zip(*(c.to_pylist() for c in batch.columns)):
-                new = pickle.loads(shape)
+                new = unpack(shape)
                 if (h, part) == now:
                     tree = merge(tree, new, match(tree, new)[1])
                     continue
@@ -288,13 +340,14 @@ def induce(pages: DataFrame) -> DataFrame:
         for batch in batches:
             kept = []
             for h, shape in zip(*(c.to_pylist() for c in batch.columns)):
-                if _any_template(tree := pickle.loads(shape)):
-                    kept.append((h, pickle.dumps(_pruned(tree))))
+                if (tree := prune(unpack(shape))) is not None:
+                    kept.append((h, pack(tree)))
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in kept], pa.string()), pa.array([s for _, s in kept], pa.binary())], names=["host", "shape"])
 
     kind = "host string, salt long, shape binary"
     payload = F.sha2("html", 256)
     captures = pages.select(host("url").alias("host"), F.coalesce(F.regexp_replace("url", "#.*", ""), payload).alias("page"), payload.alias("payload"), "html")
+    captures = captures.where("host <> ''")
     trees = _distinct(materialize(captures.mapInArrow(skeletons, "host string, page string, payload string, shape binary"), "skeletons"))
     level = 0
     while True:
@@ -310,18 +363,13 @@ def induce(pages: DataFrame) -> DataFrame:
 def _articles(node: Node) -> list[Node]:
     """Outermost articles, or else mains, in page order; none inside furniture."""
     found: dict[str, list] = {"article": [], "main": []}
-
-    def walk(x: Node, inside: frozenset) -> None:
-        for c in x.children:
-            if isinstance(c, str) or c.path is None:
-                continue
-            if c.tag in found and c.tag not in inside:
-                found[c.tag].append(c)
-                walk(c, inside | {c.tag})
-            else:
-                walk(c, inside)
-
-    walk(node, frozenset())
+    stack = [(node, frozenset())]
+    while stack:
+        x, inside = stack.pop()
+        if x.tag in found and x.tag not in inside:
+            found[x.tag].append(x)
+            inside = inside | {x.tag}
+        stack += [(c, inside) for c in reversed(x.children) if not isinstance(c, str) and c.path is not None]
     return found["article"] or found["main"]
 
 
@@ -341,24 +389,28 @@ def main_text(text: str | None, wrapper: tuple | None = None) -> str:
             blocks.append(t)
         run.clear()
 
-    def walk(x: Node, inside: bool) -> None:
-        block = x.tag in _BLOCK
-        if block:
-            flush()
-        constant = x.path in template and (not inside or x.tag in _BOXES)
-        for c in x.children:
-            if isinstance(c, str):
-                if not constant:
-                    run.append(c)
-            elif c.tag == "br":
-                run.append(" ")
-            elif c.path is not None:
-                walk(c, inside)
-        if block:
+    def entered(x: Node) -> tuple:
+        if x.tag in _BLOCK:
             flush()
+        return x, iter(x.children), x.path in template and (not roots or x.tag in _BOXES)
 
     for r in roots or [root]:
-        walk(r, bool(roots))
+        open_ = [entered(r)]
+        while open_:
+            x, rest, constant = open_[-1]
+            for c in rest:
+                if isinstance(c, str):
+                    if not constant:
+                        run.append(c)
+                elif c.tag == "br":
+                    run.append(" ")
+                elif c.path is not None:
+                    open_.append(entered(c))
+                    break
+            else:
+                open_.pop()
+                if x.tag in _BLOCK:
+                    flush()
         flush()
     if not blocks and template:
         return main_text(text)  # a host whose pages are all alike: nothing varies
@@ -368,13 +420,13 @@ def main_text(text: str | None, wrapper: tuple | None = None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars.
 
-    Null and empty html gives an empty text. A page whose host has fewer than
-    four distinct pages, or whose url is null, is read without a template. Repeated rows
-    give equal results. No rows give no rows. Only page_id, url and html are
-    read.
+    Null and empty html gives an empty text; pages may be as long and as deep
+    as they like. A page whose host has fewer than four distinct pages, or
+    whose url is null or names no host, is read without a template: tag and
+    class names alone then tell its furniture. Repeated rows give equal results
+    and count once as evidence. No rows give no rows. Only page_id, url and
+    html are read, so other columns may have any names.
     """
-    import pickle
-
     wrappers = induce(pages).withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     hosted = pages.select(host("url").alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)).cast("int").alias("cut"), F.lit(1).alias("kind"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
     # a wrapper goes before its pages as a row of its own: joined, it would be repeated in each page's row
@@ -386,7 +438,7 @@ def extract(pages: DataFrame) -> DataFrame:
             ids, urls, texts = [], [], []
             for h, cut, kind, page_id, url, text, shape in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == 0:
-                    at, wrapper = (h, cut), pickle.loads(shape)
+                    at, wrapper = (h, cut), unpack(shape)
                     continue
                 ids.append(page_id), urls.append(url), texts.append(main_text(text, wrapper if (h, cut) == at else None))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
