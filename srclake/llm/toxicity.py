@@ -1,16 +1,25 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are whole words and word beginnings (stems that endings vary) of which a
-bounded sample of labelled documents shows that they go with the label.
-Examples with one vector are one entry with its votes. The inverted index keeps
-each term's weights by entry, in blocks with their maxima; a query visits
-blocks in the order of their upper bounds and stops when none can still enter
-its nearest entries, so the neighbours are exact.
+A bounded sample of labelled documents gives the examples; every word of theirs
+is a term. A term weighs (1 + log of its count) times its inverse document
+frequency over all documents, times its relevance: how surely the sample shows
+that it goes with the label or against it (1 for certain, FLOOR for a term that
+shows nothing, so no term is left out). Examples with one vector are one entry
+with its votes.
+
+The inverted index has for each term its postings by entry; the long lists are
+laid out in blocks of entries with their maxima. A batch of queries first adds
+up the postings of its short lists. With the block maxima of the long ones they
+bound every similarity in a block. The most promising blocks are completed
+first, and then all blocks whose bound reaches the k-th similarity found: the
+neighbours are exact. Their votes, weighted by squared
+similarity, are calibrated by a logistic curve fitted on the examples
+themselves, each scored without its own votes.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +31,15 @@ from . import wordhash
 from .common import free_name
 
 EXAMPLES = 8192  # bound of the labelled sample
-TERMS = 1024  # bound of the vocabulary
 NEIGHBOURS = 20  # distinct vectors that vote
-PREFIXES = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.7
+FLOOR = 0.02  # least relevance of a term
+_SURE = 50.0  # chi-square at which half of the relevance is reached
+_PRIOR = 0.05  # weight of the base rate among the votes
 _BLOCK = 64
-_LEAST_CHI2 = 25.0
-_LEAST_DOCS = 3
+_QUERIES = 64  # texts searched at once
+_CHUNKS = 64
 _TABLE = wordhash.ALNUM_TABLE
-_MASK = np.uint64((1 << 20) - 1)
 
 
 def held_out(doc_id):
@@ -38,89 +47,304 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
+def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges [first, last), and the range of each."""
+    n = last - first
+    total = int(n.sum())
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(total) + np.repeat(first - np.cumsum(n) + n, n), of
+
+
+class Vocabulary:
+    """Numbers of the known terms, by an open-addressing table."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms = terms  # ascending
+        self._slots = None
+
+    def __getstate__(self):
+        return self.terms
+
+    def __setstate__(self, terms):
+        self.__init__(terms)
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    def _build(self) -> None:
+        size = 1 << max(10, (4 * len(self.terms)).bit_length())
+        slots, left = np.full(size, -1, dtype=np.int32), np.arange(len(self.terms), dtype=np.int32)
+        at = (self.terms & np.uint64(size - 1)).astype(np.int64)
+        while len(left):
+            free = slots[at] < 0
+            slots[at[free]] = left[free]  # of several for one place the last stays
+            lost = slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & (size - 1)
+        self._slots, self._mask = slots, size - 1
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 if it is no term."""
+        if not len(self.terms):
+            return np.full(len(h), -1, dtype=np.int64)
+        if self._slots is None:
+            self._build()
+        at = (h & np.uint64(self._mask)).astype(np.int64)
+        out = self._slots[at].astype(np.int64)
+        left = np.flatnonzero((out >= 0) & (self.terms[out] != h))
+        while len(left):
+            at[left] = (at[left] + 1) & self._mask
+            out[left] = self._slots[at[left]]
+            left = left[(out[left] >= 0) & (self.terms[out[left]] != h[left])]
+        return out
+
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, count), by text and term."""
+        keys = [np.zeros(0, np.int64)]
+        width = max(1, len(self.terms))
+        for doc, h in wordhash.grams(texts, _TABLE, ()):
+            i = self.find(h)
+            known = i >= 0
+            keys.append(doc[known] * width + i[known])
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        return key // width, key % width, n
+
+
 @dataclass
 class Index:
-    """terms ascending; idf; weights[term, entry]; maxima[term, block]; votes by entry; the rate without terms."""
-
-    terms: np.ndarray
-    idf: np.ndarray
-    weights: np.ndarray
-    maxima: np.ndarray
-    positive: np.ndarray
+    """Terms and their values, and the postings (entry, weight) of each term by entry."""
+
+    vocabulary: Vocabulary
+    value: np.ndarray  # idf times relevance
+    first: np.ndarray  # where each term's postings begin
+    entry: np.ndarray
+    weight: np.ndarray
+    positive: np.ndarray  # votes by entry
     total: np.ndarray
-    evidence: list[int]
-    rate: float
+    evidence: np.ndarray  # an example's id by entry
+    blank: float  # score of a text without a term
     prior: float
+    curve: tuple[float, float] = (1.0, 0.0)
+    own: dict[int, int] = field(default_factory=dict)  # entry of each example, for calibration
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def _blocks(self) -> None:
+        """Lay the long lists out by block, with their block maxima."""
+        self._entries = -(-len(self.total) // _BLOCK) * _BLOCK
+        long = np.flatnonzero(np.diff(self.first) >= max(_BLOCK, len(self.total) // 32))
+        self._row = np.full(len(self.value), -1, dtype=np.int64)
+        self._row[long] = np.arange(len(long))
+        rows = np.zeros((len(long), self._entries), dtype=np.float32)
+        for i, t in enumerate(long.tolist()):
+            a, b = self.first[t], self.first[t + 1]
+            rows[i, self.entry[a:b]] = self.weight[a:b]
+        blocks = rows.reshape(len(long), -1, _BLOCK)
+        self._maxima = blocks.max(axis=2) if len(long) else np.zeros((0, self._entries // _BLOCK), np.float32)
+        self._lists = np.ascontiguousarray(blocks.transpose(1, 0, 2))  # by block, then term
+
+    def weights(self, doc: np.ndarray, term: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of each text's terms, with length 1."""
+        if not len(doc):
+            return np.zeros(0)
+        w = (1 + np.log(n)) * self.value[term]
+        return w / np.sqrt(np.bincount(doc, w * w))[doc]
+
+    def nearest(self, doc: np.ndarray, term: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, entry, similarity) of the k nearest entries that share a term; by text, most similar first, ties by number."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(doc) and len(self.total):
+            if not hasattr(self, "_lists"):
+                self._blocks()
+            names, starts = np.unique(doc, return_index=True)
+            for step in range(0, len(names), _QUERIES):
+                n = min(_QUERIES, len(names) - step)
+                a, b = starts[step], starts[step + n] if step + n < len(names) else len(doc)
+                row, who, sims = self._some(np.searchsorted(names[step : step + n], doc[a:b]), term[a:b], w[a:b], n, k)
+                out.append((names[step + row], who, sims))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _some(self, doc, term, w, rows: int, k: int):
+        at = self._row[term]
+        long, short = at >= 0, at < 0
+        query = np.zeros((rows, len(self._maxima)), dtype=np.float32)
+        query[doc[long], at[long]] = w[long]
+        place, of = _spread(self.first[term[short]], self.first[term[short] + 1])
+        sims = np.bincount(doc[short][of] * self._entries + self.entry[place], w[short][of] * self.weight[place], minlength=rows * self._entries).reshape(rows, -1, _BLOCK)
+        bound = sims.max(axis=2) + query @ self._maxima
+        seen = np.zeros(bound.shape, dtype=bool)
+
+        def visit(wanted: np.ndarray) -> None:
+            """Complete the similarities in the wanted blocks."""
+            for block in np.flatnonzero(wanted.any(axis=0)).tolist():
+                some = np.flatnonzero(wanted[:, block])
+                sims[some, block] += query[some] @ self._lists[block]
+            seen[wanted] = True
+
+        def kth(known: np.ndarray) -> np.ndarray:
+            at = max(0, known.shape[1] - k)
+            return np.partition(known, at, axis=1)[:, at] if known.shape[1] >= k else np.zeros(rows)
+
+        top = min(bound.shape[1], 2 + k // _BLOCK)
+        best = np.argpartition(-bound, top - 1, axis=1)[:, :top]
+        first = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(first, best, True, axis=1)
+        visit(first)
+        least = kth(np.take_along_axis(sims, best[:, :, None], axis=1).reshape(rows, -1))
+        rest = (bound > 0) & ~seen & (bound >= least[:, None] - 1e-5)
+        if rest.any():
+            visit(rest)
+            least = kth(np.where(seen[:, :, None], sims, 0).reshape(rows, -1))
+        table = np.where(seen[:, :, None], sims, 0).reshape(rows, -1)
+        r, who = np.nonzero((table >= least[:, None]) & (table > 0))
+        s = table[r, who]
+        order = np.lexsort((who, -s, r))
+        r, who, s = r[order], who[order], s[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        return r[place < k], who[place < k], s[place < k]
+
+    def votes(self, texts: pa.Array, without: list[tuple[int, int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """(share of votes for the label, whether any term is known, neighbours) of each text.
+
+        ``without`` names for each text an entry and the votes that do not count there.
+        """
+        doc, term, n = self.vocabulary.counts(texts)
+        row, who, sims = self.nearest(doc, term, self.weights(doc, term, n))
+        pos, total = self.positive[who], self.total[who]
+        if without is not None:
+            e, p, t = np.array(without, dtype=np.int64).reshape(-1, 3).T
+            mine = e[row] == who
+            pos, total = pos - np.where(mine, p[row], 0), total - np.where(mine, t[row], 0)
+        v = sims * sims
+        yes, all_ = (np.bincount(row, v * x, minlength=len(texts)) for x in (pos, total))
+        known = np.bincount(row, minlength=len(texts)) > 0
+        return (yes + _PRIOR * self.prior) / (all_ + _PRIOR), known, (row, who, sims)
+
+    def calibrated(self, share: np.ndarray) -> np.ndarray:
+        a, b = self.curve
+        return 1 / (1 + np.exp(-(a * _logit(share) + b)))
+
+    def scores(self, texts: pa.Array, most: int = 0) -> tuple[np.ndarray, list[list]]:
+        """Scores in 0..1, and up to ``most`` neighbours of each text as its evidence."""
+        share, known, (row, who, sims) = self.votes(texts)
+        why: list[list] = [[] for _ in range(len(texts))]
+        if most:
+            at = np.arange(len(row)) - np.searchsorted(row, row)
+            for r, e, s in zip(row[at < most].tolist(), who[at < most].tolist(), sims[at < most].tolist()):
+                why[r].append((int(self.evidence[e]), s))
+        return np.clip(np.where(known, self.calibrated(share), self.blank), 0, 1), why
+
+
+def _logit(p: np.ndarray) -> np.ndarray:
+    return np.log((p + 0.005) / (1.005 - p))
+
+
+def fit_curve(share: np.ndarray, positive: np.ndarray, total: np.ndarray) -> tuple[float, float]:
+    """(a, b) of the logistic curve of a * logit(share) + b that is likeliest; a is kept positive, so ranks stay."""
+    x, (a, b) = _logit(share), (1.0, 0.0)
+    if not 0 < positive.sum() < total.sum():
+        return a, b
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        g, h = positive - total * p, total * p * (1 - p)
+        ga, gb = (g * x).sum() - 0.1 * (a - 1), g.sum() - 0.1 * b
+        haa, hab, hbb = (h * x * x).sum() + 0.1, (h * x).sum(), h.sum() + 0.1
+        det = haa * hbb - hab * hab
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        size = max(abs(da), abs(db), 1.0)
+        a, b = max(0.05, a + da / size), b + db / size
+        if abs(da) + abs(db) < 1e-8:
+            break
+    return float(a), float(b)
+
+
+def relevance(n: np.ndarray, pos: np.ndarray, total: int, positive: int) -> np.ndarray:
+    """FLOOR to 1: the chi-square of each term and the label, squashed."""
+    rate = positive / total
+    if not 0 < rate < 1:
+        return np.ones(len(n))
+    chi = (pos - n * rate) ** 2 / (n * rate * (1 - rate)) * total / np.maximum(total - n, 1)
+    return FLOOR + (1 - FLOOR) * chi * chi / (chi * chi + _SURE * _SURE)
+
+
+def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
+    """(document frequency of each term, rows) over all documents; each task adds up before anything is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    width = -(-max(1, len(vocabulary)) // _CHUNKS)
 
-    def __post_init__(self):
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[(self.terms & _MASK).astype(np.int64)] = True
-        self.memo: dict[bytes, tuple[float, list]] = {}
+    def count(batches):
+        df, rows = np.zeros(width * _CHUNKS, dtype=np.int32), 0
+        for part in wordhash.slices(batches, 0):
+            df += np.bincount(shared.value.counts(part.column(0))[1], minlength=len(df)).astype(np.int32)
+            rows += part.num_rows
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(_CHUNKS), pa.int32()), "df": pa.array([x.tobytes() for x in np.split(df, _CHUNKS)], pa.binary()), "rows": pa.array([rows] + [0] * (_CHUNKS - 1), pa.int64())})
 
-    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, count), by text and term."""
-        docs, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(self.terms):
-            for doc, h in wordhash.grams(texts, _TABLE, PREFIXES):
-                some = np.flatnonzero(self.maybe[(h & _MASK).astype(np.int64)])
-                i = np.minimum(np.searchsorted(self.terms, h[some]), len(self.terms) - 1)
-                same = self.terms[i] == h[some]
-                docs.append(doc[some[same]])
-                terms.append(i[same])
-        key, n = np.unique(np.concatenate(docs) * TERMS + np.concatenate(terms), return_counts=True)
-        return key // TERMS, key % TERMS, n
-
-    def vector(self, terms: np.ndarray, n: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(n)) * self.idf[terms]
-        return w / np.sqrt((w * w).sum())
-
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Similarities and numbers of the k nearest entries that share a term; ties by number."""
-        bound = w @ self.maxima[terms]
-        order = np.argsort(-bound, kind="stable")
-        best, who = np.zeros(0), np.zeros(0, np.int64)
-        rows = self.weights[terms]
-        for block in order:
-            if bound[block] <= 0 or (len(best) == k and bound[block] < best[-1] - 1e-12):
-                break
-            lo = int(block) * _BLOCK
-            sims = w @ rows[:, lo : lo + _BLOCK]
-            some = np.flatnonzero(sims > 0)
-            best, who = np.concatenate([best, sims[some]]), np.concatenate([who, some + lo])
-            keep = np.lexsort((who, -best))[:k]
-            best, who = best[keep], who[keep]
-        return best, who
-
-    def score(self, terms: np.ndarray, n: np.ndarray) -> tuple[float, list]:
-        """The share of votes for the label, by squared similarity and drawn to the prior; with its evidence."""
-        key = terms.tobytes() + n.tobytes()
-        if key not in self.memo:
-            if len(self.memo) > 100_000:
-                self.memo.clear()
-            sims, who = self.nearest(terms, self.vector(terms, n))
-            v = sims * sims
-            got = float((v * self.positive[who]).sum()) + 0.2 * self.prior
-            self.memo[key] = got / (float((v * self.total[who]).sum()) + 0.2), [(self.evidence[i], float(s)) for i, s in zip(who[:3], sims[:3])]
-        return self.memo[key]
-
-    def scores(self, texts: pa.Array) -> tuple[np.ndarray, list[list]]:
-        doc, term, n = self.counts(texts)
-        out, why = np.full(len(texts), self.rate), [[] for _ in range(len(texts))]
-        cuts = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if b > a:
-                out[doc[a]], why[doc[a]] = self.score(term[a:b], n[a:b])
-        return out, why
-
-
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Index:
+    def merge(batches):
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for chunk, df, rows in zip(*(c.to_pylist() for c in batch.columns)):
+                s = sums.setdefault(chunk, [np.zeros(width, dtype=np.int64), 0])
+                s[0] += np.frombuffer(df, np.int32)
+                s[1] += rows
+        if sums:
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "df": pa.array([x.tobytes() for x, _ in sums.values()], pa.binary()), "rows": pa.array([r for _, r in sums.values()], pa.int64())})
+
+    schema = "chunk int, df binary, rows long"
+    out, rows = np.zeros(width * _CHUNKS, dtype=np.int64), 0
+    for r in docs.select("text").mapInArrow(count, schema).repartition(8, "chunk").mapInArrow(merge, schema).collect():  # 8 bytes a term
+        out[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.df, np.int64)
+        rows += r.rows
+    shared.destroy()
+    return out[: len(vocabulary)], rows
+
+
+def build(vocabulary: Vocabulary, value: np.ndarray, examples: list[tuple], prior: float) -> Index:
+    """The index of (id, term numbers, counts, votes for, votes) rows."""
+    entries: dict[tuple, list] = {}
+    none = [0, 0]
+    for i, terms, n, pos, total in examples:
+        if not len(terms):
+            none[0] += pos
+            none[1] += total
+            continue
+        e = entries.setdefault((terms.tobytes(), n.tobytes()), [terms, n, 0, 0, []])
+        e[2], e[3] = e[2] + pos, e[3] + total
+        e[4].append(i)
+    # entries near each other share their heaviest term, which makes tight block maxima
+    heavy = lambda e: int(e[0][np.argmax((1 + np.log(e[1])) * value[e[0]])])
+    kept = sorted(entries.values(), key=lambda e: (heavy(e), min(e[4])))
+    sizes = [len(e[0]) for e in kept]
+    doc = np.repeat(np.arange(len(kept)), sizes)
+    term = np.concatenate([e[0] for e in kept]) if kept else np.zeros(0, np.int64)
+    n = np.concatenate([e[1] for e in kept]) if kept else np.zeros(0, np.int64)
+    w = (1 + np.log(n)) * value[term]
+    if len(doc):
+        w = w / np.sqrt(np.bincount(doc, w * w))[doc]
+    order = np.lexsort((doc, term))
+    doc, term, w = doc[order], term[order], w[order].astype(np.float32)
+    return Index(
+        vocabulary,
+        value,
+        np.searchsorted(term, np.arange(len(vocabulary) + 1)).astype(np.int64),
+        doc.astype(np.int32),
+        w,
+        np.array([e[2] for e in kept], dtype=float),
+        np.array([e[3] for e in kept], dtype=float),
+        np.array([min(e[4]) for e in kept], dtype=np.int64),
+        (none[0] + prior) / (none[1] + 1),
+        prior,
+        own={i: k for k, e in enumerate(kept) for i in e[4]},
+    )
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     """Learn from at most ``examples`` labelled rows, those with the smallest hash of the id.
 
     Rows of labels that are held out, or whose doc_id or label is null, are
-    never read further. Document frequencies of the chosen terms are counted
-    over all of ``docs``.
+    never read further. Repeated labels of a document all vote; of repeated
+    documents the least text counts. The vocabulary is every word of these
+    examples; its document frequencies are counted over all of ``docs``.
     """
-    terms = min(terms, TERMS)
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("label"))
         .where("id is not null and label is not null")
@@ -131,103 +355,59 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
         .collect()
     )
     votes: dict[int, list[int]] = {}
-    for row in chosen:  # repeated labels of a document all vote
+    for row in chosen:
         v = votes.setdefault(row.id, [0, 0])
         v[0] += row.label == 1
         v[1] += 1
     spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(k,) for k in votes], "id long"))
+    wanted = F.broadcast(spark.createDataFrame([(k,) for k in votes], "id long"))  # at most `examples` ids
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id").groupBy("id").agg(F.min("text").alias("text"))
-    shared = spark.sparkContext.broadcast(votes)
-
-    def features(column):
-        docs, hashes = zip(*wordhash.grams(column, _TABLE, PREFIXES)) if len(column) else ((), ())
-        if not docs:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        doc, h = np.concatenate(docs), np.concatenate(hashes)
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))[: len(h)]
-        return doc[new], h[new]
-
-    def count(batches):
-        for part in wordhash.slices(batches, 1):
-            doc, h = features(part.column(1))
-            v = np.array([shared.value[i] for i in part.column(0).to_pylist()])
-            if not len(h):
-                continue
-            term, at = np.unique(h, return_inverse=True)
-            pos = np.bincount(at, weights=v[doc, 0]).astype(np.int64)
-            n = np.bincount(at, weights=v[doc, 1]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n), pa.array(pos)], names=["h", "n", "pos"])
-
-    total, positive = sum(v[1] for v in votes.values()), sum(v[0] for v in votes.values())
-    rate = positive / total if total else 0.0
-    best = []
-    if 0 < rate < 1:
-        expect = F.col("n") * rate
-        best = (
-            texts.mapInArrow(count, "h long, n long, pos long")
-            .groupBy("h")
-            .agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-            .where((F.col("n") >= _LEAST_DOCS) & (F.col("pos") > expect))
-            .select("h", (F.pow(F.col("pos") - expect, 2) / (expect * (1 - rate)) * total / F.greatest(F.lit(total) - F.col("n"), F.lit(1))).alias("chi"))
-            .where(F.col("chi") >= _LEAST_CHI2)
-            .orderBy(F.desc("chi"), "h")
-            .limit(terms)
-            .collect()
-        )
-    vocabulary = np.sort(np.array([r.h for r in best], dtype=np.int64).view(np.uint64))
-    index = Index(vocabulary, np.ones(len(vocabulary)), np.zeros((len(vocabulary), 0)), np.zeros((len(vocabulary), 0)), np.zeros(0), np.zeros(0), [], rate, rate)
-    if not len(vocabulary):
-        return index
-    bare = spark.sparkContext.broadcast(index)
-
-    def spread(batches):
-        df, rows = np.zeros(len(vocabulary), dtype=np.int64), 0
-        for part in wordhash.slices(batches, 0):
-            df += np.bincount(bare.value.counts(part.column(0))[1], minlength=len(vocabulary))
-            rows += part.num_rows
-        yield pa.RecordBatch.from_pydict({"df": pa.array([df.tobytes()], pa.binary()), "rows": pa.array([rows], pa.int64())})
-
-    def add(batches):
-        df, rows = np.zeros(len(vocabulary), dtype=np.int64), 0
-        for batch in batches:
-            for x, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                df, rows = df + np.frombuffer(x, np.int64), rows + r
-        yield pa.RecordBatch.from_pydict({"df": pa.array([df.tobytes()], pa.binary()), "rows": pa.array([rows], pa.int64())})
-
-    parts = docs.select("text").mapInArrow(spread, "df binary, rows long").repartition(4).mapInArrow(add, "df binary, rows long").collect()
-    df, rows = sum(np.frombuffer(p.df, np.int64) for p in parts), sum(p.rows for p in parts)
-    index.idf = np.log((1 + rows) / (1 + df)) + 1
 
     def describe(batches):
         for part in wordhash.slices(batches, 1):
-            doc, term, n = bare.value.counts(part.column(1))
-            cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
+            docs, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for doc, h in wordhash.grams(part.column(1), _TABLE, ()):
+                docs.append(doc), hashes.append(h)
+            doc, h = np.concatenate(docs), np.concatenate(hashes)
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
+            new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))[: len(h)])
+            n = np.diff(np.append(new, len(h)))
+            cuts = np.searchsorted(doc[new], np.arange(part.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), *(pa.array([x[a:b] for a, b in zip(cuts[:-1], cuts[1:])], pa.list_(pa.int64())) for x in (term, n))], names=["id", "terms", "counts"]
+                [part.column(0), *(pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for x in (h[new], n.astype(np.int32)))], names=["id", "terms", "counts"]
             )
 
-    entries: dict[tuple, list] = {}
-    none = [0, 0]
-    for row in texts.mapInArrow(describe, "id long, terms array<long>, counts array<long>").collect():  # at most `examples` short rows
-        pos, n = votes[row.id]
-        if not row.terms:
-            none[0] += pos
-            none[1] += n
-            continue
-        e = entries.setdefault((tuple(row.terms), tuple(row.counts)), [0, 0, row.id])
-        e[0], e[1], e[2] = e[0] + pos, e[1] + n, min(e[2], row.id)
-    keys = sorted(entries)  # like vectors near each other make tight block maxima
-    width = -(-max(1, len(keys)) // _BLOCK) * _BLOCK
-    index.weights = np.zeros((len(vocabulary), width))
-    for i, (t, n) in enumerate(keys):
-        index.weights[list(t), i] = index.vector(np.array(t), np.array(n))
-    index.maxima = index.weights.reshape(len(vocabulary), -1, _BLOCK).max(axis=2)
-    index.positive, index.total = (np.array([entries[k][j] for k in keys] + [0] * (width - len(keys)), dtype=float) for j in (0, 1))
-    index.evidence = [entries[k][2] for k in keys]
-    index.rate = (none[0] + rate) / (none[1] + 1)
+    rows = texts.mapInArrow(describe, "id long, terms binary, counts binary").toArrow()  # at most `examples` rows
+    found = [(i, np.frombuffer(t, np.uint64), np.frombuffer(n, np.int32).astype(np.int64), *votes[i]) for i, t, n in zip(*(c.to_pylist() for c in rows.columns))]
+    found.sort(key=lambda r: r[0])
+    total, positive = sum(r[4] for r in found), sum(r[3] for r in found)
+    prior = positive / total if total else 0.0
+    terms, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r[1] for r in found)]), return_inverse=True)
+    vocabulary = Vocabulary(terms)
+    if not len(terms):
+        return build(vocabulary, np.zeros(0), [(r[0], r[1], *r[2:]) for r in found], prior)
+    sizes = [len(r[1]) for r in found]
+    n, pos = (np.bincount(at, np.repeat([float(r[k]) for r in found], sizes), minlength=len(terms)) for k in (4, 3))
+    df, n_docs = _frequencies(docs, vocabulary)
+    value = (np.log((1 + n_docs) / (1 + df)) + 1) * relevance(n, pos, total, positive)
+    cuts = np.cumsum([0, *sizes])
+    index = build(vocabulary, value, [(r[0], at[a:b], r[2], r[3], r[4]) for r, a, b in zip(found, cuts[:-1], cuts[1:])], prior)
+    if 0 < prior < 1:
+        shared = spark.sparkContext.broadcast((index, votes))
+
+        def others(batches):
+            ix, own_votes = shared.value
+            for part in wordhash.slices(batches, 1):
+                ids = part.column(0).to_pylist()
+                share, known, _ = ix.votes(part.column(1), [(ix.own.get(i, -1), *own_votes[i]) for i in ids])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.where(known, share, np.nan))], names=["id", "share"])
+
+        scored = [(s, *votes[i]) for i, s in texts.mapInArrow(others, "id long, share double").collect() if s == s]  # at most `examples` rows
+        shared.destroy()
+        if scored:
+            index.curve = fit_curve(*np.array(scored, dtype=float).T)
+    index.own = {}
     return index
 
 
@@ -239,7 +419,7 @@ def score_column(docs: DataFrame, index: Index, name: str) -> DataFrame:
     def run(batches):
         for part in wordhash.slices(batches, at):
             s, _ = shared.value.scores(part.column(at))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(s, 0, 1), pa.float64())], names=[*part.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, name])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
@@ -248,19 +428,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """Per document: doc_id, held_out, score, predicted, evidence.
 
     evidence lists up to three nearest labelled documents with their
-    similarity. A null or empty text, or one without a known term, has the
-    smoothed rate of the examples that have no term either. Without usable
-    labels every score is 0 (no positive example) or 1 (no other). Ties go to
-    the entry with the smaller vector; repeated rows get equal scores. Only
-    doc_id, text and toxic are read.
+    similarity. Whole texts count, however long. A null or empty text, or one
+    without a known term, has the smoothed rate of the examples that have no
+    term either. Without usable labels every score is 0 (no positive example)
+    or near 1 (no other). Ties go to the entry with the smaller number;
+    repeated rows get equal scores. Other columns are not read, whatever their
+    names; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches):
         for part in wordhash.slices(batches, 1):
-            s, why = shared.value.scores(part.column(1))
+            s, why = shared.value.scores(part.column(1), 3)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(np.clip(s, 0, 1), pa.float64()), pa.array([[{"doc_id": i, "similarity": x} for i, x in w] for w in why], pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())])))],
+                [part.column(0), pa.array(s, pa.float64()), pa.array([[{"doc_id": i, "similarity": x} for i, x in w] for w in why], pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())])))],
                 names=["doc_id", "score", "evidence"],
             )
 
@@ -269,6 +450,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
+    """``docs`` without the rows that score ``threshold`` or more; all columns and repeated rows stay."""
     name = free_name(docs.columns, "score")
     return score_column(docs, fit(docs, labels), name).where(F.col(name) < threshold).drop(name)
