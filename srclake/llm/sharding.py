@@ -1,163 +1,247 @@
 """K-d tree sharding: weighted medians along the widest metadata dimension.
 
-One pass over the texts leaves a compact table (coordinates, weight, hashes).
-The tree is then split level by level, all nodes at once: a node that stands
-for s shards is cut where floor(s/2)/s of its weight lies below, along the
-dimension in which its rows extend furthest. The cut is found exactly by
-refining weighted histograms over (coordinate, text hash, row hash), so ties
-and hot values split as well as others. Only per-node histograms, bounded by
-the number of shards, reach the driver.
+One pass over the texts leaves a compact table; equal texts are one group with
+its bytes. A group's place along a dimension (language, source, length) is a
+number: its cell of 2**20 in the upper bits and the text's hash in the lower, so
+many groups in one cell still have an order and a hot value splits as well as
+any other. The tree is split level by level, all nodes at once: a node that
+stands for s shards is cut where floor(s/2)/s of its weight lies below, along
+the dimension in which its groups extend furthest, or where a heavy group lies
+across that cut, along the next dimension, or in another order of the groups of
+one cell, that has a better one. The cut is found by
+histograms of places, each narrower than the last. A group is never cut; one
+heavier than an even share has a shard to itself. Rows get their shard from the
+tree as one expression. Only histograms, bounded by the number of shards, and
+the groups that are a thousandth of all rows or more reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize
 
 _BINS = 1024
-_HASH = float(1 << 52)
-_TOGETHER = 0.02  # equal texts of at most this share of a shard are never split
-_EXACT = 0.001  # a cut may miss its weight by this share of a shard
+_CELLS = 1 << 20
+_EXACT = 0.0005  # a cut may miss its weight by this share of a shard
+_HOT = 1000  # at most so many groups can have this part of the rows each
+_SLOTS = 500_000  # rows numbered in one go
+_NEAR = 1.01  # load of a shard, of an even one, with which a cut is good
+DIMENSIONS = 3
+_PLACES = 2 * DIMENSIONS
 
 
-def _coordinate(points: DataFrame, column: str) -> DataFrame:
-    """(column, c): values in order of text, each at the middle of its share of rows, in 0..1."""
-    counts = points.groupBy(column).agg(F.count("*").alias("n"))
-    below = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.col(column).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return counts.select(F.col(column).alias("key"), ((F.coalesce(below, F.lit(0)) + F.col("n") / 2) / total).alias("c"))
+def _code(column: Column) -> Column:
+    """The first six bytes of a text as a number, in text order; -1 for null."""
+    six = F.rpad(F.substring(column.cast("binary"), 1, 6), 6, F.lit(b"\x00"))
+    return F.coalesce(F.conv(F.hex(six), 16, 10).cast("long"), F.lit(-1))
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, the coordinates d0 (lang), d1 (source), d2 (length), and hashes h0, h1 in 0..1."""
+    """row, doc_id, size, text_crc32, hash of the text, and the codes c0 (lang), c1 (source), c2 (length)."""
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     have = {c.lower() for c in docs.columns}
-    pick = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
-    unit = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 12) / F.lit(_HASH)
+    pick = lambda c: _code(F.col(c).cast("string")) if c in have else F.lit(-1).cast("long")
     return docs.select(
+        F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        pick("lang").alias("lang"),
-        pick("source").alias("source"),
-        F.log2(F.octet_length(text) + 1.0).alias("length"),
-        unit(text).alias("h0"),
-        unit("doc_id", F.lit(7), "text").alias("h1"),
+        F.xxhash64(text).alias("hash"),
+        pick("lang").alias("c0"),
+        pick("source").alias("c1"),
+        F.floor(F.log2(F.octet_length(text) + 1.0) * 1e6).cast("long").alias("c2"),
     )
 
 
-def _locate(rows: DataFrame, nodes: dict[int, dict]) -> DataFrame:
-    """Rows of open nodes with the histogram bin of their present coordinate."""
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(n, s["dim"], s["part"], s["lo"], s["hi"], s["v"], s["h"]) for n, s in nodes.items()], "node int, dim int, part int, lo double, hi double, fv double, fh double")
-    value = F.element_at("d", F.col("dim") + 1)
-    at = F.when(F.col("part") == 0, value).when(F.col("part") == 1, F.col("h0")).otherwise(F.col("h1"))
-    inside = ((F.col("part") < 1) | (value == F.col("fv"))) & ((F.col("part") < 2) | (F.col("h0") == F.col("fh")))
-    bin_ = F.least(F.lit(_BINS - 1), F.floor((at - F.col("lo")) / (F.col("hi") - F.col("lo")) * _BINS)).cast("int")
-    return rows.join(table, "node").where(inside & (at >= F.col("lo")) & (at <= F.col("hi"))).select("node", F.when(F.col("hi") > F.col("lo"), bin_).otherwise(0).alias("bin"), at.alias("at"), "size")
-
-
-def _cuts(rows: DataFrame, bounds: dict[int, dict], shards: dict[int, int], slack: float, together: float) -> dict[int, tuple]:
-    """For each node (dim, value, h0, h1): rows up to this point, in this order, go left."""
-    out: dict[int, tuple] = {}
-    state: dict[int, dict] = {}
-    for n, b in bounds.items():
-        dim = max(range(len(b["lo"])), key=lambda i: (b["hi"][i] - b["lo"][i], -i))
-        state[n] = {"dim": dim, "part": 0, "lo": b["lo"][dim], "hi": b["hi"][dim], "v": 0.0, "h": 0.0, "need": b["size"] * (shards[n] // 2) / shards[n]}
+def _places(groups: DataFrame) -> DataFrame:
+    """Groups with their places (k0, ...): along each dimension, in each order of the groups of one cell."""
+    ends = groups.agg(*(f(f"c{d}").alias(f"{n}{d}") for d in range(DIMENSIONS) for n, f in (("a", F.min), ("b", F.max)))).first()
+    low = [F.col("hash").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("hash", 32)]
+    cell = lambda d: F.floor((F.col(f"c{d}") - ends[f"a{d}"]) / max(ends[f"b{d}"] - ends[f"a{d}"], 1) * (_CELLS - 1)).cast("long")
+    return groups.select("hash", "text_crc32", "w", "n", *((cell(d % DIMENSIONS) * (1 << 32) + low[d // DIMENSIONS]).alias(f"k{d}") for d in range(_PLACES)))
+
+
+class _Node:
+    def __init__(self, shards: int):
+        self.shards, self.cut, self.left, self.right = shards, None, None, None
+
+    def leaves(self) -> list[_Node]:
+        return [self] if self.cut is None else self.left.leaves() + self.right.leaves()
+
+    def locate(self, number: dict[int, int]) -> Column:
+        """The number of the leaf that a group falls into."""
+        if self.cut is None:
+            return F.lit(number[id(self)])
+        dim, at = self.cut
+        return F.when(F.col(f"k{dim}") <= at, self.left.locate(number)).otherwise(self.right.locate(number))
+
+    def plain(self, number: dict[int, int]):
+        """The tree as nested tuples (dimension, place, left, right), with the numbers of the wanted leaves."""
+        if self.cut is None:
+            return number.get(id(self))
+        return (*self.cut, self.left.plain(number), self.right.plain(number))
+
+
+def _histograms(groups: DataFrame, tree, state: dict[tuple[int, int], dict]) -> dict[tuple[int, int], list]:
+    """For each (node, dimension) the filled bins (w, a, b) between lo and hi: weight, least and greatest place."""
+    wanted = [(i, d, s["lo"], s["hi"]) for (i, d), s in state.items()]
+
+    def count(batches):
+        shape = (len(wanted), _BINS)
+        weight, low, high = np.zeros(shape, np.int64), np.full(shape, 1 << 62, np.int64), np.full(shape, -1, np.int64)
+        for batch in batches:
+            w, k = batch.column(0).to_numpy(), [batch.column(d + 1).to_numpy() for d in range(_PLACES)]
+            inside: dict[int, np.ndarray] = {}
+            stack = [(tree, np.arange(len(w)))]
+            while stack:
+                t, some = stack.pop()
+                if isinstance(t, tuple):
+                    left = k[t[0]][some] <= t[1]
+                    stack += [(t[2], some[left]), (t[3], some[~left])]
+                elif t is not None:
+                    inside[t] = some
+            for row, (i, d, lo, hi) in enumerate(wanted):
+                at = inside[i]
+                x = k[d][at]
+                here = (x >= lo) & (x <= hi)
+                x, at = x[here], at[here]
+                order = np.argsort(x, kind="stable")
+                x, y = x[order], w[at[order]]
+                if not len(x):
+                    continue
+                bins = (x - lo) * _BINS // (hi - lo + 1)
+                first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
+                b = bins[first]
+                weight[row, b] += np.add.reduceat(y, first)
+                low[row, b] = np.minimum(low[row, b], x[first])
+                high[row, b] = np.maximum(high[row, b], x[np.append(first[1:], len(x)) - 1])
+        row, b = np.nonzero(high >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in (row, b, weight[row, b], low[row, b], high[row, b])], names=["row", "bin", "w", "a", "b"])
+
+    parts = groups.select("w", *(f"k{d}" for d in range(_PLACES))).mapInArrow(count, "row long, bin long, w long, a long, b long")
+    found: dict[tuple[int, int], list] = {k: [] for k in state}
+    for r in parts.groupBy("row", "bin").agg(F.sum("w").alias("w"), F.min("a").alias("a"), F.max("b").alias("b")).collect():  # nodes x places x _BINS at most
+        found[wanted[r.row][:2]].append(r)
+    return found
+
+
+def _share(below: int, above: int, shards: int) -> tuple[float, int]:
+    """The least greatest load of a shard, and how many shards the lower part then has."""
+    return min((max(below / s, above / (shards - s)), abs(2 * s - shards), s) for s in range(1, shards))[::2]
+
+
+def _cuts(groups: DataFrame, root: _Node, open_: list[_Node], slack: float) -> dict[int, tuple[int, int, int]]:
+    """For each open node (dimension, place, shards below): groups up to this place go left. Nodes of one group have none."""
+    tree = root.plain({id(n): i for i, n in enumerate(open_)})
+    state: dict[tuple[int, int], dict] = {(i, d): {"lo": 0, "hi": _CELLS * (1 << 32) - 1} for i in range(len(open_)) for d in range(_PLACES)}
+    seen = _histograms(groups, tree, state)
+    widest: dict[int, list[int]] = {}
+    options: dict[int, dict[int, tuple]] = {}
+    for i, node in enumerate(open_):
+        if not seen[i, 0]:  # no groups at all
+            widest[i] = []
+            for d in range(_PLACES):
+                del state[i, d]
+            continue
+        extent = {d: (max(r.b for r in seen[i, d]) >> 32) - (min(r.a for r in seen[i, d]) >> 32) for d in range(DIMENSIONS)}
+        widest[i], options[i] = sorted(range(_PLACES), key=lambda d: (-extent[d % DIMENSIONS], d)), {}
+        for d in range(_PLACES):
+            total = sum(r.w for r in seen[i, d])
+            state[i, d] |= {"bins": seen[i, d], "below": 0, "last": None, "total": total, "need": total * (node.shards // 2) / node.shards}
     while state:
-        seen: dict[int, list] = {}
-        found = _locate(rows, state).groupBy("node", "bin").agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("b")).collect()  # nodes x _BINS at most
-        for r in found:
-            seen.setdefault(r.node, []).append(r)
-        for n, s in list(state.items()):
-            below = 0
-            for r in sorted(seen.get(n, []), key=lambda r: r.bin):
+        for (i, dim), s in list(state.items()):
+            below, last = s["below"], s["last"]
+            for r in sorted(s["bins"], key=lambda r: r.a):
                 if below + r.w > s["need"]:
                     break
-                below, s["last"] = below + r.w, r.b
-            else:
-                r = None
-
-            def done(point):
-                out[n] = (s["dim"], *((s["v"], s["h"], point) if s["part"] == 2 else (s["v"], point, 2.0) if s["part"] == 1 else (point, 2.0, 2.0)))
-                del state[n]
-
-            if r is None:  # all of it goes left
-                done(s.get("last", s["hi"]))
+                below, last = below + r.w, r.b
+            if r.a != r.b and r.w > slack:
+                s |= {"lo": r.a, "hi": r.b, "below": below, "last": last}
                 continue
-            s["need"] -= below
-            before = s.get("last")
-            whole = r.a == r.b and (r.n == 1 or s["part"] == 2 or (s["part"] == 1 and r.w <= together))
-            if whole and 2 * s["need"] > r.w:
-                done(r.b)
-            elif whole or s["need"] <= slack:
-                done(before if before is not None and before < r.a else r.a - max(abs(r.a), 1.0) * 1e-15 * 4)
-            elif r.w - s["need"] <= slack:
-                done(r.b)
-            elif r.a == r.b:  # one value holds the cut: go on by hash
-                s |= {"v": r.a} if s["part"] == 0 else {"h": r.a}
-                s |= {"part": s["part"] + 1, "lo": 0.0, "hi": 1.0}
-                s.pop("last", None)
-            else:
-                s |= {"lo": r.a, "hi": r.b}
-                s.pop("last", None)
-                s["last"] = r.a - max(abs(r.a), 1.0) * 1e-15 * 4
+            for x, at in ((below, last), (below + r.w, r.b)):
+                if 0 < x < s["total"]:
+                    load, shards = _share(x, s["total"] - x, open_[i].shards)
+                    options[i][dim] = min(options[i].get(dim, (float("inf"),)), (load * open_[i].shards / s["total"], at, shards))
+            del state[i, dim]
+        if state:
+            for k, bins in _histograms(groups, tree, state).items():
+                state[k]["bins"] = bins
+    out = {}
+    for i, dims in widest.items():
+        if not dims:
+            continue
+        good = [d for d in dims if d in options[i] and options[i][d][0] <= _NEAR] or sorted(options[i], key=lambda d: options[i][d][0])
+        if good:
+            _, at, shards = options[i][good[0]]
+            out[i] = (good[0], at, shards)
     return out
 
 
-def kd_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
+def kd_shards(docs: DataFrame, shards: int = 40, exact: float = _EXACT) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    The law is ``bytes``: shards differ in size by a small share, or by one
-    row where a row is larger than that. size counts UTF-8 bytes and 16 more;
-    a null text has no bytes and the checksum of none. A missing or null lang
-    or source is a value of its own. Equal texts have one place in the tree and
-    stay in one shard unless they weigh over 2 % of a shard, when a cut may
-    divide them. slot counts
-    gaplessly from 0 within each shard. No rows give no rows.
+    The law is ``bytes``: shards are of near equal size, as near as whole groups
+    allow, and all rows of a text (of its 64-bit hash and checksum) are in one
+    shard. A text heavier than an even share of the rest has a shard to itself,
+    and the rest is spread evenly over the others. size counts UTF-8 bytes and
+    16 more; a null text has no bytes and counts as equal to an empty one. A
+    group's language and source are the least of its rows; a missing column or
+    a null is a value of its own, before all others. slot counts gaplessly from
+    0 within each shard; repeated rows have slots of their own. Texts may be as
+    long as they like. Only doc_id, text, lang and source are read, so other
+    columns may have any names. No rows give no rows.
     """
-    base = points(docs)
-    base = materialize(base, "points")
-    group = base.groupBy("text_crc32", "h0").agg(F.min("lang").alias("lang"), F.min("source").alias("source"))
-    base = base.drop("lang", "source").join(group, ["text_crc32", "h0"])
-    for c in ("lang", "source"):
-        made = _coordinate(base, c)
-        base = base.join(made.withColumnRenamed("c", f"c_{c}"), F.col(c).eqNullSafe(F.col("key")), "left").drop("key")
-    edge = base.agg(F.min("length").alias("a"), F.max("length").alias("b"), F.sum("size").alias("total")).first()
-    if edge.total is None:
-        return base.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    length = (F.col("length") - edge.a) / max(edge.b - edge.a, 1e-9)
-    rows = materialize(base.select("doc_id", "size", "text_crc32", F.array("c_lang", "c_source", length).alias("d"), "h0", "h1", F.lit(0).alias("node")), "tree")
-    dims, slack = 3, _EXACT * edge.total / shards
-    width, first = {0: shards}, {0: 0}
-    while any(w > 1 for w in width.values()):
-        spread = rows.groupBy("node").agg(F.sum("size").alias("size"), *(f(F.element_at("d", i + 1)).alias(f"{k}{i}") for i in range(dims) for k, f in (("a", F.min), ("b", F.max)))).collect()
-        bounds = {r.node: {"size": r["size"], "lo": [r[f"a{i}"] for i in range(dims)], "hi": [r[f"b{i}"] for i in range(dims)]} for r in spread if width[r.node] > 1}
-        cuts = _cuts(rows, bounds, width, slack, _TOGETHER * edge.total / shards)
-        new_width, new_first, moves = {}, {}, []
-        for n, w in width.items():
-            left = w // 2 if w > 1 else w
-            new_width[2 * n], new_first[2 * n] = left, first[n]
-            if w > 1:
-                new_width[2 * n + 1], new_first[2 * n + 1] = w - left, first[n] + left
-            if n in cuts:
-                moves.append((n, *cuts[n]))
-        table = docs.sparkSession.createDataFrame(moves, "node int, dim int, cv double, ch double, ci double")
-        value = F.element_at("d", F.col("dim") + 1)
-        right = (value > F.col("cv")) | ((value == F.col("cv")) & ((F.col("h0") > F.col("ch")) | ((F.col("h0") == F.col("ch")) & (F.col("h1") > F.col("ci")))))
-        rows = rows.join(table, "node", "left").withColumn("node", F.col("node") * 2 + F.coalesce(right, F.lit(False)).cast("int")).select("doc_id", "size", "text_crc32", "d", "h0", "h1", "node")
-        width, first = new_width, new_first
-    leaf = docs.sparkSession.createDataFrame([(n, f) for n, f in first.items()], "node int, shard int")
-    placed = rows.join(leaf, "node").select("doc_id", "size", "text_crc32", "shard", F.floor(F.col("h1") * 256).cast("int").alias("cell"), "h1")
-    # a cell holds rows of one hash range; repeated rows share h1, and an even spread within it comes from a random number
-    placed = materialize(placed.withColumn("r", F.rand(11)).withColumn("cell", (F.col("cell") * 16 + F.floor(F.col("r") * 16)).cast("int")), "placed")
-    cells = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
-    start = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    started = cells.select("shard", "cell", start.alias("start"))
-    rank = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("h1", "doc_id", "r"))
-    return placed.join(started, ["shard", "cell"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + rank - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    base = materialize(points(docs), "points")
+    key = ["hash", "text_crc32"]
+    groups = base.groupBy(*key).agg(F.sum("size").alias("w"), F.count("*").alias("n"), *(F.min(f"c{d}").alias(f"c{d}") for d in range(DIMENSIONS)))
+    groups = materialize(groups, "groups")
+    sums = groups.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()
+    slot, grown = F.lit(0).cast("long"), F.lit(None).cast("int")
+    if sums.w is None:
+        return base.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), slot.alias("slot"), grown.alias("grown_shard"))
+    groups = materialize(_places(groups), "places")
+    # at most shards - 1 texts are heavier than an even share
+    heavy = groups.where(F.col("w") * shards > sums.w).orderBy(F.desc("w"), *key).collect()
+    alone, weight = [], sums.w
+    for g in heavy:
+        if len(alone) < shards - 1 and g.w * (shards - len(alone)) > weight:
+            alone.append(g)
+            weight -= g.w
+    of = F.lit(None).cast("int")
+    for i, g in enumerate(alone):
+        of = F.when((F.col("hash") == g.hash) & (F.col("text_crc32") == g.text_crc32), shards - 1 - i).otherwise(of)
+    rest = groups.where(of.isNull())
+    root = _Node(shards - len(alone))
+    open_ = [root] if root.shards > 1 else []
+    while open_:
+        cuts = _cuts(rest, root, open_, exact * weight / root.shards)
+        made = []
+        for i, n in enumerate(open_):
+            if i in cuts:
+                dim, at, below = cuts[i]
+                n.cut, n.left, n.right = (dim, at), _Node(below), _Node(n.shards - below)
+                made += [c for c in (n.left, n.right) if c.shards > 1]
+        open_ = made
+    number, at = {}, 0
+    for leaf in root.leaves():
+        number[id(leaf)] = at
+        at += leaf.shards
+    named = groups.select(*key, "n", F.coalesce(of, root.locate(number)).alias("shard"))
+    # texts with a thousandth of the rows each are _HOT at most: they are broadcast, and no key of the join is hot
+    hot = named.where(F.col("n") * _HOT >= sums.n).select(*key, "shard")
+    cool = named.where(F.col("n") * _HOT < sums.n).select(*key, "shard")
+    compact = base.select("row", "doc_id", "size", *key)
+    placed = compact.join(F.broadcast(hot), key).unionByName(compact.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cool, key))
+    cells = max(4, -(-sums.n // (shards * _SLOTS)))
+    placed = materialize(placed.select("row", "doc_id", "size", "text_crc32", "shard", F.expr(f"cast(pmod(xxhash64(row), {cells}) as int)").alias("cell")), "placed")
+    counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("row"))
+    return placed.withColumn("rank", rank).join(counts.select("shard", "cell", before.alias("before")), ["shard", "cell"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"), grown.alias("grown_shard")
     )
