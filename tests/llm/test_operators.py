@@ -101,7 +101,7 @@ def test_decontaminate_unnamed_items(spark):
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
-    path = queries.tokenizer_path("word_bpe_49k.json")
+    path = queries.TOKENIZER
     t = Tokenizer.from_file(path)
     for text in ["it's 'S don't<|endoftext|> x<|startoftext|>y", "é ́x", "İstanbul ΑΣ ½", "\x1c\x1d a b　c", "a#'s#s'#t b-'ll'd", "x!é!ñ…!a—b", "#̈a a#̈"]:
         import pyarrow as pa
@@ -129,15 +129,64 @@ def test_packing(docs, empty):
 
 
 def test_sharding(spark, docs, empty):
-    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('ab', cast(id % 97 as int))").alias("text"), F.expr("if(id % 3 = 0, 'hot', cast(id % 7 as string))").alias("source"), F.lit(None).cast("string").alias("lang"))
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("concat(repeat('ab', cast(id % 97 as int)), cast(id as string))").alias("text"), F.expr("if(id % 3 = 0, 'hot', cast(id % 7 as string))").alias("source"), F.lit(None).cast("string").alias("lang"))
     got = sharding.kd_shards(many, 7).toPandas()
     size = got.groupby("shard")["size"].sum()
-    assert len(got) == 3000 and len(size) == 7 and size.max() - size.min() < 0.06 * size.mean()
-    for source in (got, sharding.kd_shards(docs, 3).toPandas()):
+    assert len(got) == 3000 and len(size) == 7 and size.max() - size.min() < 0.02 * size.mean()
+    small = sharding.kd_shards(docs, 3).toPandas()
+    for source in (got, small):
         for _, g in source.groupby("shard"):
             assert sorted(g.slot) == list(range(len(g)))
-    assert got.set_index("doc_id").text_crc32[5] == zlib.crc32(b"ab" * 5)
-    assert sharding.kd_shards(empty, 4).count() == 0
+    assert small.groupby("text_crc32")["shard"].nunique().max() == 1  # equal texts, null and empty ones too
+    want = sorted((str(r.doc_id), len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+    assert sorted((str(r.doc_id) if r.doc_id == r.doc_id else "None", r.size, r.text_crc32) for r in small.assign(doc_id=small.doc_id.astype("Int64").astype(object).where(small.doc_id.notna(), None)).rename(columns={"size": "bytes"}).assign(size=small["size"]).itertuples()) == want
+    assert sharding.kd_shards(empty, 4).count() == 0 and sharding.kd_shards(docs.select("text", "doc_id"), 3).count() == docs.count()
+    assert sharding.kd_shards(docs.limit(1), 5).count() == 1
+
+
+def test_sharding_heavy_text(spark):
+    """A text with a third of all bytes has a shard to itself; the others stay even."""
+    rows = [(i, "hot text " * 20) for i in range(1000)] + [(i, f"text number {i} " * 12) for i in range(1000, 3000)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string"), 9).toPandas()
+    size = got.groupby("shard")["size"].sum().sort_values()
+    hot = set(got[got.doc_id < 1000].shard)
+    assert len(hot) == 1 and set(got[got.shard.isin(hot)].doc_id) == set(range(1000)) and size.iloc[:-1].max() - size.iloc[:-1].min() < 0.02 * size.mean()
+
+
+def test_sharding_medians(spark):
+    """Every cut against a brute-force weighted median over the sorted groups."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "x" * int(rng.integers(0, 400)) + str(i % 350), f"s{rng.integers(0, 5)}", ["en", "de", None][int(rng.integers(0, 3))]) for i in range(500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    groups = sharding.points(d).groupBy("hash", "text_crc32").agg(F.sum("size").alias("w"), F.count("*").alias("n"), *(F.min(f"c{i}").alias(f"c{i}") for i in range(3)))
+    places = sharding._places(groups).collect()
+
+    def split(rows, shards, first, out):
+        if shards == 1 or len(rows) == 1:
+            out |= {r.text_crc32: first for r in rows}
+            return
+        total, options = sum(r.w for r in rows), {}
+        for dim in range(6):
+            order, below = sorted(rows, key=lambda r: r[f"k{dim}"]), 0
+            for n, r in enumerate(order):
+                if below + r.w > total * (shards // 2) / shards:
+                    break
+                below += r.w
+            for x, m in ((below, n), (below + r.w, n + 1)):
+                if 0 < x < total:
+                    load, s = sharding._share(x, total - x, shards)
+                    options.setdefault(dim, []).append((load * shards / total, order[m - 1][f"k{dim}"], s))
+        extent = [max(r[f"k{i}"] >> 32 for r in rows) - min(r[f"k{i}"] >> 32 for r in rows) for i in range(3)]
+        dims = sorted(options, key=lambda i: (-extent[i % 3], i))
+        dim = next((i for i in dims if min(options[i])[0] <= sharding._NEAR), min(dims, key=lambda i: min(options[i])[0]))
+        _, at, s = min(options[dim])
+        split([r for r in rows if r[f"k{dim}"] <= at], s, first, out)
+        split([r for r in rows if r[f"k{dim}"] > at], shards - s, first + s, out)
+
+    want: dict = {}
+    split(places, 6, 0, want)
+    got = {r.text_crc32: r.shard for r in sharding.kd_shards(d, 6, exact=0.0).collect()}
+    assert got == want
 
 
 def test_html():
@@ -192,11 +241,52 @@ def test_secrets(docs, empty):
     assert spans == want and [k for _, k, _ in spans] == [0, 1, 2]
     g = secrets.Guesser()
     assert g.segments("password1990")[0] < g.segments("xK9!pQ2zL0wT")[0] and [k for *_, k in g.segments("qwertyuiop")[1]] == ["walk"]
-    for v in ("aaaa", "Tr0ub4dour&3", "changeme123", "zzzz1999zzzz", ""):
-        segments = g.segments(v)[1]
-        assert "".join(v[a:b] for a, b, _ in segments) == v
     got = secrets.scan(docs).collect()
     assert len(got) == docs.count() and got[0].base_sha256 == hashlib.sha256(b"").hexdigest() and secrets.scan(empty).count() == 0
+    for line, found in (("SECRET_KEY=xK9!pQ2zL0wT", True), ("aws_secret_access_key = xK9!pQ2zL0wT", True), ("password => xK9!pQ2zL0wT", True), ("private_key: xK9!pQ2zL0wT", True), ("password: changeme", False), ("the token is secret", False)):
+        assert any(g.segments(m[1])[0] >= secrets.LEAST_GUESSES for m in secrets.CONTEXT.finditer(line)) == found
+
+
+def cheapest(g: secrets.Guesser, v: str) -> float:
+    """The least cost over all segmentations, every candidate tried at every place."""
+    low = "".join(x if len(x := c.lower()) == 1 else c for c in v)
+    plain = low.translate(secrets._LEET)
+
+    def segment(i, j):
+        n, out, steps = j - i, [np.inf], [ord(low[k]) - ord(low[k - 1]) for k in range(i + 1, j)]
+        if n >= 3:
+            out.append(g.word(v, low, plain, i, j))
+            if all(low[k] in secrets._NEAR.get(low[k - 1], "") for k in range(i + 1, j)):
+                moves = [secrets._step(low[k - 1], low[k]) for k in range(i + 1, j)]
+                out.append(np.log10(47 * n) + np.log10(4) * sum(x != y for x, y in zip(moves, moves[1:])))
+            if len(set(steps)) == 1 and abs(steps[0]) == 1:
+                out.append(np.log10(36 * n))
+        if re.match("[0-9]", v[i]) and secrets._DATE.fullmatch(v[i:j]):
+            out.append(secrets._DAYS if n > 4 else 2.1)
+        out += [sum(map(secrets._brute, v[i : i + s])) + np.log10(n // s) for s in (1, 2, 3, 4) if n % s == 0 and n // s >= (2 if s > 1 else 3) and v[i : i + s] * (n // s) == v[i:j]]
+        return min(out)
+
+    best = [0.0]
+    for j in range(1, len(v) + 1):
+        best.append(min(best[j - 1] + secrets._brute(v[j - 1]), min(best[i] + segment(i, j) + 0.3 for i in range(j))))
+    return best[-1]
+
+
+def test_guess_cost_is_least():
+    g, rng = secrets.Guesser(["pass", "word", "password", "qwe", "aba"]), np.random.default_rng(1)
+    values = ["", "aaaa", "Tr0ub4dour&3", "changeme123", "zzzz1999zzzz", "2024-01-31", "31.12.99x", "P4ssw0rdqwerty", "İstanbulß"]
+    for _ in range(1500):
+        letters = list(["ab", "abc", "qwe", "1203", "a1", "pasword", "aA1!", "zyx"][rng.integers(0, 8)])
+        values.append("".join(rng.choice(letters, rng.integers(0, 19))) + ["", "password", "1990", "qwert"][rng.integers(0, 4)])
+    for v in values:
+        cost, segments = g.segments(v)
+        assert abs(cost - cheapest(g, v)) < 1e-9 and "".join(v[a:b] for a, b, _ in segments) == v
+
+
+def test_guess_cost_of_long_values():
+    g = secrets.Guesser()
+    for v in ("a" * 300_000, "ab" * 50_000, "q1" * 20_000, "0123456789abcdef" * 5_000):  # a quadratic programme would not end
+        assert "".join(v[a:b] for a, b, _ in g.segments(v)[1]) == v
 
 
 def test_warc(spark):
@@ -261,13 +351,48 @@ def test_toxicity(spark, empty):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in range(400))
     assert toxicity.toxicity(d, labels.limit(0)).where("predicted = 1").count() == 0 and toxicity.toxicity(empty, labels).count() == 0
     assert sorted(r.doc_id for r in toxicity.reject_toxic(d, labels).where("doc_id is not null").collect()) == [i for i in range(402) if i % 4 or i >= 400]
-    index = toxicity.fit(d, labels)
+
+
+def test_toxicity_neighbours(spark):
+    """The block-max search against the cosine of all pairs over the whole vocabulary, ties and all."""
     import pyarrow as pa
 
-    doc, term, n = index.counts(pa.array([bad + " filler3"]))
-    w = index.vector(term, n)
-    full = w @ index.weights[term]
-    assert np.allclose(index.nearest(term, w)[0], np.sort(full[full > 0])[::-1][:20])
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(300)]
+    text = lambda bad: " ".join([*rng.choice(words, rng.integers(1, 40)), *(["zorgle"] * int(rng.integers(1, 3)) if bad else [])])
+    rows = [(i, text(i % 5 == 0)) for i in range(900)] + [(i, "same words again") for i in range(900, 960)] + [(960, None), (961, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(900)] + [(i, i % 2) for i in range(900, 962)], "doc_id long, toxic int")
+    index = toxicity.fit(d, labels)
+    v = len(index.vocabulary)
+    dense = np.zeros((len(index.total), v))
+    dense[index.entry, np.repeat(np.arange(v), np.diff(index.first))] = index.weight
+    learnt = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert v == len({w for i, t in rows if i in learnt and t for w in t.split()}) and np.allclose((dense**2).sum(1), 1, atol=1e-5)
+    asked = [t for _, t in rows[:150]] + ["zorgle unknown", "nothing known", "same words again", "same"]
+    doc, term, n = index.vocabulary.counts(pa.array(asked))
+    w = index.weights(doc, term, n)
+    row, who, sims = index.nearest(doc, term, w)
+    for q in range(len(asked)):
+        x = np.zeros(v)
+        x[term[doc == q]] = w[doc == q]
+        full = dense @ x
+        want = sorted(np.flatnonzero(full > 0), key=lambda e: (-full[e], e))[: toxicity.NEIGHBOURS]
+        assert np.allclose(sims[row == q], full[want], atol=1e-6) and len(sims[row == q]) == len(want)
+        assert np.allclose(full[who[row == q]], sims[row == q], atol=1e-6)
+    got = {r.doc_id: r for r in toxicity.toxicity(d, labels).collect()}
+    held = [got[i] for i in range(900) if got[i].held_out]
+    assert all(r.predicted == int(r.doc_id % 5 == 0) for r in held) and len(got[0].evidence) == 3
+    mixed = [got[i].score for i in range(900, 960)]
+    assert len(set(mixed)) == 1 and 0.3 < mixed[0] < 0.7  # equal texts with both labels: near their rate
+
+
+def test_calibration():
+    rng = np.random.default_rng(4)
+    share = rng.random(4000)
+    true = 1 / (1 + np.exp(-(2.5 * toxicity._logit(share) - 1)))
+    a, b = toxicity.fit_curve(share, (rng.random(4000) < true).astype(float), np.ones(4000))
+    assert abs(a - 2.5) < 0.3 and abs(b + 1) < 0.3
 
 
 def test_pii(docs, empty):
