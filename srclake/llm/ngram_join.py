@@ -3,8 +3,8 @@
 Plan: (1) a fixed-size sketch of shingle frequencies, built over all documents,
 orders shingles from rare to frequent; (2) documents with one shingle set
 collapse into a class, classes with one size and prefix into a group, and only
-groups enter the prefix index; (3) index matches pass the size and position
-filters and become pairs of groups; (4) pairs are gathered in families, whose
+groups enter the prefix index; (3) index matches pass the size, position and
+parity filters and become pairs of groups; (4) pairs are gathered in families, whose
 members are laid out in blocks, and every pair of blocks is one small unit that
 verifies its pairs by one matrix product. Units return link counts and a
 spanning forest, never lists of all pairs.
@@ -30,7 +30,10 @@ _CHUNKS = 64
 _NODE = 16  # classes of one group in a node
 _BITS = 1 << 25
 _COLUMNS = 1 << 13
-_BLOCK = 512  # classes in a block of a family
+_TILE = 512  # sets on each side of a matrix product
+_FEW = 256  # pairs of a tile below which they are intersected one by one
+_PAIRS = 1 << 20  # pairs verified at once
+_BLOCK = 1 << 22  # shingles in a block of a family
 
 
 def _sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -51,6 +54,44 @@ def _wide(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """One bit for each residue of the hashes, set where it occurs an odd number of times; half a bit to a bit a shingle."""
+    bits = max(64, 1 << (max(1, len(s)).bit_length() - 1))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _may_link(percent: int):
+    """Drop pairs of sets whose parity bits differ in too many places.
+
+    Every differing bit needs a shingle that only one of the sets has, so
+    n1 + n2 - (differing bits) bounds twice the intersection: no link is lost.
+    A longer bitmap folds onto a shorter one by exclusive or. Pairs with a
+    group of several sets, which has no bits of its own, stay.
+    """
+
+    def run(batches):
+        for batch in batches:
+            n1, n2 = (batch.column(c).to_numpy() for c in (2, 3))
+            b1, b2 = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            keep = np.ones(len(n1), dtype=bool)
+            kinds: dict[tuple, list[int]] = {}
+            for i, (x, y) in enumerate(zip(b1, b2)):
+                if x is not None and y is not None:
+                    kinds.setdefault((len(x), len(y)), []).append(i)
+            for (p, q), some in kinds.items():
+                x = np.frombuffer(b"".join([b1[i] for i in some]), np.uint64).reshape(len(some), -1)
+                y = np.frombuffer(b"".join([b2[i] for i in some]), np.uint64).reshape(len(some), -1)
+                w = min(p, q) // 8
+                differ = np.bitwise_xor.reduce(x.reshape(len(some), -1, w), axis=1) ^ np.bitwise_xor.reduce(y.reshape(len(some), -1, w), axis=1)
+                total = n1[some] + n2[some]
+                most = (total - np.bitwise_count(differ).sum(axis=1, dtype=np.int64)) // 2
+                keep[some] = most * (100 + percent) >= percent * total
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["g", "h"]).filter(pa.array(keep))
+
+    return run
+
+
 def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     """Frequency levels by bucket of the shingle hash: fixed 1 MB whatever the input."""
 
@@ -82,16 +123,16 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n, cid, gid, prefix) for each document; cid names its set, gid its size and prefix."""
+    """(doc_id, n, cid, gid, prefix, bits) for each document; cid names its set, gid its size and prefix."""
     levels = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n))
 
     def sign(batches):
         for batch in wordhash.slices(batches, 1):
-            size, cid, gid, prefix = [], [], [], []
+            size, cid, gid, prefix, bits = [], [], [], [], []
             for s in _sets(batch.column(1), n):
                 size.append(len(s))
                 if not len(s):
-                    cid.append(None), gid.append(None), prefix.append(None)
+                    cid.append(None), gid.append(None), prefix.append(None), bits.append(None)
                     continue
                 cid.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 keep = len(s) - (percent * len(s) + 99) // 100 + 1
@@ -99,9 +140,10 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 first = s[np.argsort(level, kind="stable")[:keep]].view(np.int64)
                 gid.append(int.from_bytes(hashlib.blake2b(first.tobytes() + len(s).to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True))
                 prefix.append(first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(cid, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "cid", "gid", "prefix"])
+                bits.append(_parity(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(cid, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n", "cid", "gid", "prefix", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, cid binary, gid long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, cid binary, gid long, prefix array<long>, bits binary")
 
 
 def _group_pairs(signed: DataFrame, percent: int) -> DataFrame:
@@ -117,6 +159,46 @@ def _group_pairs(signed: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _commons(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets i and j, pair by pair; dense tiles of pairs as matrix products."""
+    common = np.zeros(len(i), dtype=np.int64)
+    tile = (i // _TILE) * (len(sets) // _TILE + 1) + j // _TILE
+    order = np.argsort(tile, kind="stable")
+    cuts = [0, *(np.flatnonzero(np.diff(tile[order])) + 1).tolist(), len(order)]
+    dense = [(a, b) for a, b in zip(cuts[:-1], cuts[1:]) if b - a >= _FEW]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b - a < _FEW:
+            for k in order[a:b].tolist():
+                common[k] = len(np.intersect1d(sets[i[k]], sets[j[k]], assume_unique=True))
+    if not dense:
+        return common
+    lens = np.array([len(s) for s in sets], dtype=np.int64)
+    begin = np.concatenate([[0], np.cumsum(lens)])
+    _, ids, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(df > 1, np.cumsum(df > 1) - 1, -1)[ids]  # what is in one set only is in no intersection
+    wide = int((df > 1).sum())
+
+    def block(t: int, lo: int) -> np.ndarray:
+        first, last = t * _TILE, min((t + 1) * _TILE, len(sets))
+        c = column[begin[first] : begin[last]] - lo
+        row = np.repeat(np.arange(last - first), lens[first:last])
+        inside = (c >= 0) & (c < _COLUMNS) & (column[begin[first] : begin[last]] >= 0)
+        out = np.zeros((last - first, min(wide - lo, _COLUMNS)), dtype=np.float32)
+        out[row[inside], c[inside]] = 1
+        return out
+
+    for lo in range(0, wide, _COLUMNS):  # columns in slices: memory does not grow with the texts
+        at, left = -1, None
+        for a, b in dense:
+            k = order[a:b]
+            ti, tj = int(i[k[0]]) // _TILE, int(j[k[0]]) // _TILE
+            if ti != at:
+                at, left = ti, block(ti, lo)
+            gram = left @ (left if ti == tj else block(tj, lo)).T
+            common[k] += gram[i[k] - ti * _TILE, j[k] - tj * _TILE].astype(np.int64)
+    return common
+
+
 def _verify(percent: int):
     """For a task's units, one after the other: link counts by class and a spanning forest."""
 
@@ -130,20 +212,8 @@ def _verify(percent: int):
                 seen.add(cid)
                 nodes.setdefault((gid, k), []).append(len(cids))
                 cids.append(cid), sizes.append(size), sets.append(_wide(s))
-        lens = np.array([len(s) for s in sets], dtype=np.int64)
-        m = len(sets)
-        gram = None
-        if m > 4:
-            ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-            wide = int(ids.max()) + 1
-            row = np.repeat(np.arange(m), lens)
-            gram = np.zeros((m, m), dtype=np.int64)
-            for lo in range(0, wide, _COLUMNS):  # columns in slices: memory does not grow with the texts
-                inside = (ids >= lo) & (ids < lo + _COLUMNS)
-                dense = np.zeros((m, min(wide - lo, _COLUMNS)), dtype=np.float32)
-                dense[row[inside], ids[inside] - lo] = 1
-                gram += (dense @ dense.T).astype(np.int64)
-        adds, parent, forest = np.zeros(m, dtype=np.int64), list(range(m)), []
+        lens, size = np.array([len(s) for s in sets], dtype=np.int64), np.array(sizes, dtype=np.int64)
+        adds, parent, forest = np.zeros(len(sets), dtype=np.int64), list(range(len(sets))), []
 
         def root(x: int) -> int:
             while parent[x] != x:
@@ -151,21 +221,32 @@ def _verify(percent: int):
                 x = parent[x]
             return x
 
+        def settle(left: list[int], right: list[int]) -> None:
+            i, j = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+            i, j = np.minimum(i, j), np.maximum(i, j)
+            close = np.minimum(lens[i], lens[j]) * 100 >= percent * np.maximum(lens[i], lens[j])
+            i, j = i[close], j[close]
+            common = _commons(sets, i, j)
+            linked = common * 100 >= percent * (lens[i] + lens[j] - common)
+            i, j = i[linked], j[linked]
+            np.add.at(adds, i, size[j])
+            np.add.at(adds, j, size[i])
+            for x, y in zip(i.tolist(), j.tolist()):
+                if (rx := root(x)) != (ry := root(y)):
+                    parent[rx] = ry
+                    forest.append((cids[x], cids[y]))
+
+        left, right = [], []
         for p, q in pairs:
-            for i in nodes.get(p, ()):
-                for j in nodes.get(q, ()):
-                    if p == q and i >= j:
-                        continue
-                    small, large = sorted((lens[i], lens[j]))
-                    if small * 100 < percent * large:
-                        continue
-                    common = gram[i, j] if gram is not None else len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if common * 100 >= percent * (lens[i] + lens[j] - common):
-                        adds[i] += sizes[j]
-                        adds[j] += sizes[i]
-                        if (ri := root(i)) != (rj := root(j)):
-                            parent[ri] = rj
-                            forest.append((cids[i], cids[j]))
+            mine, other = nodes.get(p, ()), nodes.get(q, ())
+            for n, x in enumerate(mine):
+                some = other[n + 1 :] if p == q else other
+                left += [x] * len(some)
+                right += some
+            if len(left) > _PAIRS:
+                settle(left, right)
+                left, right = [], []
+        settle(left, right)
         return [(cids[i], int(adds[i])) for i in np.flatnonzero(adds)], forest
 
     def run(batches):
@@ -195,6 +276,19 @@ def _verify(percent: int):
     return run
 
 
+def _slot(id_sql: str) -> str:
+    return f"pmod(xxhash64({id_sql}), {_BITS})"
+
+
+def _bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """A fixed-size bitmap of the hashed ids: 4 MB whatever the input; a false hit costs time, never a result."""
+    bits = rows.select(F.expr(f"cast({_slot(column)} div 64 as int)").alias("word"), F.expr(f"shiftleft(1L, cast({_slot(column)} % 64 as int))").alias("bit"))
+    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(_BITS // 64, dtype=np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
 def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(signed, classes) of a self-join at ``percent`` Jaccard over n-word shingles.
 
@@ -210,22 +304,25 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     full = materialize_at(signatures(docs, n, percent), path)
     release(spark)
     signed = materialize(full.select("doc_id", "n", "cid"), "signed")
-    classes = materialize(full.where("cid is not null").groupBy("cid").agg(F.count("*").alias("size"), F.min("doc_id").alias("rep"), F.first("gid").alias("gid")), "classes")
-    groups = classes.groupBy("gid").agg(F.count("*").alias("m")).withColumn("nk", F.expr(f"cast(ceil(m / {_NODE}) as int)"))
-    between = materialize(_group_pairs(full, percent), "pairs")
+    classes = materialize(full.where("cid is not null").groupBy("cid").agg(F.count("*").alias("size"), F.min("doc_id").alias("rep"), F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    groups = classes.groupBy("gid").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.first("n").alias("n"), F.first("bits").alias("bits")).withColumn("nk", F.expr(f"cast(ceil(m / {_NODE}) as int)"))
+    groups = materialize(groups.withColumn("bits", F.when(F.col("m") == 1, F.col("bits"))), "groups")
+    mine, other = groups.select(F.col("gid").alias("g"), F.col("n").alias("n1"), F.col("bits").alias("b1")), groups.select(F.col("gid").alias("h"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
+    met = _group_pairs(full, percent).join(mine, "g").join(other, "h").select("g", "h", "n1", "n2", "b1", "b2")
+    between = materialize(met.mapInArrow(_may_link(percent), "g long, h long"), "pairs")
     drop_path(spark, path)
     release(spark)
 
     # families: a pair belongs to the smaller leader of its two groups
     around = between.union(between.select("h", "g"))
     leader = around.groupBy("g").agg(F.min("h").alias("l"))
-    group = materialize(groups.join(leader, groups.gid == leader.g, "left").select(F.col("gid").alias("g"), "m", "nk", F.least("gid", "l").alias("l")), "groups")
+    group = materialize(groups.join(leader, groups.gid == leader.g, "left").select(F.col("gid").alias("g"), "m", "s", "nk", F.least("gid", "l").alias("l")), "groups")
     first, second = group.select("g", F.col("nk").alias("n1"), F.col("l").alias("l1")), group.select(F.col("g").alias("h"), F.col("nk").alias("n2"), F.col("l").alias("l2"))
     led = between.join(first, "g").join(second, "h").select(F.least("l1", "l2").alias("f"), "g", "n1", "h", "n2")
     within = group.where("m > 1").select(F.col("l").alias("f"), "g", F.col("nk").alias("n1"), F.col("g").alias("h"), F.col("nk").alias("n2"))
     led = materialize(led.union(within), "families")
     release(spark)
-    sizes = led.select("f", "g").union(led.select("f", "h")).distinct().join(group.select("g", "m"), "g").groupBy("f").agg(F.sum("m").alias("total"))
+    sizes = led.select("f", "g").union(led.select("f", "h")).distinct().join(group.select("g", "s"), "g").groupBy("f").agg(F.sum("s").alias("total"))
     pairs = (
         led.join(sizes, "f")
         .withColumn("k1", F.explode(F.expr("sequence(0, n1 - 1)")))
@@ -239,15 +336,10 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     pairs = materialize(pairs, "units")
     release(spark)
 
-    members = classes.join(groups, "gid").withColumn("k", F.expr("cast(pmod(xxhash64(cid), nk) as int)")).select("gid", "k", "cid", "size", "rep")
+    members = classes.drop("n", "bits").join(groups.select("gid", "nk"), "gid").withColumn("k", F.expr("cast(pmod(xxhash64(cid), nk) as int)")).select("gid", "k", "cid", "size", "rep")
     placed = pairs.select("f", "b1", "b2", F.col("g").alias("gid"), F.col("k1").alias("k")).union(pairs.select("f", "b1", "b2", "h", "k2")).distinct()
     # a fixed-size bitmap of the wanted representatives spares most texts; a false hit falls out in the join
-    slot = F.expr(f"pmod(xxhash64(rep), {_BITS})")
-    wanted = members.join(placed.select("gid").distinct(), "gid", "left_semi").where("rep is not null").select((slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {_BITS}) % 64 as int))").alias("bit"))
-    words = wanted.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bitmap = np.zeros(_BITS // 64, dtype=np.int64)
-    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    shared = spark.sparkContext.broadcast(bitmap.view(np.uint64))
+    shared = spark.sparkContext.broadcast(_bitmap(members.join(placed.select("gid").distinct(), "gid", "left_semi").where("rep is not null"), "rep"))
 
     def reread(batches):
         for batch in batches:
@@ -257,7 +349,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
                 found = [s for s in _sets(part.column(1), n) if len(s)]
                 yield pa.RecordBatch.from_pydict({"cid": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()), "shingles": pa.array([_narrow(s) for s in found], pa.binary())})
 
-    source = docs.select(F.expr(f"pmod(xxhash64(cast(doc_id as bigint)), {_BITS})").alias("slot"), "text", F.col("doc_id").isNull().alias("nameless"))
+    source = docs.select(F.expr(_slot("cast(doc_id as bigint)")).alias("slot"), "text", F.col("doc_id").isNull().alias("nameless"))
     sets = source.mapInArrow(reread, "cid binary, shingles binary")
     full_members = placed.join(members, ["gid", "k"]).join(sets, "cid")
     none = F.lit(None)
