@@ -389,24 +389,50 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     All columns and rows without words stay. Rows that repeat the smallest id
     within a component, or a component whose ids are all null, leave one row.
+    No rows give no rows. Only the rows that share a component with another
+    (and those that a fixed-size bitmap of their ids takes for such) are
+    shuffled, by id and set, so copies of one text meet in no task.
     """
+    spark = docs.sparkSession
     signed, classes = links(docs, n, percent)
-    first = signed.join(classes, "cid").where("doc_id <=> component")
+    touched = materialize(signed.join(classes.select("cid", "root", "component"), "cid"), "touched")
+    stays = F.col("doc_id").eqNullSafe(F.col("component"))
+    gone = touched.where(~stays).select(F.col("doc_id").alias("gone_id"), F.col("cid").alias("gone_cid")).distinct()
+    first = touched.where(stays)
     twice = first.groupBy("root").agg(F.count("*").alias("rows")).where("rows > 1").select("root")
-    decided = materialize(classes.join(twice.withColumn("repeated", F.lit(True)), "root", "left"), "decided")
+    repeated = materialize(first.join(twice, "root").select("cid", "root").distinct().withColumnsRenamed({"cid": "again_cid", "root": "again_root"}), "repeated")
+    shared = spark.sparkContext.broadcast(_bitmap(touched.where("doc_id is not null"), "doc_id"))
 
     names = docs.columns
-    key = free_name(names, "set_id")
-    schema = StructType([*docs.schema.fields, StructField(key, BinaryType())])
-    at = [c.lower() for c in names].index("text")
+    key, slot = free_name(names, "set_id"), free_name(names, "slot")
+    lower = [c.lower() for c in names]
+    at = lower.index("text")
+    slotted = docs.withColumn(slot, F.expr(_slot(f"cast(`{names[lower.index('doc_id')]}` as bigint)")))
+
+    def hit(batch, nameless: bool):
+        x = batch.column(len(names))
+        known = x.fill_null(0).to_numpy(zero_copy_only=False)
+        found = (shared.value[known // 64] >> (known % 64).astype(np.uint64)) & np.uint64(1) == 1
+        return np.where(x.is_null().to_numpy(zero_copy_only=False), nameless, found)
+
+    def clear(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=batch.schema.names[: len(names)]).filter(pa.array(~hit(batch, True)))
 
     def tag(batches):
-        for batch in wordhash.slices(batches, at):
-            ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in _sets(batch.column(at), n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, key])
-
-    tagged = docs.mapInArrow(tag, schema).alias("d")
-    both = tagged.join(decided.alias("c"), F.col(f"d.{key}") == F.col("c.cid"), "left").where("c.cid is null or d.doc_id <=> c.component")
-    once = both.where("c.repeated is null").select("d.*").drop(key)
-    again = both.where("c.repeated").select("d.*", F.col("c.root").alias(key)).dropDuplicates([key]).drop(key)
-    return once.unionByName(again)
+        for batch in batches:
+            some = pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=batch.schema.names[: len(names)]).filter(pa.array(hit(batch, True)))
+            for part in wordhash.slices([some], at):
+                ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in _sets(part.column(at), n)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names=[*part.schema.names, key])
+
+    slotted = slotted.withColumn(slot, F.when(F.col(names[lower.index("doc_id")]).isNotNull(), F.col(slot)))
+    plain = slotted.mapInArrow(clear, docs.schema)
+    tagged = slotted.mapInArrow(tag, StructType([*docs.schema.fields, StructField(key, BinaryType())]))
+    left = tagged.join(gone, F.col(names[lower.index("doc_id")]).eqNullSafe(F.col("gone_id")) & (F.col(key) == F.col("gone_cid")), "left_anti")
+    if repeated.isEmpty():
+        return plain.unionByName(left.drop(key))
+    both = left.alias("d").join(repeated.alias("r"), F.col(f"d.{key}") == F.col("r.again_cid"), "left")
+    once = both.where("r.again_cid is null").select("d.*").drop(key)
+    again = both.where("r.again_cid is not null").select("d.*", F.col("r.again_root").alias("again_root")).dropDuplicates(["again_root"]).drop(key, "again_root")
+    return plain.unionByName(once).unionByName(again)
