@@ -429,10 +429,11 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     slotted = slotted.withColumn(slot, F.when(F.col(names[lower.index("doc_id")]).isNotNull(), F.col(slot)))
     plain = slotted.mapInArrow(clear, docs.schema)
     tagged = slotted.mapInArrow(tag, StructType([*docs.schema.fields, StructField(key, BinaryType())]))
-    left = tagged.join(gone, F.col(names[lower.index("doc_id")]).eqNullSafe(F.col("gone_id")) & (F.col(key) == F.col("gone_cid")), "left_anti")
+    left = tagged.alias("d").join(gone.alias("g"), F.col(f"d.`{names[lower.index('doc_id')]}`").eqNullSafe(F.col("g.gone_id")) & (F.col(f"d.{key}") == F.col("g.gone_cid")), "left_anti")
     if repeated.isEmpty():
         return plain.unionByName(left.drop(key))
     both = left.alias("d").join(repeated.alias("r"), F.col(f"d.{key}") == F.col("r.again_cid"), "left")
     once = both.where("r.again_cid is null").select("d.*").drop(key)
-    again = both.where("r.again_cid is not null").select("d.*", F.col("r.again_root").alias("again_root")).dropDuplicates(["again_root"]).drop(key, "again_root")
-    return plain.unionByName(once).unionByName(again)
+    again = free_name([*names, key], "again")
+    several = both.where("r.again_cid is not null").select("d.*", F.col("r.again_root").alias(again)).dropDuplicates([again]).drop(key, again)
+    return plain.unionByName(once).unionByName(several)
