@@ -3,8 +3,8 @@
 Each value is a number below the size of its format's domain. A balanced
 Feistel network over enough bits permutes it; results outside the domain, or
 not valid in the format, are permuted again (cycle walking), which keeps the
-map one-to-one. Equal values get equal pseudonyms in every document, whatever
-their separators, and nothing has to be joined or stored.
+map one-to-one. Equal values of a format get equal pseudonyms in every
+document, and nothing has to be joined or stored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 
-KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card", "account")
+KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 _ROUNDS = 10
 _MONTHS = "January February March April May June July August September October November December".split()
 _MONTH = "|".join(_MONTHS)
@@ -37,6 +37,8 @@ PATTERN = re.compile(
     r"|(?P<card>(?<![0-9A-Za-z.-])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9]))"
 )
 
+#: First address and size of ranges with a meaning of their own: private, loopback, link-local, shared, multicast and reserved.
+_RANGES = tuple((int.from_bytes(bytes(map(int, a.split("."))), "big"), 1 << (32 - n)) for a, n in (x.split("/") for x in "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.168.0.0/16 224.0.0.0/4 240.0.0.0/4".split()) for n in (int(n),))
 _ANY = re.compile("[0-9@]")  # every kind has one of these
 
 
@@ -98,30 +100,44 @@ class Pseudonyms:
         parts = [int(x) for x in v.split(".")]
         if max(parts) > 255:
             return None
-        y = self.permute(int.from_bytes(bytes(parts), "big"), 1 << 32, "ip")
+        x = int.from_bytes(bytes(parts), "big")
+        for first, size in _RANGES:  # an address of a special range stays in it
+            if first <= x < first + size:
+                return ".".join(map(str, (first + self.permute(x - first, size, f"ip{first}")).to_bytes(4, "big")))
+        y = self.permute(x, 1 << 32, "ip", lambda z: not any(first <= z < first + size for first, size in _RANGES))
         return ".".join(map(str, y.to_bytes(4, "big")))
 
     def date(self, v: str, form: str) -> str | None:
+        """A date in the same form, with as many digits in each place."""
         try:
             if form == "iso":
-                y, m, d = map(int, v.split("-"))
+                y, m, d = v.split("-")
             elif form in ("slash", "dot"):
-                a, b, y = map(int, re.split(r"[/.]", v))
-                m, d = (b, a) if form == "dot" or a > 12 else (a, b)
-                form = form if form == "dot" else "dmslash" if a > 12 else "slash"
+                a, b, y = re.split(r"[/.]", v)
+                m, d = (b, a) if form == "dot" or int(a) > 12 else (a, b)
+                form = form if form == "dot" else "dmslash" if int(a) > 12 else "slash"
             elif form == "dmy":
                 d, m, y = v.split(" ")
-                y, m, d = int(y), _MONTHS.index(m) + 1, int(d)
             else:
                 m, d, y = v.replace(",", "").split(" ")
-                y, m, d = int(y), _MONTHS.index(m) + 1, int(d)
-            day = datetime.date(y, m, d).toordinal()
+            named = m in _MONTHS
+            day = datetime.date(int(y), _MONTHS.index(m) + 1 if named else int(m), int(d)).toordinal()
         except ValueError:
             return None
         if not _FIRST <= day <= _LAST:
             return None
-        t = datetime.date.fromordinal(_FIRST + self.permute(day - _FIRST, _LAST - _FIRST + 1, "date"))
-        return {"iso": f"{t:%Y-%m-%d}", "slash": f"{t:%m/%d/%Y}", "dmslash": f"{t:%d/%m/%Y}", "dot": f"{t:%d.%m.%Y}", "dmy": f"{t.day} {_MONTHS[t.month - 1]} {t.year}", "mdy": f"{_MONTHS[t.month - 1]} {t.day}, {t.year}"}[form]
+        widths = (0 if named else len(m), len(d))
+        padded = 1 not in widths and (d[0] == "0" or not named)  # all of two digits: 01 to 09 are among them
+
+        def valid(x: int) -> bool:
+            t = datetime.date.fromordinal(_FIRST + x)
+            fits = lambda n, w: w == 0 or (n < 10 if w == 1 else padded or n >= 10)
+            return fits(t.month, widths[0]) and fits(t.day, widths[1]) and (form != "dmslash" or t.day > 12)
+
+        t = datetime.date.fromordinal(_FIRST + self.permute(day - _FIRST, _LAST - _FIRST + 1, f"date{form}{widths}{padded}", valid))
+        mm = _MONTHS[t.month - 1] if named else str(t.month).zfill(widths[0])
+        dd = str(t.day).zfill(widths[1])
+        return {"iso": f"{t.year}-{mm}-{dd}", "slash": f"{mm}/{dd}/{t.year}", "dmslash": f"{dd}/{mm}/{t.year}", "dot": f"{dd}.{mm}.{t.year}", "dmy": f"{dd} {mm} {t.year}", "mdy": f"{mm} {dd}, {t.year}"}[form]
 
     def ssn(self, v: str) -> str | None:
         valid = lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000"
@@ -138,12 +154,12 @@ class Pseudonyms:
         good = lambda x: x[0] > "1" and x[3] > "1"
         return _refill(v, lead + self.digits(rest, "phone", good if good(rest) else lambda x: not good(x)))
 
-    def card(self, v: str) -> str:
+    def card(self, v: str) -> str | None:
         plain = "".join(c for c in v if c.isdigit())
-        if _luhn(plain):
-            body = self.digits(plain[:-1], "card")
-            return _refill(v, body + next(c for c in "0123456789" if _luhn(body + c)))
-        return _refill(v, self.digits(plain, "account", lambda x: not _luhn(x)))
+        if not _luhn(plain):
+            return None
+        body = self.digits(plain[:-1], "card")
+        return _refill(v, body + next(c for c in "0123456789" if _luhn(body + c)))
 
     def replace(self, text: str) -> tuple[str, dict[str, int]]:
         counts: dict[str, int] = {}
@@ -153,7 +169,7 @@ class Pseudonyms:
         def one(m: re.Match) -> str:
             kind, v = m.lastgroup, m.group()
             form = next((f for f in ("iso", "slash", "dot", "dmy", "mdy") if m.group(f)), "") if m.group("date") else ""
-            kind = "date" if form else next(k for k in KINDS[:7] if m.group(k))
+            kind = "date" if form else next(k for k in KINDS if m.group(k))
             if (kind, v) not in self.memo:
                 if len(self.memo) > 200_000:
                     self.memo.clear()
@@ -161,8 +177,6 @@ class Pseudonyms:
             new = self.memo[kind, v]
             if new is None:
                 return v
-            if kind == "card" and not _luhn("".join(c for c in v if c.isdigit())):
-                kind = "account"
             counts[kind] = counts.get(kind, 0) + 1
             return new
 
@@ -188,9 +202,11 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
 
     Emails, IP addresses, phone numbers, dates, and numbers that pass their
     check (cards by Luhn, IBANs modulo 97, social security numbers) get a valid
-    pseudonym of the same format; other runs of 13 to 19 digits count as
-    accounts and stay invalid as cards. n_chars, where there is one, keeps its
-    value: it describes the source. Null and empty texts stay as they are.
+    pseudonym of the same format and width; other numbers stay. n_chars, where
+    there is one, keeps its value: it describes the source. Null and empty
+    texts stay as they are; long texts are read whole. Repeated rows give equal
+    results; no rows give no rows. Other columns pass through whatever their
+    names.
     """
     at = [c.lower() for c in docs.columns].index("text")
 
@@ -204,7 +220,12 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
 
 
 def report(docs: DataFrame, key: bytes) -> DataFrame:
-    """Per document: doc_id, the count of each kind, their sum n_pii, and the pseudonymised text."""
+    """Per document: doc_id, the count of each kind, their sum n_pii, and the pseudonymised text.
+
+    A null text stays null and has no personal data; long texts are read whole.
+    Repeated rows give equal results; no rows give no rows. Only doc_id and
+    text are read, so other columns may have any names.
+    """
 
     def run(batches):
         p = Pseudonyms(key)
