@@ -13,16 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL: dict[str, str] = {}
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and host as Hadoop resolves it, so that JVM and Python mean one place."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def filesystem(uri: str):
+    """(pyarrow file system, path) of a qualified path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith("s3a:") else uri)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """URI of the shared folder for written intermediates.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, local runs) a temporary folder of this machine is made, and it is
-    removed at exit.
+    The cluster names it in ``spark.checkpoint.dir``. Only on a local master
+    where that is unset (tests) a temporary folder of this machine is made, and
+    it is removed at exit.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return qualified(spark, named.rstrip("/"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "root" not in _LOCAL:
         folder = tempfile.mkdtemp(prefix="srclake-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -30,6 +46,14 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL["root"]
 
 
+def for_texts(spark: SparkSession) -> SparkSession:
+    """Smaller Arrow batches, unless the session sets its own: rows hold whole texts, and 10,000 of them are tens of megabytes on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+    return spark
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/srclake-{uuid.uuid4().hex[:12]}-{name}"
 

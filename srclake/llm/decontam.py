@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import scratch_path
+from .common import filesystem, scratch_path
 
 WINDOW = 10
-_BLOCK_BYTES = 4 << 20  # text bytes of a block, but for a longer text
+SLOP = 2  # other words between two of a window, for near matches
+_BLOCK_BYTES = 2 << 20  # text bytes of a block, but for a longer text
 _SLICE = 200_000  # phrases held by a task at once
 _GAP = 1 << 10  # positions left free between documents, so no match crosses
 INDEX_SCHEMA = "doc_ids array<long>, starts binary, lengths binary, terms binary, ends binary, gaps binary"
@@ -70,6 +71,9 @@ class Block:
         i = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[i] == hashes, i, -1)
 
+    def _list(self, t: int) -> np.ndarray:
+        return self.positions[self.ends[t - 1] if t else 0 : self.ends[t]]
+
     def exact(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrase, position) of every occurrence; phrases: hashes, one row each, all of one length."""
         term = self.find(phrases)
@@ -108,7 +112,14 @@ class Block:
         term = self.find(phrase)
         if (term < 0).any():
             return np.zeros(0, np.int64)
-        lists = [self.positions[self.ends[t - 1] if t else 0 : self.ends[t]] for t in term]
+        if len(term) > 1:  # the rarest term first: without a neighbour in reach there is nothing to find
+            sizes = np.diff(self.ends, prepend=0)[term]
+            r = int(np.argmin(sizes))
+            x, other = self._list(term[r]), self._list(term[r + 1] if r + 1 < len(term) else term[r - 1])
+            lo, hi = (1, slop + 1) if r + 1 < len(term) else (-slop - 1, -1)
+            if not (np.searchsorted(other, x + hi, side="right") > np.searchsorted(other, x + lo)).any():
+                return np.zeros(0, np.int64)
+        lists = [self._list(t) for t in term]
         good = lists[-1]
         for x in reversed(lists[:-1]):  # positions from which the rest can be reached
             i = np.minimum(np.searchsorted(good, x, side="right"), len(good) - 1) if len(good) else np.zeros(0, int)
@@ -118,7 +129,11 @@ class Block:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each block of documents, with the postings of all its terms."""
+    """One row for each block of documents, with the postings of all its terms.
+
+    A null or empty text has no terms; repeated rows and null ids keep their
+    places. No rows give no blocks. Only the two columns are read.
+    """
 
     def build(batches):
         for part in wordhash.slices(batches, 1, _BLOCK_BYTES):
@@ -131,7 +146,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def write_phrases(benchmark: DataFrame, window: int = WINDOW) -> str:
-    """Write each item's distinct windows as (item_id, n, hashes) and return the path."""
+    """Write each item's distinct windows as (item_id, n, hashes) and return the path.
+
+    A null text or one without words has none; a null id stays null; repeated
+    items repeat their windows.
+    """
 
     def cut(batches):
         for batch in batches:
@@ -149,6 +168,24 @@ def write_phrases(benchmark: DataFrame, window: int = WINDOW) -> str:
     return path
 
 
+class Group:
+    """Phrases of one length by the rarest of their terms: a block is asked only for those whose term it has."""
+
+    def __init__(self, items: np.ndarray, rows: np.ndarray):
+        _, at, n = np.unique(rows, return_inverse=True, return_counts=True)
+        rare = rows[np.arange(len(rows)), np.argmin(n[at.reshape(rows.shape)], axis=1)]
+        order = np.argsort(rare, kind="stable")
+        self.items, self.rows, rare = items[order], rows[order], rare[order]
+        self.keys, self.first = np.unique(rare, return_index=True)
+        self.last = np.append(self.first[1:], len(rare))
+
+    def of(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Items and phrases that may be in the block."""
+        some = np.flatnonzero(np.isin(self.keys, block.terms, assume_unique=True) if len(self.keys) * 8 > len(block.terms) else block.find(self.keys) >= 0)
+        at = np.concatenate([np.arange(a, b) for a, b in zip(self.first[some].tolist(), self.last[some].tolist())]) if len(some) else np.zeros(0, np.int64)
+        return self.items[at], self.rows[at]
+
+
 class Phrases:
     """The written phrases, slice by slice; one slice in memory, kept while it is the only one."""
 
@@ -163,10 +200,11 @@ class Phrases:
             return
         import pyarrow.dataset as ds
 
+        files, folder = filesystem(self.path)
         slices, n = [], 0
-        for batch in ds.dataset(self.path, format="parquet").to_batches(columns=["item_id", "n", "hashes"], batch_size=_SLICE):
+        for batch in ds.dataset(folder, filesystem=files, format="parquet").to_batches(columns=["item_id", "n", "hashes"], batch_size=_SLICE):
             items, sizes, hashes = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            made = [(items[sizes == k], np.frombuffer(b"".join(x for x, s in zip(hashes, sizes) if s == k), np.uint64).reshape(-1, k)) for k in np.unique(sizes)]
+            made = [Group(items[sizes == k], np.frombuffer(b"".join(x for x, s in zip(hashes, sizes) if s == k), np.uint64).reshape(-1, k)) for k in np.unique(sizes)]
             n += len(items)
             slices = slices + [made] if n <= _SLICE else []
             yield made
@@ -175,13 +213,17 @@ class Phrases:
             self._kept[self.path] = slices
 
 
-def _hits(block: Block, phrases: Phrases):
-    """(hit words, item ids) for each document of a block."""
+def _hits(block: Block, phrases: Phrases, slop: int | None = None):
+    """(hit words, item ids, item ids within ``slop``) for each document of a block."""
     n = len(block.starts)
     edge = np.zeros(block.size + 1, dtype=np.int32)
     found: list[set] = [set() for _ in range(n)]
+    close: list[set] = [set() for _ in range(n)]
     for made in phrases:
-        for items, rows in made:
+        for group in made:
+            items, rows = group.of(block)
+            if not len(rows):
+                continue
             p, at = block.exact(rows)
             if len(p):
                 np.add.at(edge, at, 1)
@@ -190,32 +232,41 @@ def _hits(block: Block, phrases: Phrases):
                 for d, item in set(zip(doc.tolist(), items[p].tolist())):
                     if item is not None:
                         found[d].add(item)
+            if slop is not None:
+                for i in np.flatnonzero((block.find(rows) >= 0).all(axis=1)).tolist():
+                    if items[i] is not None and len(at := block.near(rows[i], slop)):
+                        for d in set((np.searchsorted(block.starts, at, side="right") - 1).tolist()):
+                            close[d].add(items[i])
     if not edge.any():
-        return np.zeros(n, np.int64), found
+        return np.zeros(n, np.int64), found, close
     hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-    return hit[block.starts + block.lengths] - hit[block.starts], found
+    return hit[block.starts + block.lengths] - hit[block.starts], found, close
 
 
 def _digest(items: set) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def _score(ids, block: Block, phrases: Phrases) -> pa.RecordBatch:
-    hit, found = _hits(block, phrases)
+def _score(ids, block: Block, phrases: Phrases, slop: int) -> pa.RecordBatch:
+    hit, found, close = _hits(block, phrases, slop)
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(block.lengths, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([_digest(x) for x in found]), pa.array(hit > 0)],
-        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        [pa.array(ids, pa.int64()), pa.array(block.lengths, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([_digest(x) for x in found]), pa.array(hit > 0), pa.array([len(x) for x in close], pa.int64())],
+        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"],
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, index_path: str | None = None) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, index_path: str | None = None, slop: int = SLOP) -> DataFrame:
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, n_near.
+
+    n_near counts the items of which a window's words occur in order with at
+    most ``slop`` other words between two, exact occurrences among them.
 
     The index is written to ``index_path`` (the shared folder if none is given)
     and the benchmark's windows are searched in it. A null or empty text has no
-    words. Repeated rows give repeated results; items with a null id
-    count in n_hit and contaminated only; an empty table on either side is fine. Only doc_id, item_id and
-    the texts are read.
+    words; a text of any length is read whole. Repeated rows give repeated
+    results; items with a null id count in n_hit and contaminated only; an
+    empty table on either side is fine. Only doc_id, item_id and the texts are
+    read, so other columns may have any names.
     """
     spark = docs.sparkSession
     path = index_path or scratch_path(spark, "index")
@@ -226,16 +277,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, *packed = (c[i].as_py() for c in batch.columns)
-                yield _score(ids, Block.unpack(*packed), Phrases(phrases))
+                yield _score(ids, Block.unpack(*packed), Phrases(phrases), slop)
 
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long"
     return spark.read.schema(INDEX_SCHEMA).parquet(path).mapInArrow(search, schema)
 
 
 def proximity_matches(index: DataFrame, phrases: dict[str, str], slop: int) -> DataFrame:
     """(name, doc_id, word): ordered terms of each phrase, at most ``slop`` other words between two.
 
-    ``phrases`` is a bounded driver-side dict of queries. Phrases without words match nothing.
+    ``phrases`` is a bounded driver-side dict of queries. Null phrases and those
+    without words match nothing; documents without text match nothing, null and
+    repeated ids come back as they are, and an empty index gives no rows.
     """
     names = list(phrases)
     h, at = wordhash.words(pa.array([phrases[k] for k in names], pa.string()), wordhash.ALNUM_TABLE)
@@ -258,7 +311,9 @@ def proximity_matches(index: DataFrame, phrases: dict[str, str], slop: int) -> D
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark window; all columns stay.
+    """``docs`` without the rows that hold a benchmark window; all columns stay, whatever their names.
+
+    Null and empty texts stay. An empty table on either side is fine.
 
     Works in place on each block: its postings are built, searched and dropped,
     so nothing is joined back and rows with a null or repeated doc_id are safe.
@@ -268,7 +323,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
     def keep(batches):
         for part in wordhash.slices(batches, at, _BLOCK_BYTES):
-            hit, _ = _hits(Block.of(part.column(at)), Phrases(phrases))
+            hit, *_ = _hits(Block.of(part.column(at)), Phrases(phrases))
             yield part.filter(pa.array(hit == 0))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, html_extract, ngram_join, nn_descent, packing, pii, secrets, sharding, toxicity, warc
+from .common import for_texts
 
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-
-
-def tokenizer_path(name: str, folder: str = TOKENIZERS) -> str:
-    """Where a public tokenizer's file lies; the folder is a parameter."""
-    return os.path.join(folder, name)
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return for_texts(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +49,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packing.pack(_read(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op10_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +57,11 @@ def op10_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_key(spark: SparkSession) -> bytes:
-    """The key of pseudonyms, from the session; the default is for tests only."""
-    return spark.conf.get("srclake.pii.key", "not a secret: set srclake.pii.key").encode()
+    """The key of pseudonyms, from the session. A local master (tests) may do without; a cluster may not."""
+    key = spark.conf.get("srclake.pii.key", None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set srclake.pii.key to a secret")
+    return (key or "for tests on a local master").encode()
 
 
 QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_wrapper_extract, op3_secrets, op4_ngram_jaccard, op5_warc_revisits, op6_decontaminate, op7_nn_descent, op8_toxicity, op9_pack, op10_pii_feistel)}

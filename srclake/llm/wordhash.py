@@ -8,6 +8,8 @@ word. Multi-byte characters are safe: separators are ASCII only.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +23,29 @@ _VALUES = _RNG.integers(1, 2**63 - 1, size=256, dtype=np.uint64) * np.uint64(2)
 _POW: dict[str, np.ndarray] = {}
 
 
-def slices(batches, at: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches, at: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Every row of the batches, in slices with about ``size`` bytes in text column ``at`` (more for a longer text)."""
-    for batch in batches:
-        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        step = 0
-        while step < len(total):
-            done = total[step - 1] if step else 0
-            n = max(1, int(np.searchsorted(total[step:], done + size)))
-            yield batch.slice(step, n)
-            step += n
+    try:
+        for batch in batches:
+            total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            step = 0
+            while step < len(total):
+                done = total[step - 1] if step else 0
+                n = max(1, int(np.searchsorted(total[step:], done + size)))
+                yield batch.slice(step, n)
+                step += n
+    finally:
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives on and must not hold what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
 
 
 def table(separators: bytes | set[int]) -> np.ndarray:
