@@ -1,8 +1,8 @@
 """WARC archives with revisit records.
 
 Archives are first written as captured, one response per row. Their headers are
-shuffled by payload digest (with a partial aggregate, so a hot digest is no
-hot task), revisit records are joined to their original responses, and each
+shuffled by payload digest (with a partial aggregate, and the hottest digests
+broadcast, so a hot digest is no hot task), revisit records are joined to their original responses, and each
 archive is rewritten with fresh headers: the first of equal payloads stays a
 response, the others become revisits without payload. Files are written under a
 temporary name and renamed, so a repeated task leaves the same archive.
@@ -20,19 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import filesystem, materialize, qualified, scratch_path
 
 LEAST = 100  # smaller payloads are never revisited
+_HOT = 1000  # at most so many digests can have this part of the records each
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def _record_id(*parts) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(map(str, parts)))}>"
 
@@ -67,7 +62,7 @@ class _Archive:
     """A file that appears only when it is complete; a repeated task replaces it by the same bytes."""
 
     def __init__(self, folder: str, name: str):
-        self.fs, base = _filesystem(folder)
+        self.fs, base = filesystem(folder)
         self.final, self.temporary = f"{base}/{name}", f"{base}/.{name}-{uuid.uuid4().hex}"
         self.fs.create_dir(base, recursive=True)
         self.out = self.fs.open_output_stream(self.temporary, compression=None)
@@ -102,7 +97,7 @@ def capture(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def resolve(headers: DataFrame, least: int = LEAST) -> DataFrame:
-    """Headers with the place of the original (o_file, o_at, o_page), null for responses.
+    """The revisit records (file, at) with the place of their original (o_file, o_at, o_page), and a row of nulls for each file.
 
     The original of equal payloads is the record with the smallest page_id
     (null last), then the first by file and place.
@@ -113,12 +108,17 @@ def resolve(headers: DataFrame, least: int = LEAST) -> DataFrame:
         .groupBy("payload_digest")
         .agg(F.min(order).alias("o"), F.count("*").alias("c"))
         .where("c > 1")
-        .select("payload_digest", F.col("o.file").alias("o_file"), F.col("o.at").alias("o_at"), F.col("o.page_id").alias("o_page"))
+        .select("payload_digest", "c", F.col("o.file").alias("o_file"), F.col("o.at").alias("o_at"), F.col("o.page_id").alias("o_page"))
     )
-    joined = headers.join(first, "payload_digest", "left")
-    own = (F.col("file") == F.col("o_file")) & (F.col("at") == F.col("o_at"))
-    gone = own | (F.col("payload_bytes") < least)
-    return joined.select("file", "at", *(F.when(~F.coalesce(gone, F.lit(True)), F.col(c)).alias(c) for c in ("o_file", "o_at", "o_page")))
+    # only what may be a revisit is joined; digests with a thousandth of the records each are _HOT at most and broadcast, so no key of the other join is hot
+    total = headers.count()
+    large = headers.where(F.col("payload_bytes") >= least).select("file", "at", "payload_digest")
+    hot = F.broadcast(first.where(F.col("c") * _HOT >= total).drop("c"))
+    cool = first.where(F.col("c") * _HOT < total).drop("c")
+    joined = large.join(hot, "payload_digest").unionByName(large.join(hot.select("payload_digest"), "payload_digest", "left_anti").join(cool, "payload_digest"))
+    revisits = joined.where(~((F.col("file") == F.col("o_file")) & (F.col("at") == F.col("o_at")))).select("file", "at", "o_file", "o_at", "o_page")
+    none = F.lit(None)
+    return headers.select("file").distinct().select("file", none.cast("long").alias("at"), none.cast("string").alias("o_file"), none.cast("long").alias("o_at"), none.cast("long").alias("o_page")).unionByName(revisits)
 
 
 def rewrite(decisions: DataFrame, source: str, target: str) -> DataFrame:
@@ -129,7 +129,7 @@ def rewrite(decisions: DataFrame, source: str, target: str) -> DataFrame:
         archive_rows = None
 
         def done(name, rows):
-            fs, base = _filesystem(source)
+            fs, base = filesystem(source)
             archive = _Archive(target, name.replace("capture", "dedup"))
             with fs.open_input_stream(f"{base}/{name}", compression=None) as stream:
                 for n, (h, payload) in enumerate(read_records(stream)):
@@ -160,7 +160,9 @@ def rewrite(decisions: DataFrame, source: str, target: str) -> DataFrame:
         if made:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made]), pa.array([y for _, y in made], pa.int64())], names=["file", "records"])
 
-    return decisions.repartition("file").sortWithinPartitions("file", "at").mapInArrow(write, "file string, records long")
+    # the work is in the archives, not in these rows: a task for each, as far as hashing spreads them
+    files = max(1, decisions.select("file").distinct().count())
+    return decisions.repartition(files, "file").sortWithinPartitions("file", "at").mapInArrow(write, "file string, records long")
 
 
 def read_archives(spark, folder: str, names: DataFrame) -> DataFrame:
@@ -169,7 +171,7 @@ def read_archives(spark, folder: str, names: DataFrame) -> DataFrame:
     def read(batches):
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                fs, base = _filesystem(folder)
+                fs, base = filesystem(folder)
                 out = []
                 with fs.open_input_stream(f"{base}/{name.replace('capture', 'dedup')}", compression=None) as stream:
                     for h, payload in read_records(stream):
@@ -192,11 +194,13 @@ def deduplicated_archives(pages: DataFrame, folder: str | None = None, least: in
     response. Of repeated rows with one page_id the first written is the
     response; the others refer to that id. A null page_id sorts last and gives
     a null refers_to, with the record id still in refers_to_record. No rows
-    give no archive. Only page_id, url and html are read.
+    give no archive. Payloads may have any length. Only page_id, url and html
+    are read, so other columns may have any names.
     """
     spark = pages.sparkSession
-    folder = folder or scratch_path(spark, "warc")
+    folder = qualified(spark, folder) if folder else scratch_path(spark, "warc")
     headers = materialize(capture(pages, f"{folder}/capture"), "headers")
-    archives = materialize(rewrite(resolve(headers, least), f"{folder}/capture", f"{folder}/dedup"), "archives")
+    decisions = materialize(resolve(headers, least), "decisions")
+    archives = materialize(rewrite(decisions, f"{folder}/capture", f"{folder}/dedup"), "archives")
     n = archives.count()
     return read_archives(spark, f"{folder}/dedup", archives.repartition(max(1, n)))
