@@ -3,7 +3,7 @@
 Vectors of one label form a neighbour graph. Random hyperplane buckets give
 each vector a first list of K neighbours; then every round joins the
 neighbours (and reverse neighbours) of each vector with one another and keeps
-the best K of each, until few lists change. Equal vectors of a label are one
+the best K of each, until few list entries change. Equal vectors of a label are one
 vector with a weight. The connected members of threshold edges are compared in
 tiles, which yields all their links without listing all pairs. Saturated lists,
 whose last neighbour is still above the threshold, are enlarged as far as
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,7 +30,6 @@ _PART = 192  # most vectors compared in one go
 _TILE = 256
 _TREES = 6
 _DESCENT = 12  # list length during descent
-_ROUNDS = 3
 _STILL = 0.02  # share of changed list entries below which descent ends
 
 
@@ -41,18 +41,23 @@ def normalised(vectors: DataFrame, vec: str = "embedding", label: str = "label",
 
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                out.append(None)
-                if x and y is not None and None not in x:
-                    a = np.array(x, dtype=np.float64)
-                    big = np.abs(a).max()  # scaled first, so neither huge nor tiny components overflow
-                    if np.isfinite(big) and big > 0:
-                        a = a / big + 0.0  # no negative zeros: equal vectors have equal bytes
-                        out[-1] = (a / np.sqrt((a * a).sum())).tobytes()
-            v = pa.array(np.arange(row, row + len(out)))
-            row += len(out)
-            yield pa.RecordBatch.from_arrays([v, batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["v", "vec_id", "label", "x"])
+            x = batch.column(1)
+            n, size = len(x), pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = x.flatten()
+            value = pc.fill_null(pc.cast(flat, pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+            label = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            out, first = [None] * n, np.cumsum(size) - size
+            for width in np.unique(size[size > 0]).tolist():
+                some = np.flatnonzero((size == width) & ~label)
+                a = value[first[some][:, None] + np.arange(width)]
+                big = np.abs(a).max(axis=1)  # scaled first, so neither huge nor tiny components overflow
+                good = np.isfinite(a).all(axis=1) & (big > 0)
+                a = a[good] / big[good, None] + 0.0  # no negative zeros: equal vectors have equal bytes
+                a /= np.sqrt((a * a).sum(axis=1))[:, None]
+                for i, v in zip(some[good].tolist(), a):
+                    out[i] = v.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["v", "vec_id", "label", "x"])
+            row += n
 
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), vec, F.col(label).cast("long").alias("label")).mapInArrow(unit, "v long, vec_id long, label long, x binary")
 
@@ -82,8 +87,8 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), -1)
 
 
-def _nearest(ids: np.ndarray, own: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
-    """The k nearest of each that are not of its own set, as (v, w, sim)."""
+def _nearest(ids: np.ndarray, own: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[np.ndarray]:
+    """The k nearest of each that are not of its own set and more similar than its floor, as (v, w, sim)."""
     sims = x @ x.T
     sims[own[:, None] == own[None, :]] = -2
     k = min(k, len(ids) - 1)
@@ -91,7 +96,7 @@ def _nearest(ids: np.ndarray, own: np.ndarray, x: np.ndarray, k: int) -> list[np
     row = np.repeat(np.arange(len(ids)), k)
     near = near.ravel()
     sim = sims[row, near]
-    other = sim > -1.5
+    other = sim > (-1.5 if floor is None else floor[row])
     return [ids[row[other]], ids[near[other]], sim[other]]
 
 
@@ -102,7 +107,8 @@ def _lists(table_key: list[str], k: int):
             ids = g.column("v").to_numpy()
             ids, first = np.unique(ids, return_index=True)
             if len(ids) > 1:
-                out.append(_nearest(ids, g.column("own").to_numpy()[first], _matrix(g.column("x"))[first], k))
+                floor = g.column("floor").to_numpy()[first] if "floor" in g.column_names else None
+                out.append(_nearest(ids, g.column("own").to_numpy()[first], _matrix(g.column("x"))[first], k, floor))
                 n += len(out[-1][0])
             if n > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["v", "w", "sim"])
@@ -155,27 +161,40 @@ def _initial(unit: DataFrame, k: int, trees: int) -> DataFrame:
     return split.repartition(*key).sortWithinPartitions(*key).mapInArrow(_lists(key, k), "v long, w long, sim double")
 
 
-def _descend(unit: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """One round: the neighbours and reverse neighbours of each vector meet; a hub's are split by hash."""
+def _descend(unit: DataFrame, lists: DataFrame, k: int, turn: int) -> DataFrame:
+    """One round: the neighbours and reverse neighbours of each vector meet.
+
+    A hub's are split by a hash that changes with the round. A worker returns
+    only what improves a list: more similar than its last entry.
+    """
     around = lists.select(F.col("v").alias("hub"), F.col("w").alias("v")).union(lists.select(F.col("w").alias("hub"), "v")).distinct()
     sizes = around.groupBy("hub").agg(F.count("*").alias("c"))
-    placed = around.join(sizes, "hub").withColumn("part", F.expr(f"pmod(xxhash64(v, hub), cast(ceil(c / {_PART}) as bigint))")).select("hub", "part", "v")
-    met = placed.join(unit.select("v", "own", "x"), "v").select("hub", "part", "v", "own", "x")
+    placed = around.join(sizes, "hub").withColumn("part", F.expr(f"pmod(xxhash64(v, hub, {turn}), cast(ceil(c / {_PART}) as bigint))")).select("hub", "part", "v")
+    last = lists.groupBy("v").agg(F.min("sim").alias("sim"), F.count("*").alias("c")).select("v", F.when(F.col("c") >= k, F.col("sim")).otherwise(-1.5).alias("floor"))
+    known = unit.select("v", "own", "x").join(last, "v", "left").select("v", "own", "x", F.coalesce("floor", F.lit(-1.5)).alias("floor"))
+    met = placed.join(known, "v").select("hub", "part", "v", "own", "x", "floor")
     found = met.repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(_lists(["hub", "part"], k), "v long, w long, sim double")
     return _best(found.union(lists), k)
 
 
-def neighbour_lists(unit: DataFrame, k: int = _DESCENT, trees: int = _TREES, rounds: int = _ROUNDS) -> DataFrame:
-    """(v, w, sim): an approximate list of the k nearest of each vector within its label, without those of one ``own``."""
+def neighbour_lists(unit: DataFrame, k: int = _DESCENT, trees: int | None = None) -> DataFrame:
+    """(v, w, sim): an approximate list of the k nearest of each vector within its label, without those of one ``own``.
+
+    The number of trees grows with the logarithm of the largest label, for the
+    chance that two near vectors share no bucket grows with it. Rounds go on
+    until few list entries change.
+    """
+    largest = unit.groupBy("label").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    trees = trees or max(_TREES, int(np.ceil(np.log2(max(2, largest)) / 2)))
     lists = materialize(_best(_initial(unit, k, trees), k), "lists")
-    total = max(1, lists.count())
-    for _ in range(rounds):
-        after = materialize(_descend(unit, lists, k), "lists")
+    total, turn = max(1, lists.count()), 0
+    while True:
+        turn += 1
+        after = materialize(_descend(unit, lists, k, turn), "lists")
         same = after.join(lists.select("v", "w"), ["v", "w"], "left_semi").count()
         changed, lists = after.count() - same, after
         if changed < _STILL * total:
-            break
-    return lists
+            return lists
 
 
 def _groups_of(unit: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -243,8 +262,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = _DESCE
     Vectors are compared within one label by cosine in double precision. A null
     label and a vector that is null, empty or zero, or holds a null or
     non-finite component, links with nothing and is kept. Vectors of different
-    length never meet. Equal vectors link. Repeated rows count as rows; rows
-    with a null id link but give no component its id unless all are null.
+    length never meet; they may be of any length. Equal vectors link. Repeated
+    rows count as rows; rows with a null id link but give no component its id
+    unless all are null. No rows give no rows. Only vec_id, embedding and label
+    are read, so other columns may have any names.
     """
     rows = materialize(normalised(vectors).withColumn("digest", F.unhex(F.sha2("x", 256))), "rows")
     equal = materialize(rows.where("x is not null").groupBy("label", "digest").agg(F.min("v").alias("one"), F.count("*").alias("weight")), "equal")
@@ -270,24 +291,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = _DESCE
     )
 
 
-def recall(vectors: DataFrame, sample: int = 256, threshold: float = 0.98) -> float:
-    """Audit: the share of the true links of ``sample`` vectors (smallest hashes) that the descent finds."""
+def recall(vectors: DataFrame, sample: int = 256, threshold: float = 0.98) -> tuple[float | None, int]:
+    """Audit: (share of the true links of ``sample`` vectors, those with the smallest hashes, that the descent finds; their number).
+
+    The share is null where there is nothing to find. Null ids are not audited.
+    """
     found = near_duplicates(vectors, threshold).select("vec_id", "n_links")
     unit = materialize(normalised(vectors).where("x is not null"), "audit")
-    chosen = unit.orderBy(F.xxhash64("vec_id"), "v").limit(sample).select("v", "vec_id", "label", "x").collect()
-    by_label: dict[int, list] = {}
+    chosen = unit.where("vec_id is not null").orderBy(F.xxhash64("vec_id"), "v").limit(sample).select("v", "vec_id", "label", "x").collect()  # `sample` rows
+    asked: dict[tuple, list] = {}
     for r in chosen:
-        by_label.setdefault((r.label, len(r.x)), []).append((r.v, r.vec_id, np.frombuffer(r.x, np.float64)))
+        asked.setdefault((r.label, len(r.x)), []).append(r)
+    matrices = {k: (np.array([r.v for r in rs]), np.array([r.vec_id for r in rs]), np.frombuffer(b"".join(r.x for r in rs), np.float64).reshape(len(rs), -1)) for k, rs in asked.items()}
 
     def count(batches):
-        n: dict[int, int] = {}
         for batch in batches:
-            for v, _, label, x in zip(*(c.to_pylist() for c in batch.columns)):
-                for w, i, y in by_label.get((label, len(x)), ()):
-                    if v != w and float(np.frombuffer(x, np.float64) @ y) >= threshold:
-                        n[i] = n.get(i, 0) + 1
-        yield pa.RecordBatch.from_pydict({"vec_id": pa.array(list(n), pa.int64()), "true": pa.array(list(n.values()), pa.int64())})
+            groups: dict[tuple, list] = {}
+            for v, label, x in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3))):
+                if (label, len(x)) in matrices:
+                    groups.setdefault((label, len(x)), []).append((v, x))
+            for key, rows in groups.items():
+                own, ids, y = matrices[key]
+                x = np.frombuffer(b"".join(x for _, x in rows), np.float64).reshape(len(rows), -1)
+                near = (x @ y.T >= threshold) & (np.array([v for v, _ in rows])[:, None] != own[None, :])
+                n = near.sum(axis=0)
+                yield pa.RecordBatch.from_pydict({"vec_id": pa.array(ids[n > 0]), "true": pa.array(n[n > 0])})
 
     truth = unit.mapInArrow(count, "vec_id long, true long").groupBy("vec_id").agg(F.sum("true").alias("true"))
-    row = truth.join(found, "vec_id").agg(F.sum(F.least("true", "n_links")).alias("got"), F.sum("true").alias("all")).first()
-    return row.got / row.all if row.all else 1.0
+    row = truth.join(found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links")), "vec_id").agg(F.sum(F.least("true", "n_links")).alias("got"), F.sum("true").alias("all")).first()
+    return (row.got / row["all"] if row["all"] else None), row["all"] or 0
