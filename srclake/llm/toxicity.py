@@ -37,7 +37,7 @@ FLOOR = 0.02  # least relevance of a term
 _SURE = 50.0  # chi-square at which half of the relevance is reached
 _PRIOR = 0.05  # weight of the base rate among the votes
 _BLOCK = 64
-_QUERIES = 64  # texts searched at once
+_QUERIES = 32  # texts searched at once
 _CHUNKS = 64
 _TABLE = wordhash.ALNUM_TABLE
 
@@ -135,13 +135,11 @@ class Index:
         long = np.flatnonzero(np.diff(self.first) >= max(_BLOCK, len(self.total) // 32))
         self._row = np.full(len(self.value), -1, dtype=np.int64)
         self._row[long] = np.arange(len(long))
-        rows = np.zeros((len(long), self._entries), dtype=np.float32)
+        self._lists = np.zeros((self._entries // _BLOCK, len(long), _BLOCK), dtype=np.float32)  # by block, then term
         for i, t in enumerate(long.tolist()):
-            a, b = self.first[t], self.first[t + 1]
-            rows[i, self.entry[a:b]] = self.weight[a:b]
-        blocks = rows.reshape(len(long), -1, _BLOCK)
-        self._maxima = blocks.max(axis=2) if len(long) else np.zeros((0, self._entries // _BLOCK), np.float32)
-        self._lists = np.ascontiguousarray(blocks.transpose(1, 0, 2))  # by block, then term
+            e = self.entry[self.first[t] : self.first[t + 1]]
+            self._lists[e // _BLOCK, i, e % _BLOCK] = self.weight[self.first[t] : self.first[t + 1]]
+        self._maxima = np.ascontiguousarray(self._lists.max(axis=2).T) if len(long) else np.zeros((0, self._entries // _BLOCK), np.float32)
 
     def weights(self, doc: np.ndarray, term: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Of each text's terms, with length 1."""
@@ -379,15 +377,18 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
             )
 
     rows = texts.mapInArrow(describe, "id long, terms binary, counts binary").toArrow()  # at most `examples` rows
-    found = [(i, np.frombuffer(t, np.uint64), np.frombuffer(n, np.int32).astype(np.int64), *votes[i]) for i, t, n in zip(*(c.to_pylist() for c in rows.columns))]
+    found = [(i, np.frombuffer(t, np.uint64), np.frombuffer(n, np.int32), *votes[i]) for i, t, n in zip(*(c.to_pylist() for c in rows.columns))]
     found.sort(key=lambda r: r[0])
+    del rows
     total, positive = sum(r[4] for r in found), sum(r[3] for r in found)
     prior = positive / total if total else 0.0
     terms, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r[1] for r in found)]), return_inverse=True)
+    at = at.astype(np.int32)
+    found = [(i, None, *rest) for i, _, *rest in found] if len(terms) else found
     vocabulary = Vocabulary(terms)
     if not len(terms):
         return build(vocabulary, np.zeros(0), [(r[0], r[1], *r[2:]) for r in found], prior)
-    sizes = [len(r[1]) for r in found]
+    sizes = [len(r[2]) for r in found]
     n, pos = (np.bincount(at, np.repeat([float(r[k]) for r in found], sizes), minlength=len(terms)) for k in (4, 3))
     df, n_docs = _frequencies(docs, vocabulary)
     value = (np.log((1 + n_docs) / (1 + df)) + 1) * relevance(n, pos, total, positive)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_PIECE = 1 << 19  # bytes hashed at once; bounds memory, not the text
+_PIECE = 1 << 18  # bytes hashed at once; bounds memory, not the text
 _BASE = 0x9E3779B97F4A7C15 | 1
 _RNG = np.random.default_rng(20240607)
 _VALUES = _RNG.integers(1, 2**63 - 1, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -25,6 +25,7 @@ _POW: dict[str, np.ndarray] = {}
 
 def slices(batches, at: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Every row of the batches, in slices with about ``size`` bytes in text column ``at`` (more for a longer text)."""
+    _libc()
     try:
         for batch in batches:
             total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -38,14 +39,27 @@ def slices(batches, at: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
         trim()
 
 
+_LIBC: list = []
+
+
+def _libc():
+    """The C library of a worker, told once to return every large block as soon as it is free; None where there is another."""
+    if not _LIBC:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            _LIBC.append(ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None)
+            if _LIBC[0]:
+                _LIBC[0].mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: fixed, or it grows with what is freed
+        except (OSError, AttributeError):  # another C library
+            _LIBC[:] = [None]
+    return _LIBC[0]
+
+
 def trim() -> None:
     """Give freed memory back to the system: a worker lives on and must not hold what its last task needed."""
     pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+    if libc := _libc():
+        libc.malloc_trim(0)
 
 
 def table(separators: bytes | set[int]) -> np.ndarray:
