@@ -1,4 +1,4 @@
-"""A code index as a catalogue of DataFrames, and the questions it answers."""
+"""A code index as a catalogue of DataFrames, and the questions about its graph and files."""
 
 from __future__ import annotations
 
@@ -8,12 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import config
+from .analyses import Analyses
 from .operators import kernels as K
 from .sources.parsers import parse_file
 from .sources.srctree import read_tree
 
 SCHEMAS = {
-    "symbol": "kind string, class string, name string, line int, end_line int, is_async boolean, bases array<string>, decorators array<string>, signature struct<params:array<struct<name:string,type:string,has_default:boolean>>,return_type:string,formatted:string>, docstring string, body_hash string",
+    "symbol": "kind string, class string, name string, line int, end_line int, is_async boolean, bases array<string>, decorators array<string>, signature struct<params:array<struct<name:string,type:string,has_default:boolean>>,return_type:string,formatted:string>, docstring string, body_hash string, code string",
     "call": "class string, func string, line int, pos int, callee string",
     "dynamic": "symbol string, line int, pattern string, severity string",
     "import": "scope string, module string, root string, names array<string>",
@@ -27,6 +29,8 @@ SCHEMAS = {
     "middleware": "line int, name string, type string",
     "websocket": "line int, path string, handler string",
     "migration": "filename string, revision string, down_revision string, message string, create_date string, operations array<string>",
+    "compose_network": "name string",
+    "compose_volume": "name string",
     "service": "name string, image string, build string, ports array<string>, depends_on array<string>, environment array<string>",
     "ddl": "kind string, name string, on_table string",
     "dep": "ecosystem string, section string, name string",
@@ -36,43 +40,81 @@ SCHEMAS = {
     "router_prefix": "router string, prefix string",
     "mode": "value string",
 }
-CATEGORIES = [("(^|/)tests?/|(^|/)test_[^/]*$|_test\\.py$", "test"), ("(^|/)routers?/", "router"), ("(^|/)models?/", "model"), ("(^|/)services?/", "service"), ("(^|/)alembic/", "migration"), ("(^|/)docs?/", "docs")]
-TEST = "(^|/)(tests?/|test_[^/]*$)|_test\\.[a-z]+$|\\.(test|spec)\\.[a-z]+$"
-ENTRY_NAMES = ("main", "run", "start", "cli", "app", "handler")
-ALIASES = {"pyyaml": "yaml", "pillow": "pil", "beautifulsoup4": "bs4", "python-dotenv": "dotenv", "scikit-learn": "sklearn", "opencv-python": "cv2", "python-dateutil": "dateutil", "pyjwt": "jwt"}
+#: What counts as a test file: for impact, for mapping symbols to tests (a leading tests/ too), for callers (Python only).
+TESTS = {
+    "impact": "(^|/)test_[^/]*$|_test\\.[a-z]+$|/tests?/|\\.(test|spec)\\.[a-z]+$",
+    "mapper": "(^|/)(tests?/|test_[^/]*$)|_test\\.[a-z]+$|\\.(test|spec)\\.[a-z]+$",
+    "callers": "((^|/)(tests?/|test_)[^/]*|(^|/)tests?/.*|_test)\\.py$",
+}
+TEST = TESTS["mapper"]
+
+
+def _parsed(files: DataFrame, rules: dict) -> DataFrame:
+    def parse(batches):
+        for batch in batches:
+            out = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                language, facts, error = parse_file(path, content, rules)
+                out.append((path, "file", json.dumps({"language": language, "parse_error": error})))
+                out += [(path, kind, json.dumps(record, default=str)) for kind, record in facts]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)] if out else [pa.array([], pa.string())] * 3, names=["file", "kind", "data"])
+
+    return files.select("path", "content").mapInArrow(parse, "file string, kind string, data string")
 
 
-class CodeIndex:
-    """Typed tables over one parse of a tree; every query is an ordinary DataFrame."""
+def _file_rows(files: DataFrame) -> DataFrame:
+    text = F.decode("content", "ISO-8859-1")  # line ends are the same bytes, and nothing is malformed
+    return files.select(F.col("path").alias("file"), F.length("content").alias("size_bytes"), K.line_count(text).alias("lines"), F.concat(F.lit("sha256:"), F.substring(F.sha2("content", 256), 1, 16)).alias("hash"), "mtime")
 
-    def __init__(self, files: DataFrame, rules: dict | None = None):
-        rules = rules or {}
 
-        def parse(batches):
-            for batch in batches:
-                out = []
-                for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                    language, facts, error = parse_file(path, content, rules)
-                    out.append((path, "file", json.dumps({"language": language, "parse_error": error})))
-                    out += [(path, kind, json.dumps(record, default=str)) for kind, record in facts]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)] if out else [pa.array([], pa.string())] * 3, names=["file", "kind", "data"])
+class CodeIndex(Analyses):
+    """Typed tables over one parse of a tree; every query is an ordinary DataFrame.
 
-        self.spark, self.raw = files.sparkSession, files
-        self.facts = files.select("path", "content").mapInArrow(parse, "file string, kind string, data string").persist()
+    ``facts`` has a row (file, kind, data) for each thing found, ``stored`` a row
+    for each file.
+    """
+
+    def __init__(self, facts: DataFrame, stored: DataFrame, rules: dict | None = None):
+        self.spark, self.facts, self.stored, self.rules = facts.sparkSession, facts, stored, config.merge(rules)
+
+    @classmethod
+    def of(cls, files: DataFrame, rules: dict | None = None) -> CodeIndex:
+        """Parse rows of (path, content, mtime)."""
+        return cls(_parsed(files, config.merge(rules)).persist(), _file_rows(files), rules)
 
     @classmethod
     def scan(cls, spark: SparkSession, root: str, rules: dict | None = None, **options) -> CodeIndex:
-        return cls(read_tree(spark, root, **options), rules)
+        merged = config.merge(rules)
+        options = {"exclude": merged["exclude"], "exclude_ext": merged["exclude_ext"], **options}
+        return cls.of(read_tree(spark, root, **options), rules)
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, rules: dict | None = None) -> CodeIndex:
+        """The index that ``save`` wrote."""
+        return cls(spark.read.parquet(f"{folder}/facts"), spark.read.parquet(f"{folder}/stored"), rules)
+
+    @classmethod
+    def update(cls, spark: SparkSession, root: str, folder: str, rules: dict | None = None, **options) -> tuple[CodeIndex, DataFrame]:
+        """(index, changes): a saved index brought up to date. Only added and updated files are parsed; facts of unchanged ones are kept.
+
+        Whatever is derived (call graph, roles, flows, duplicates, ...) is computed from the facts, so nothing of it goes stale.
+        """
+        merged = config.merge(rules)
+        options = {"exclude": merged["exclude"], "exclude_ext": merged["exclude_ext"], **options}
+        older, raw = cls.load(spark, folder, rules), read_tree(spark, root, **options)
+        stored = _file_rows(raw)
+        changes = K.snapshot_diff(older.stored.select("file", "hash"), stored.select("file", "hash"), "file", "hash").persist()
+        changed = raw.join(changes.where("status in ('added', 'updated')").select(F.col("file").alias("path")), "path", "left_semi")
+        facts = K.retain(older.facts, _parsed(changed, merged), changes, "file").persist()
+        return cls(facts, stored, rules), changes
 
     def table(self, kind: str) -> DataFrame:
         return self.facts.where(F.col("kind") == kind).select("file", F.from_json("data", SCHEMAS[kind]).alias("r")).select("file", "r.*")
 
     def files(self) -> DataFrame:
-        text = F.decode("content", "ISO-8859-1")  # line ends are the same bytes, and nothing is malformed
-        raw = self.raw.select(F.col("path").alias("file"), F.length("content").alias("size_bytes"), K.line_count(text).alias("lines"), F.concat(F.lit("sha256:"), F.substring(F.sha2("content", 256), 1, 16)).alias("hash"), "mtime")
         parsed = self.facts.where("kind = 'file'").select("file", F.from_json("data", "language string, parse_error string").alias("r")).select("file", "r.*")
         mode = self.table("mode").withColumnRenamed("value", "parse_mode")
-        return raw.join(parsed, "file").join(mode, "file", "left").withColumn("category", K.first_rule(F.col("file"), CATEGORIES))
+        return self.stored.join(parsed, "file").join(mode, "file", "left").withColumn("category", K.first_rule(F.col("file"), self.rules["categories"]))
 
     def summary(self) -> DataFrame:
         return K.inventory(self.files(), ["language", "category"], "lines")
@@ -84,7 +126,7 @@ class CodeIndex:
 
     def definitions(self) -> DataFrame:
         key = F.concat_ws(":", "file", F.concat_ws(".", "class", "name"))
-        return self.table("symbol").where("kind in ('function', 'method')").select(key.alias("key"), F.col("file").alias("def_file"), "name", F.col("class").alias("def_class"))
+        return self.table("symbol").where("kind in ('function', 'method')").select(key.alias("key"), F.col("file").alias("def_file"), "name", F.col("class").alias("def_class"), "line")
 
     def callers(self, symbol: str) -> DataFrame:
         return self.calls().where(K.contains_ci("callee", symbol)).groupBy("caller", "file", "line").agg(F.sort_array(F.collect_set("callee")).alias("matching"))
@@ -96,9 +138,8 @@ class CodeIndex:
         return self.calls().where(K.contains_ci("file", name)).select("file", "caller", "pos", "callee")
 
     def edges(self) -> DataFrame:
-        """Resolved calls: the last segment of the callee equals a defined name."""
-        c = self.calls().withColumn("name", K.last_segment("callee"))
-        return c.join(self.definitions(), "name").select(F.col("caller").alias("src"), F.col("key").alias("dst")).distinct()
+        """Resolved calls: the last segment of the callee equals a defined name. Each call has one definition: of its own file if there is one, else the first."""
+        return self.resolved_calls().select(F.col("caller").alias("src"), F.col("key").alias("dst")).distinct()
 
     def roles(self) -> DataFrame:
         return K.roles(K.degrees(self.edges(), nodes=self.definitions().select("key")))
@@ -110,14 +151,6 @@ class CodeIndex:
         s = self.table("symbol").where("kind <> 'class'").withColumn("member", F.concat_ws(":", "file", F.concat_ws(".", "class", "name")))
         return K.duplicate_groups(s, "body_hash", "member")
 
-    def entry_points(self) -> DataFrame:
-        s = self.table("symbol").where("kind = 'function'")
-        reason = F.when(F.col("name").isin(*ENTRY_NAMES), "name").when(F.col("name").rlike("^(main|setup_)"), "prefix").when(F.col("file").endswith("__main__.py"), "module").when(F.exists("decorators", lambda d: d.rlike("(?i)\\.(get|post|put|patch|delete|route|command|task|websocket)$")), "decorator")
-        return s.select(F.concat_ws(":", "file", "name").alias("key"), reason.alias("reason")).where("reason is not null")
-
-    def flows(self, depth: int = 6) -> DataFrame:
-        return K.trace_paths(self.edges(), self.entry_points().select("key"), depth)
-
     # -- change impact and tests
     def impact(self, path: str, depth: int = 2) -> DataFrame:
         """(kind, item, depth): direct and transitive callers, tests and endpoints that a file's change touches."""
@@ -126,7 +159,8 @@ class CodeIndex:
         later = K.transitive(self.edges(), direct.select("node"), depth)
         module = path.rsplit(".", 1)[0].replace("/", ".")
         imports = self.table("import").where(F.col("module").isin(module, module.split(".", 1)[-1]) | F.col("module").endswith("." + module.split(".")[-1]))
-        tests = direct.where(F.col("file").rlike(TEST)).select("file").union(imports.where(F.col("file").rlike(TEST)).select("file")).distinct()
+        is_test = F.col("file").rlike(TESTS["mapper"])  # with a leading tests/, which the impact predicate lacks
+        tests = direct.where(is_test).select("file").union(imports.where(is_test).select("file")).distinct()
         routes = self.table("route")
         touched = routes.where(F.col("file") == path).select("file", "method", "path").union(routes.join(direct.select("file").distinct(), "file", "left_semi").select("file", "method", "path")).distinct()
         return (
@@ -140,7 +174,7 @@ class CodeIndex:
         """Test files by import, call or name of a symbol, with the three reasons."""
         leaf = symbol.split(".")[-1]
         flag = lambda df, name: df.where(F.col("file").rlike(TEST)).select("file").distinct().withColumn(name, F.lit(True))
-        by_import = flag(self.table("import").where(F.array_contains("names", leaf)), "imported")
+        by_import = flag(self.table("import").where(F.arrays_overlap("names", F.array(*map(F.lit, symbol.split("."))))), "imported")  # of the symbol or its class
         by_call = flag(self.calls().where(F.col("callee").isin(leaf, symbol) | F.col("callee").endswith("." + leaf)), "called")
         by_name = flag(self.table("symbol").where(F.lower("name").rlike(f"test_?.*{leaf.lower()}")), "named")
         joined = by_import.join(by_call, "file", "full_outer").join(by_name, "file", "full_outer")
@@ -156,7 +190,9 @@ class CodeIndex:
         return names.join(tests, names.want == tests.test_stem, "left").groupBy("file").agg(F.min_by("test", F.when(F.col("test").isNotNull(), F.struct("rank", "test"))).alias("test"))
 
     # -- findings
-    def complexity(self, file_lines: int = 500, function_lines: int = 50, methods: int = 15) -> DataFrame:
+    def complexity(self, file_lines: int | None = None, function_lines: int | None = None, methods: int | None = None) -> DataFrame:
+        limits = self.rules["complexity"]
+        file_lines, function_lines, methods = file_lines or limits["file_lines"], function_lines or limits["function_lines"], methods or limits["class_methods"]
         s = self.table("symbol")
         big = self.files().select(F.lit("file").alias("kind"), F.col("file").alias("item"), F.col("lines").cast("bigint").alias("size"), K.severity(F.col("lines"), file_lines, 2 * file_lines).alias("severity"))
         span = (F.col("end_line") - F.col("line") + 1).cast("bigint")
@@ -164,23 +200,6 @@ class CodeIndex:
         wide = s.where("kind = 'method'").groupBy("file", "class").agg(F.count("*").alias("n")).select(F.lit("class"), F.concat_ws(":", "file", "class"), "n", K.severity(F.col("n"), methods, methods + 10))
         return big.union(long).union(wide).where("severity <> 'ok'")
 
-    def orphans(self) -> DataFrame:
-        """Python files that no module imports, entry points and tests aside."""
-        f = self.files().where("language = 'python'").select("file", "lines")
-        f = f.where(~F.col("file").rlike(TEST) & ~F.col("file").rlike("(^|/)(__init__|__main__|main|app|manage|setup|conftest|wsgi|asgi|cli)\\.py$") & ~F.col("file").rlike("(^|/)(scripts|migrations|alembic|bin|tools)/"))
-        module = F.regexp_replace(F.regexp_replace("file", "\\.pyw?$", ""), "/", ".")
-        imported = self.table("import").select(F.explode(F.concat(F.array("module"), F.transform("names", lambda n: F.concat_ws(".", "module", n)))).alias("module")).distinct()
-        hit = K.suffix_join(f.withColumn("_m", module), imported, "_m", "module").select("file").distinct()
-        return f.join(hit, "file", "left_anti")
-
-    def dependency_problems(self) -> DataFrame:
-        """(problem, name): imported but undeclared, declared but unused; names are compared after aliases."""
-        alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-        norm = lambda c: F.translate(F.lower(F.coalesce(alias[F.lower(c)], c)), "-.", "__")
-        used = self.table("import").where("scope = 'external'").join(self.files().where("language = 'python'").select("file"), "file", "left_semi").select(norm(F.col("root")).alias("name"))
-        declared = self.table("dep").where("ecosystem = 'python'").select(norm(F.col("name")).alias("name"))
-        return K.missing(used, declared, "name").select(F.lit("missing").alias("problem"), "name").union(K.missing(declared, used, "name").select(F.lit("unused"), "name"))
-
     def endpoints(self) -> DataFrame:
         """Routes with the prefix under which their file's router is included."""
         r = self.table("route").withColumn("stem", F.regexp_extract("file", "([^/]+)\\.py$", 1))
@@ -190,19 +209,17 @@ class CodeIndex:
     def http_calls(self) -> DataFrame:
         return self.table("http").withColumn("domain", K.domain(F.col("url")))
 
-    def lookup(self, symbol: str) -> DataFrame:
-        s = self.table("symbol").where(K.contains_ci("name", symbol))
-        c = self.calls().groupBy("file", "class", F.col("func").alias("name")).agg(F.sort_array(F.collect_set("callee")).alias("calls"))
-        return s.join(c, (s.file == c.file) & s["class"].eqNullSafe(c["class"]) & (s.name == c.name), "left").select(s["*"], "calls")
-
     def diff(self, older: CodeIndex) -> DataFrame:
         return K.snapshot_diff(older.files().select("file", "hash"), self.files().select("file", "hash"), "file", "hash")
 
     def save(self, folder: str) -> None:
-        """The catalogue as Parquet, one folder per table."""
+        """The index as Parquet (facts and stored are what ``load`` reads), with one typed folder per table."""
+        self.facts.write.mode("overwrite").parquet(f"{folder}/facts")
+        self.stored.write.mode("overwrite").parquet(f"{folder}/stored")
         self.files().write.mode("overwrite").parquet(f"{folder}/files")
         for kind in SCHEMAS:
             self.table(kind).write.mode("overwrite").parquet(f"{folder}/{kind}")
+        self.spark.range(1).select(F.current_timestamp().alias("generated_at")).write.mode("overwrite").parquet(f"{folder}/meta")
 
     def document(self) -> DataFrame:
         """One JSON row per file with all its facts."""

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-# -- filters and joins -------------------------------------------------------
+# filters and joins
 
 
 def contains_ci(column: str, needle: str) -> Column:
@@ -38,6 +41,26 @@ def missing(used: DataFrame, declared: DataFrame, key: str) -> DataFrame:
     return used.select(key).distinct().join(declared.select(key), key, "left_anti")
 
 
+def missing_by_prefix(used: DataFrame, declared: DataFrame, key: str) -> DataFrame:
+    """Used keys that are not declared, where a key that goes on after an underscore stands for the shorter one too.
+
+    Both prefix tests are equi joins on exploded prefixes.
+    """
+    parts = F.split(F.col(key), "_")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "_"))
+    u, d = used.select(key).where(F.col(key) != "").distinct(), declared.select(key).where(F.col(key) != "").distinct()
+    longer = d.select(F.explode(prefixes).alias(key)).distinct()
+    left = u.join(longer, key, "left_anti")
+    shorter = left.select(F.col(key).alias("_whole"), F.explode(prefixes).alias(key)).join(d, key, "left_semi").select(F.col("_whole").alias(key)).distinct()
+    return left.join(shorter, key, "left_anti")
+
+
+def sampled(df: DataFrame, key: str, member: str, most: int) -> DataFrame:
+    """(key, n, sample): the number of distinct members of each key, and up to ``most`` of them in order; no list grows with the data."""
+    ranked = df.select(key, member).distinct().withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(member)))
+    return ranked.groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_at") <= most, F.col(member)))).alias("sample"))
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """(key, status): added, deleted, updated or unchanged, by a full outer join."""
     a, b = old.select(F.col(key), F.col(value).alias("_old"), F.lit(1).alias("_a")), new.select(F.col(key), F.col(value).alias("_new"), F.lit(1).alias("_b"))
@@ -51,7 +74,7 @@ def retain(derived: DataFrame, fresh: DataFrame, diff: DataFrame, key: str) -> D
     return derived.join(same, key, "left_semi").unionByName(fresh.join(changed, key, "left_semi"), allowMissingColumns=True)
 
 
-# -- aggregates --------------------------------------------------------------
+# aggregates
 
 
 def duplicate_groups(df: DataFrame, fingerprint: str, member: str) -> DataFrame:
@@ -83,7 +106,7 @@ def pick_latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-# -- graph -------------------------------------------------------------------
+# graph
 
 
 def degrees(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None) -> DataFrame:
@@ -150,7 +173,7 @@ def trace_paths(edges: DataFrame, roots: DataFrame, depth: int, src: str = "src"
     return reduce(DataFrame.union, levels)
 
 
-# -- similarity --------------------------------------------------------------
+# similarity
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -159,27 +182,66 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_topk(vectors: DataFrame, query: list[float], id_col: str, vec: str, k: int = 10, least: float = 0.3) -> DataFrame:
-    """The k nearest by cosine, without those below ``least``; ties by id."""
+    """The k nearest of one query by cosine, without those below ``least``; ties by id."""
     q = F.array(*[F.lit(float(x)) for x in query])
     top = vectors.select(id_col, cosine(F.col(vec), q).alias("_s")).orderBy(F.desc("_s"), id_col).limit(k)
     return top.where(F.col("_s") >= least).select(id_col, F.round("_s", 3).alias("score"))
 
 
-def cosine_topk_each(queries: DataFrame, vectors: DataFrame, id_col: str, vec: str, k: int = 10, least: float = 0.3) -> DataFrame:
+def _unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(places, unit vectors) of the vectors of the usual width that are neither null nor zero and hold no null."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    width = int(np.bincount(size).argmax()) if len(size) and size.max() else 0
+    some = np.flatnonzero(size == width) if width else np.zeros(0, np.int64)
+    if not width:
+        return some, np.zeros((0, 0))
+    flat = pc.fill_null(pc.cast(column.take(pa.array(some)).flatten(), pa.float64()), np.nan).to_numpy(zero_copy_only=False).reshape(len(some), width)
+    norm = np.sqrt((flat * flat).sum(axis=1))
+    good = np.isfinite(norm) & (norm > 0)
+    return some[good], flat[good] / norm[good, None]
+
+
+def cosine_topk_each(queries: DataFrame, vectors: DataFrame, id_col: str, vec: str, k: int = 10, least: float = 0.3, block: int = 4096) -> DataFrame:
     """(query_id, id, score): for each query the k nearest of all vectors by cosine, without those below ``least``; ties by id.
 
-    No queries or no vectors give no rows; a null or zero vector is near nothing.
+    Queries go in blocks of bounded size, each broadcast once; a task keeps the k
+    nearest of each query, so little is shuffled. No queries or no vectors give
+    no rows; a null or zero vector, or one of another width, is near nothing.
     """
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0).cast("double"), lambda s, v: s + v)
-    norm = F.sqrt(dot(F.col(vec), F.col(vec)))
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("_q"), norm.alias("_nq"))
-    v = vectors.select(id_col, F.col(vec).alias("_v"), norm.alias("_nv"))
-    pairs = v.crossJoin(q).select("query_id", id_col, F.try_divide(dot(F.col("_v"), F.col("_q")), F.col("_nv") * F.col("_nq")).alias("_s"))
-    top = pairs.where("_s is not null").withColumn("_at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_s"), id_col)))
+    spark, schema = vectors.sparkSession, f"query_id long, {id_col} long, _s double"
+    blocks = -(-queries.count() // block)
+    found = spark.createDataFrame([], schema)
+    for b in range(blocks):
+        rows = queries.where(F.expr(f"pmod(xxhash64(`{id_col}`), {blocks})") == b).select(F.col(id_col).cast("long"), vec).toArrow()  # about `block` rows
+        at, unit = _unit_rows(rows.column(1).combine_chunks())
+        shared = spark.sparkContext.broadcast((rows.column(0).to_numpy()[at], unit))
+
+        def nearest(batches, shared=shared):
+            names, q = shared.value
+            best, who = np.full((len(names), 0), -2.0), np.zeros((len(names), 0), np.int64)
+            for batch in batches:
+                at, x = _unit_rows(batch.column(1))
+                if not len(at) or x.shape[1] != q.shape[1]:
+                    continue
+                sims = np.hstack([best, q @ x.T])
+                ids = np.hstack([who, np.broadcast_to(batch.column(0).to_numpy()[at], (len(names), len(at)))])
+                if sims.shape[1] > 4 * k:  # few remain, and ties at the edge with them
+                    edge = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
+                    width = int((sims >= edge[:, None]).sum(axis=1).max())
+                    part = np.argpartition(-sims, width - 1, axis=1)[:, :width]
+                    sims, ids = np.take_along_axis(sims, part, axis=1), np.take_along_axis(ids, part, axis=1)
+                best, who = sims, ids
+            order = np.lexsort((who, -best), axis=1)[:, :k]
+            row = np.repeat(np.arange(len(names)), order.shape[1])
+            s, w = np.take_along_axis(best, order, axis=1).ravel(), np.take_along_axis(who, order, axis=1).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(w), pa.array(s)], names=["query_id", id_col, "_s"])
+
+        found = found.union(vectors.select(F.col(id_col).cast("long"), vec).mapInArrow(nearest, schema))
+    top = found.withColumn("_at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_s"), id_col)))
     return top.where((F.col("_at") <= k) & (F.col("_s") >= least)).select("query_id", id_col, F.round("_s", 3).alias("score"))
 
 
-# -- text lines and rules ----------------------------------------------------
+# text lines and rules
 
 
 def lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -228,3 +290,30 @@ def first_line(text: Column, most: int = 200) -> Column:
     """The first line, cut to ``most`` characters with an ellipsis; null if empty."""
     line = F.trim(F.substring_index(F.trim(text), "\n", 1))
     return F.when(F.length(line) > most, F.concat(F.left(line, F.lit(most)), F.lit("..."))).when(line != "", line)
+
+
+# navigation in JSON columns
+
+
+def json_keys(df: DataFrame, keep: list[str], column: str, path: str = "$") -> DataFrame:
+    """(keep..., key, type, count, value): what an object or array at a JSON path holds.
+
+    Objects and arrays have their size, other values themselves cut to 50
+    characters. A row whose path leads nowhere, or to a plain value, gives one
+    row with a null key and ``missing`` or the value's type.
+    """
+    spot = df.select(*keep, F.expr(f"try_variant_get(try_parse_json(`{column}`), '{path}', 'variant')").alias("_v"))
+    kind = lambda v: F.when(F.col(v).isNull(), "missing").when(F.expr(f"is_variant_null({v})"), "null").otherwise(F.lower(F.regexp_extract(F.expr(f"schema_of_variant({v})"), "^[A-Za-z]+", 0)))
+    text = lambda v: F.expr(f"to_json({v})")
+    size = lambda v, k: F.when(k == "object", F.size(F.json_object_keys(text(v)))).when(k == "array", F.json_array_length(text(v))).cast("bigint")
+    whole = spot.withColumn("_k", kind("_v"))
+    nested = whole.where("_k in ('object', 'array')")
+    view = nested.sparkSession.sql("select t.*, e.pos as _pos, e.key as _key, e.value as _e from {t} t, lateral variant_explode(_v) e", t=nested)
+    inner = view.withColumn("_ek", kind("_e")).select(*keep, F.coalesce("_key", F.col("_pos").cast("string")).alias("key"), F.col("_ek").alias("type"), size("_e", F.col("_ek")).alias("count"), F.when(~F.col("_ek").isin("object", "array"), shorten(F.expr("try_variant_get(_e, '$', 'string')"))).alias("value"))
+    plain = whole.where("_k not in ('object', 'array')").select(*keep, F.lit(None).cast("string").alias("key"), F.col("_k").alias("type"), F.lit(None).cast("bigint").alias("count"), shorten(F.expr("try_variant_get(_v, '$', 'string')")).alias("value"))
+    return inner.unionByName(plain)
+
+
+def shorten(text: Column, most: int = 50) -> Column:
+    """For display: at most so many characters, and dots for the rest."""
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)

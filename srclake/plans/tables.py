@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import staleness
 from ..operators import kernels as K
 
-_EDGES_SQL = """e as (select user_id as src, lead(user_id) over (partition by cast(ts as date) order by ts, event_id) as dst from events where event_type = 'error'),
+_EDGES_SQL = """e as (select user_id as src, lead(user_id) over (partition by cast(ts as date) order by ts, event_id) as dst from events),
 g as (select distinct src, dst from e where dst is not null and src <> dst)"""
 _DEG_SQL = _EDGES_SQL + """, deg as (select node, cast(sum(i) as bigint) as in_degree, cast(sum(o) as bigint) as out_degree
 from (select dst as node, 1 as i, 0 as o from g union all select src, 0, 1 from g) group by node)"""
@@ -32,9 +33,9 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between the users of consecutive error events of a day."""
+    """Edges between the users of consecutive events of a day."""
     w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    e = _t(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"))
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"))
     return e.where("dst is not null and src <> dst").distinct()
 
 
@@ -65,13 +66,44 @@ def graph_transitive_callers(spark, sf_dir):
     return K.transitive(transitions(spark, sf_dir), start, 2).select("node", F.col("depth").cast("bigint").alias("depth"))
 
 
-@query(f"""with {_EDGES_SQL}, p1 as (select 13 as a, dst as b from g where src = 13), p2 as (select a, b, g.dst as c from p1 join g on g.src = p1.b)
-select cast(0 as bigint) as depth, cast(1 as bigint) as paths, cast(0 as bigint) as truncated union all select 1, count(*), count_if(b = a) from p1 union all select 2, count(*), count_if(c = a or c = b) from p2""")
+_NEXT_SQL = """e as (select user_id as src, lead(user_id) over (partition by cast(ts as date) order by ts, event_id) as dst from events),
+c as (select src, dst, count(*) as n from e where dst is not null group by src, dst), r as (select src, dst, row_number() over (partition by src order by n desc, dst) as place from c), f as (select src, dst from r where place = 1)"""
+
+
+def _usual_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One edge from each user, to the user who follows most often: as in a flow, the first resolution only."""
+    w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst")).where("dst is not null")
+    return e.groupBy("src", "dst").agg(F.count("*").alias("n")).groupBy("src").agg(F.max_by("dst", F.struct("n", -F.col("dst"))).alias("dst"))
+
+
+_TRACE_SQL = f"""with recursive {_NEXT_SQL}, p(path, depth, truncated) as (select [src], 0, false from f union all select list_append(path, dst), depth + 1, list_contains(path, dst) from p join f on f.src = path[len(path)] where depth < 6 and not truncated)"""
+
+
+@query(f"{_TRACE_SQL} select array_to_string(path, '>') as path, cast(depth as bigint) as depth, truncated from p")
 def graph_trace_paths(spark, sf_dir):
-    p = K.trace_paths(transitions(spark, sf_dir), spark.range(13, 14).toDF("node"), 2)
-    levels = spark.range(3).select(F.col("id").cast("int").alias("depth"))
-    got = p.groupBy("depth").agg(F.count("*").alias("paths"), F.count_if("truncated").alias("truncated"))
-    return levels.join(got, "depth", "left").select(F.col("depth").cast("bigint").alias("depth"), F.coalesce("paths", F.lit(0)).alias("paths"), F.coalesce("truncated", F.lit(0)).alias("truncated"))
+    edges = _usual_next(spark, sf_dir)
+    p = K.trace_paths(edges, edges.select("src"), 6)
+    return p.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.col("depth").cast("bigint").alias("depth"), "truncated")
+
+
+@query(f"{_TRACE_SQL} select path[1] as root, cast(max(depth) as bigint) as max_depth, count_if(depth > 0) as calls, count(distinct path[len(path)]) as functions from p group by 1")
+def graph_flow_metrics(spark, sf_dir):
+    edges = _usual_next(spark, sf_dir)
+    p = K.trace_paths(edges, edges.select("src"), 6)
+    return p.groupBy(F.element_at("path", 1).alias("root")).agg(F.max("depth").cast("bigint").alias("max_depth"), F.count_if(F.col("depth") > 0).alias("calls"), F.countDistinct(F.element_at("path", -1)).alias("functions"))
+
+
+@query(f"""with {_DEG_SQL}, r as (select *, row_number() over (order by in_degree + out_degree desc, node) as place from deg) select node, in_degree, out_degree from r where place <= 15""")
+def graph_top_degrees(spark, sf_dir):
+    return K.degrees(transitions(spark, sf_dir)).orderBy(F.desc(F.col("in_degree") + F.col("out_degree")), "node").limit(15)
+
+
+@query(f"""with {_EDGES_SQL}, r as (select dst, src, row_number() over (partition by dst order by src) as place from g)
+select dst as node, count(*) as n, array_to_string(list(src order by src) filter (place <= 10), ',') as callers from r group by dst""")
+def graph_caller_samples(spark, sf_dir):
+    r = K.sampled(transitions(spark, sf_dir), "dst", "src", 10)
+    return r.select(F.col("dst").alias("node"), "n", F.array_join(F.transform("sample", lambda x: x.cast("string")), ",").alias("callers"))
 
 
 @query("select 'sha256:' || substr(sha256(text), 1, 16) as hash, count(*) as n, array_to_string(list_sort(list(doc_id)), ',') as members from documents where text is not null group by 1 having count(*) > 1")
@@ -125,17 +157,15 @@ def snapshot_diff(spark, sf_dir):
     return K.snapshot_diff(*_snapshots(spark, sf_dir), "doc_id", "h")
 
 
-@query(f"with {_NEW_SQL} select doc_id, h from new")
+@query(f"with {_NEW_SQL} select new.doc_id, new.h, case when old.h = new.h then 'kept' else 'fresh' end as origin from new left join old on old.doc_id = new.doc_id")
 def retain_unchanged(spark, sf_dir):
     old, new = _snapshots(spark, sf_dir)
-    return K.retain(old, new, K.snapshot_diff(old, new, "doc_id", "h"), "doc_id")
+    return K.retain(old.withColumn("origin", F.lit("kept")), new.withColumn("origin", F.lit("fresh")), K.snapshot_diff(old, new, "doc_id", "h"), "doc_id")
 
 
-@query("""with q as (select embedding as e from embeddings where vec_id = 0), s as (select vec_id, list_dot_product(v.embedding::double[], q.e::double[]) / (sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) * sqrt(list_dot_product(q.e::double[], q.e::double[]))) as s from embeddings v, q)
-select vec_id, round(s, 3) as score from (select * from s order by s desc, vec_id limit 10) where s >= 0.3""")
-def cosine_topk(spark, sf_dir):
-    v = _t(spark, sf_dir, "embeddings")
-    return K.cosine_topk_each(v.where("vec_id = 0"), v, "vec_id", "embedding").select("vec_id", "score")
+@query(f"with {_NEW_SQL}, d as (select case when old.doc_id is null then 'added' when new.doc_id is null then 'deleted' when old.h = new.h then 'unchanged' else 'updated' end as status from old full join new on old.doc_id = new.doc_id) select status, count(*) as files from d group by status")
+def change_counts(spark, sf_dir):
+    return staleness.change_counts(K.snapshot_diff(*_snapshots(spark, sf_dir), "doc_id", "h"))
 
 
 @query("""with n as (select vec_id, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as l from embeddings), s as (select q.vec_id as query_id, v.vec_id, list_dot_product(v.e, q.e) / (v.l * q.l) as s from n q, n v where q.vec_id % 100 = 0),
@@ -180,9 +210,9 @@ def url_category(spark, sf_dir):
     return _t(spark, sf_dir, "pages").groupBy(K.first_rule(F.col("url"), rules).alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("select p_partkey, p_name, p_type from part where contains(lower(p_name), '11')")
+@query("select p_partkey, p_name, p_type from part where contains(lower(p_name), 'red w')")
 def symbol_substring_lookup(spark, sf_dir):
-    return _t(spark, sf_dir, "part").where(K.contains_ci("p_name", "11")).select("p_partkey", "p_name", "p_type")
+    return _t(spark, sf_dir, "part").where(K.contains_ci("p_name", "Red W")).select("p_partkey", "p_name", "p_type")
 
 
 @query("""with h as (select distinct regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1) as host from pages), d as (select distinct regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1) as dom from h)
@@ -198,6 +228,26 @@ def json_keys_path(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
 
 
+@query("""with k as (select event_id, props, unnest(json_keys(props)) as key from events)
+select event_id, key, case json_type(props, '$.' || key) when 'UBIGINT' then 'bigint' when 'BIGINT' then 'bigint' when 'VARCHAR' then 'string' else lower(json_type(props, '$.' || key)) end as type, json_extract_string(props, '$.' || key) as value from k""")
+def json_keys_listing(spark, sf_dir):
+    return K.json_keys(_t(spark, sf_dir, "events"), ["event_id"], "props").select("event_id", "key", "type", "value")
+
+
+@query("select o_custkey, count(*) as n, array_to_string(list(o_orderkey order by o_orderkey) filter (place <= 5), ',') as first_users from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as place from orders) group by o_custkey")
+def usage_statistics(spark, sf_dir):
+    r = K.sampled(_t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", 5)
+    return r.select("o_custkey", "n", F.array_join(F.transform("sample", lambda x: x.cast("string")), ",").alias("first_users"))
+
+
+@query("""with d as (select distinct split_part(split_part(url, '://', 2), '/', 1) as host from pages), u as (select distinct replace(host, '.', '_') as name from d), p as (select distinct replace(regexp_extract(host, '^([^.]+)[.]', 1), '.', '_') as name from d where length(host) % 2 = 0)
+select name from u where not exists (select 1 from p where p.name <> '' and (u.name = p.name or starts_with(u.name, p.name || '_') or starts_with(p.name, u.name || '_')))""")
+def missing_by_prefix(spark, sf_dir):
+    host = _t(spark, sf_dir, "pages").select(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host")).distinct()
+    declared = host.where(F.length("host") % 2 == 0).select(F.regexp_extract("host", "^([^.]+)[.]", 1).alias("name"))
+    return K.missing_by_prefix(host.select(F.replace("host", F.lit("."), F.lit("_")).alias("name")), declared, "name")
+
+
 @query("""with r as (select *, row_number() over (partition by conv_id order by turn) as p from conversations)
 select a.conv_id, a.turn as at, b.turn as next_at from r a join r b on a.conv_id = b.conv_id and b.p between a.p + 1 and a.p + 5 where a.role = 'user' and b.role = 'assistant'""")
 def handler_lookahead(spark, sf_dir):

@@ -9,6 +9,8 @@ import re
 import sys
 import tomllib
 
+from ..config import DEFAULTS
+
 Fact = tuple[str, dict]
 _REGISTRY: list[tuple[str, tuple[str, ...], object]] = []
 
@@ -26,9 +28,12 @@ def parser(language: str, *endings: str):
 def parse_file(path: str, content: bytes | None, rules: dict) -> tuple[str, list[Fact], str | None]:
     """(language, facts, error) of one file; undecodable bytes are replaced and no input fails the job."""
     text = (content or b"").decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
+    rules = {**DEFAULTS, **(rules or {})}
     facts, language, error = [], "other", None
+    low = path.lower()
+    compose = low.endswith((".yml", ".yaml")) and "docker" in low.split("/")[-1]
     for name, endings, f in _REGISTRY:
-        if path.lower().endswith(endings):
+        if low.endswith(endings) or (compose and name == "compose"):
             language = name
             try:
                 facts += list(f(path, text, rules))
@@ -36,6 +41,8 @@ def parse_file(path: str, content: bytes | None, rules: dict) -> tuple[str, list
                 error = f"{type(e).__name__}: {e}"
             break
     facts += list(line_facts(path, text, language))
+    if language == "dependencies" and path.endswith(".txt") and not path.split("/")[-1].startswith("requirements"):
+        language = "other"
     return language, facts, error
 
 
@@ -77,17 +84,46 @@ def body_hash(f) -> str:
     return hashlib.md5("".join(ast.dump(x) for x in body).encode()).hexdigest()[:12]
 
 
-_MARKERS = {"__tablename__": "sqlalchemy", "__table__": "sqlalchemy"}
-_VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
-_BASES = {"model": {"Base": "sqlalchemy", "DeclarativeBase": "sqlalchemy", "Model": "django", "Document": "mongo"}, "schema": {"BaseModel": "pydantic", "Schema": "marshmallow", "TypedDict": "typeddict", "Struct": "msgspec"}}
+class _Facts(list):
+    """Facts of a file, with its lines at hand."""
+
+    lines: list[str]
+
+
+def code_slice(lines: list[str], first: int, most: int = 50) -> str:
+    """The code from a line on: at most so many lines, up to the next definition or decorator that is not deeper."""
+    part = lines[first - 1 : first - 1 + most]
+    if not part:
+        return ""
+    depth = len(part[0]) - len(part[0].lstrip())
+    for n, line in enumerate(part[1:], 1):
+        body = line.lstrip()
+        if body and len(line) - len(body) <= depth and re.match(r"@|(?:async\s|def\s|class\s)", body):
+            return "\n".join(part[:n]).strip()
+    return "\n".join(part).strip()
+
+
+def base_matches(base: str, rule: str) -> bool:
+    """A base class is the rule's, is it under some module, or has an undotted rule as its last part."""
+    return base == rule or base.endswith("." + rule) or ("." not in rule and base.split(".")[-1] == rule)
+
 
+def auth_of(signature_text: str, decorators: str, rules: dict) -> str | None:
+    """What requires a login: a parameter first, then a decorator."""
+    for text, kind in ((signature_text, "parameters"), (decorators, "decorators")):
+        for pattern in rules["auth"].get(kind, ()):
+            if m := re.search(pattern, text, re.I):
+                return m[1] if m.lastindex else m[0]
+    return None
 
-def _function(path, f, owner, facts):
+
+def _function(path, f, owner, facts, rules):
     name = f"{owner}.{f.name}" if owner else f.name
     decorators = [_dotted(d) for d in f.decorator_list]
     sig = signature(f)
     record = {"kind": "method" if owner else "function", "class": owner, "name": f.name, "line": f.lineno, "end_line": f.end_lineno, "is_async": isinstance(f, ast.AsyncFunctionDef), "bases": [], "decorators": decorators, "signature": sig, "docstring": ast.get_docstring(f), "body_hash": body_hash(f)}
     facts.append(("symbol", record))
+    record["code"] = code_slice(facts.lines, f.lineno)
     seen = set()
     for node in ast.walk(f):
         if isinstance(node, ast.Call):
@@ -106,66 +142,116 @@ def _function(path, f, owner, facts):
                 pattern = "subscript"
             if pattern:
                 facts.append(("dynamic", {"symbol": name, "line": node.lineno, "pattern": pattern, "severity": "high" if pattern in ("eval", "exec") else "medium"}))
-    sig_text = ast.unparse(f.args)
+    sig_text, names = ast.unparse(f.args), " ".join(ast.unparse(d) for d in f.decorator_list)
+    sockets = False
     for d in f.decorator_list:
         target = _dotted(d)
         verb = target.split(".")[-1].lower()
-        if isinstance(d, ast.Call) and "." in target and verb in (*_VERBS, "route", "websocket"):
-            where = d.args[0].value if d.args and isinstance(d.args[0], ast.Constant) else None
-            kw = {k.arg: k.value for k in d.keywords}
-            if verb == "websocket":
-                facts.append(("websocket", {"line": f.lineno, "path": where, "handler": f.name}))
-                continue
-            methods = [str(x.value).upper() for x in getattr(kw.get("methods"), "elts", []) if isinstance(x, ast.Constant)] or (["GET"] if verb == "route" else [verb.upper()])
-            auth = re.search(r"(?i)depends\((?:\w+\.)*(\w*(?:current_user|auth|login|token|permission)\w*)", sig_text) or re.search(r"(?i)(\w*(?:login_required|requires_auth|permission_required|jwt_required|authenticated)\w*)", " ".join(decorators))
-            text = lambda k: kw[k].value if isinstance(kw.get(k), ast.Constant) else None
-            for m in methods:
-                facts.append(("route", {"line": f.lineno, "method": m, "path": where, "handler": f.name, "framework": "flask" if verb == "route" else "fastapi", "summary": text("summary"), "description": text("description"), "docstring": _first(ast.get_docstring(f)), "auth_required": bool(auth), "auth_type": auth.group(1) if auth else None}))
+        args, kw = (d.args, {k.arg: k.value for k in d.keywords}) if isinstance(d, ast.Call) else ([], {})
+        constant = lambda x: x.value if isinstance(x, ast.Constant) else None
+        if isinstance(d, ast.Call) and "." in target and verb == "websocket":
+            sockets = True
+            facts.append(("websocket", {"line": f.lineno, "path": constant(args[0]) if args else None, "handler": f.name}))
         elif isinstance(d, ast.Call) and verb == "middleware":
             facts.append(("middleware", {"line": f.lineno, "name": f.name, "type": "custom"}))
-
-
-def _class(path, c, facts):
+        elif isinstance(d, ast.Call) and (rule := next(((r, m) for r in rules["routes"] if (m := re.match(r["pattern"], target))), None)):
+            rule, m = rule
+            listed = kw.get("methods") or (args[0] if args and isinstance(args[0], (ast.List, ast.Tuple)) else None)
+            methods = [m[1].upper()] if m.lastindex else [str(constant(x)).upper() for x in getattr(listed, "elts", [])] or ["GET"]
+            auth = auth_of(sig_text, names, rules)
+            for method in methods:
+                facts.append(("route", {"line": f.lineno, "method": method, "path": constant(args[0]) if args else None, "handler": f.name, "framework": rule["framework"], "summary": constant(kw.get("summary")), "description": constant(kw.get("description")), "docstring": _first(ast.get_docstring(f)), "auth_required": auth is not None, "auth_type": auth}))
+    if not sockets and any(a.annotation is not None and _dotted(a.annotation).split(".")[-1] == "WebSocket" for a in f.args.args):
+        facts.append(("websocket", {"line": f.lineno, "path": None, "handler": f.name}))
+
+
+def _class(path, c, facts, rules):
     bases, decorators = [_dotted(b) for b in c.bases], [_dotted(d) for d in c.decorator_list]
-    facts.append(("symbol", {"kind": "class", "class": None, "name": c.name, "line": c.lineno, "end_line": c.end_lineno, "is_async": False, "bases": bases, "decorators": decorators, "signature": None, "docstring": ast.get_docstring(c), "body_hash": None}))
-    rule = lambda kind: next(((b, _BASES[kind][b.split(".")[-1]]) for b in bases if b.split(".")[-1] in _BASES[kind]), None)
+    facts.append(("symbol", {"kind": "class", "class": None, "name": c.name, "line": c.lineno, "end_line": c.end_lineno, "is_async": False, "bases": bases, "decorators": decorators, "signature": None, "docstring": ast.get_docstring(c), "body_hash": None, "code": code_slice(facts.lines, c.lineno)}))
     assigned = {t.id: x.value for x in c.body if isinstance(x, ast.Assign) for t in x.targets if isinstance(t, ast.Name)}
-    marker = next((m for m in _MARKERS if m in assigned), None)
-    if s := rule("schema"):
-        facts.append(("schema", {"name": c.name, "line": c.lineno, "type": s[1], "base": s[0]}))
-    elif marker or (m := rule("model")):
-        table = assigned[marker].value if marker and isinstance(assigned[marker], ast.Constant) else None
-        facts.append(("model", {"name": c.name, "line": c.lineno, "type": _MARKERS[marker] if marker else m[1], "table": table}))
+    by_base = lambda kind: next(((b, r["type"]) for r in rules[kind] if "base" in r for b in bases if base_matches(b, r["base"])), None)
+    marker = next((r for r in rules["models"] if r.get("marker") in assigned), None)
+    if found := by_base("schemas"):
+        facts.append(("schema", {"name": c.name, "line": c.lineno, "type": found[1], "base": found[0]}))
+    elif marker or (found := by_base("models")):
+        table = assigned[marker["marker"]].value if marker and isinstance(assigned[marker["marker"]], ast.Constant) else None
+        facts.append(("model", {"name": c.name, "line": c.lineno, "type": marker["type"] if marker else found[1], "table": table}))
     for x in c.body:
         if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            _function(path, x, c.name, facts)
+            _function(path, x, c.name, facts, rules)
         elif isinstance(x, ast.ClassDef):
-            _class(path, x, facts)
+            _class(path, x, facts, rules)
+
+
+def _is_alias(name: str, x) -> bool:
+    """A type alias: annotated as one, or a capitalised name for a type expression."""
+    if isinstance(x, ast.AnnAssign):
+        return _dotted(x.annotation).split(".")[-1] == "TypeAlias"
+    generic = isinstance(x.value, ast.Subscript) or (isinstance(x.value, ast.BinOp) and isinstance(x.value.op, ast.BitOr))
+    return name[:1].isupper() and not name.isupper() and generic
+
+
+def _by_lines(text: str, rules: dict) -> list[Fact]:
+    """What the lines of a broken file show: functions, classes and their methods with their ends, routes and imports."""
+    facts, open_, waiting = [], [], []
+    lines = text.split("\n")
+
+    def close(indent: int, line: int) -> None:
+        while open_ and open_[-1][0] >= indent:
+            open_.pop()[1]["end_line"] = line
+
+    last = 0
+    for n, line in enumerate(lines, 1):
+        body = line.lstrip()
+        if not body or body[0] == "#":
+            continue
+        indent = len(line) - len(body)
+        words = body.replace("(", " ( ").replace(":", " : ").split()
+        word = words[1] if words[0] == "async" and len(words) > 1 else words[0]
+        if word in ("def", "class") and len(words) > words.index(word) + 1:
+            close(indent, last)
+            name, owner = words[words.index(word) + 1], open_[-1][1]["name"] if open_ and open_[-1][1]["kind"] == "class" else None
+            if indent == 0 or word == "class" or owner:
+                record = {"kind": "class" if word == "class" else "method" if owner else "function", "class": owner if word == "def" else None, "name": name, "line": n, "is_async": words[0] == "async", "decorators": [d for d, _ in waiting]}
+                facts.append(("symbol", record))
+                open_.append((indent, record))
+                for d, where in waiting:
+                    if word == "def" and (r := next(((r, m) for r in rules["routes"] if (m := re.match(r["pattern"], d))), None)):
+                        facts.append(("route", {"line": n, "method": r[1][1].upper() if r[1].lastindex else "GET", "path": where, "handler": name, "framework": r[0]["framework"], "auth_required": False}))
+            waiting = []
+        elif body[0] == "@":
+            close(indent, last)
+            quoted = re.search("[\"']([^\"']*)[\"']", body)
+            waiting.append((body[1:].partition("(")[0].strip(), quoted[1] if quoted else None))
+        elif indent == 0 and words[0] in ("import", "from") and len(words) > 1:
+            facts.append(_import(words[1].rstrip(","), [], rules))
+        elif indent == 0:
+            close(0, last)
+        last = n
+    close(0, last)
+    return facts
 
 
 @parser("python", ".py", ".pyw")
 def python(path, text, rules):
-    facts: list[Fact] = []
+    facts = _Facts()
+    facts.lines = text.split("\n")
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError):
-        for n, line in enumerate(text.split("\n"), 1):  # what a line shows
-            if m := re.match(r"(async\s+)?def\s+(\w+)|class\s+(\w+)", line):
-                facts.append(("symbol", {"kind": "class" if m[3] else "function", "name": m[3] or m[2], "line": n, "is_async": bool(m[1])}))
-            elif m := re.match(r"(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", line):
-                facts.append(_import(m[1] or m[2], [], rules))
+        facts += _by_lines(text, rules)
         facts.append(("mode", {"value": "regex"}))
         return facts
     for x in tree.body:
         if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            _function(path, x, None, facts)
+            _function(path, x, None, facts, rules)
         elif isinstance(x, ast.ClassDef):
-            _class(path, x, facts)
+            _class(path, x, facts, rules)
         elif isinstance(x, (ast.Assign, ast.AnnAssign)) and x.value is not None:
             for t in x.targets if isinstance(x, ast.Assign) else [x.target]:
                 if isinstance(t, ast.Name):
                     value = ast.unparse(x.value)
-                    facts.append(("assignment", {"kind": "constant" if t.id.isupper() else "variable", "name": t.id, "line": x.lineno, "annotation": ast.unparse(x.annotation) if isinstance(x, ast.AnnAssign) else None, "value_preview": value[:200], "inferred_type": type(x.value.value).__name__ if isinstance(x.value, ast.Constant) else type(x.value).__name__.lower(), "initializer": _dotted(x.value.func) if isinstance(x.value, ast.Call) else None}))
+                    facts.append(("assignment", {"kind": "alias" if _is_alias(t.id, x) else "constant" if t.id.isupper() else "variable", "name": t.id, "line": x.lineno, "annotation": ast.unparse(x.annotation) if isinstance(x, ast.AnnAssign) else None, "value_preview": value[:200], "inferred_type": type(x.value.value).__name__ if isinstance(x.value, ast.Constant) else type(x.value).__name__.lower(), "initializer": _dotted(x.value.func) if isinstance(x.value, ast.Call) else None}))
     for x in ast.walk(tree):
         if isinstance(x, ast.Import):
             facts += [_import(a.name, [], rules) for a in x.names]
@@ -173,13 +259,15 @@ def python(path, text, rules):
             package = path.split("/")[: -x.level or None][: len(path.split("/")) - x.level] if x.level else []
             module = ".".join([*package, *([x.module] if x.module else [])])
             facts.append(_import(module, [a.name for a in x.names], rules, bool(x.level)))
-        elif isinstance(x, ast.Call) and _dotted(x.func).endswith("include_router") and x.args:
+        elif isinstance(x, ast.Call) and _dotted(x.func).endswith("include_router") and x.args and path.split("/")[-1] in ("main.py", "app.py"):
             prefix = next((k.value.value for k in x.keywords if k.arg == "prefix" and isinstance(k.value, ast.Constant)), None)
             if prefix:
                 parts = _dotted(x.args[0]).split(".")
                 facts.append(("router_prefix", {"router": parts[-2] if len(parts) > 1 and parts[-1] == "router" else re.sub("_router$", "", parts[-1]), "prefix": prefix}))
+        elif isinstance(x, ast.Call) and path.split("/")[-1] == "urls.py" and _dotted(x.func) in ("path", "re_path", "url") and len(x.args) > 1 and isinstance(x.args[0], ast.Constant):
+            facts.append(("route", {"line": x.lineno, "method": "ANY", "path": x.args[0].value, "handler": _dotted(x.args[1]), "framework": "django", "auth_required": False}))
         elif isinstance(x, ast.Call) and _dotted(x.func).endswith("add_middleware") and x.args:
-            facts.append(("middleware", {"line": x.lineno, "name": _dotted(x.args[0]), "type": "added"}))
+            facts.append(("middleware", {"line": x.lineno, "name": _dotted(x.args[0]), "type": "known" if _dotted(x.args[0]).split(".")[-1] in rules["middleware"] else "custom"}))
     if "/versions/" in "/" + path and re.search(r"^down_revision\b", text, re.M):
         got = lambda n: m[1] if (m := re.search(rf"^{n}\b[^=\n]*=\s*[\"']([^\"']*)", text, re.M)) else None
         facts.append(("migration", {"filename": path.split("/")[-1], "revision": got("revision"), "down_revision": got("down_revision"), "message": _first(ast.get_docstring(tree)), "create_date": m[1].strip() if (m := re.search(r"Create Date:\s*(.+)", text)) else None, "operations": [o for o in ("create_table", "drop_table", "add_column", "drop_column", "alter_column", "create_index", "drop_index", "execute") if f"op.{o}(" in text]}))
@@ -192,28 +280,47 @@ def _import(module, names, rules, relative=False) -> Fact:
     return "import", {"scope": "internal" if internal else "stdlib" if root in sys.stdlib_module_names else "external", "module": module, "root": root, "names": names}
 
 
-_TS = [(k, re.compile(p)) for k, p in (
-    ("function", r"^export\s+(?:default\s+)?(?:async\s+)?function\s+(\w+)"), ("const", r"^export\s+const\s+(\w+)"), ("type", r"^export\s+type\s+(\w+)"), ("interface", r"^export\s+(?:default\s+)?interface\s+(\w+)"),
-    ("import", r"^import\b.*?['\"]([^'\"]+)['\"]"), ("route", r"\b(?:app|router)\.(get|post|put|patch|delete)\(\s*['\"]([^'\"]+)"), ("fetch", r"\bfetch\(\s*[`'\"]([^`'\"]+)"), ("axios", r"\baxios\.(\w+)\(\s*[`'\"]([^`'\"]+)"),
-)]
+_QUOTED = re.compile("[`'\"]([^`'\"]+)[`'\"]")
+_SKIP = {"default", "declare", "async", "abstract"}
+
+
+def _called(line: str, owner: str, verbs: tuple[str, ...]) -> tuple[str, str] | None:
+    """(verb, quoted first argument) of a call owner.verb("...") in a line."""
+    before, found, after = line.partition(owner + ".")
+    if not found or (before and (before[-1].isalnum() or before[-1] in "_.")):
+        return None
+    verb, found, rest = after.partition("(")
+    rest = rest.lstrip()
+    m = _QUOTED.match(rest)
+    return (verb, m[1]) if found and m and (not verbs or verb in verbs) and verb.isalpha() else None
 
 
 @parser("typescript", ".ts", ".tsx", ".js", ".jsx")
 def typescript(path, text, rules):
-    for n, line in enumerate(text.split("\n"), 1):
-        kind, m = next(((k, m) for k, p in _TS if (m := p.search(line.strip()))), (None, None))
-        if kind in ("function", "const"):
-            name = m[1]
-            yield "ts_symbol", {"kind": "hook" if re.match(r"use[A-Z]", name) else "component" if name[0].isupper() else "function", "name": name, "line": n}
-        elif kind in ("type", "interface"):
-            yield "ts_symbol", {"kind": kind, "name": m[1], "line": n}
-        elif kind == "import":
-            internal = m[1].startswith((".", "@/", "~/"))
-            yield "import", {"scope": "internal" if internal else "external", "module": m[1] if internal else "/".join(m[1].split("/")[: 2 if m[1].startswith("@") else 1]), "root": m[1].split("/")[0], "names": []}
-        elif kind == "route":
-            yield "ts_route", {"line": n, "method": m[1].upper(), "path": m[2]}
-        elif kind:
-            yield "api_call", {"line": n, "library": kind, "method": "GET" if kind == "fetch" else m[1].upper(), "url": m[m.lastindex]}
+    """The first thing that each line shows: an exported name, an import, a route or a request."""
+    verbs = ("get", "post", "put", "patch", "delete")
+    for n, raw in enumerate(text.split("\n"), 1):
+        line = raw.strip()
+        words = re.findall(r"[\w$]+", line)
+        if words[:1] == ["export"]:
+            rest = [w for w in words[1:] if w not in _SKIP]
+            if len(rest) > 1 and rest[0] in ("function", "const", "type", "interface", "class"):
+                name = rest[1]
+                kind = rest[0] if rest[0] in ("type", "interface", "class") else "hook" if name[:3] == "use" and name[3:4].isupper() else "component" if name[0].isupper() else "function"
+                yield "ts_symbol", {"kind": kind, "name": name, "line": n}
+        elif words[:1] == ["import"] and (quoted := _QUOTED.findall(line)):
+            target = quoted[-1]
+            internal = target.startswith((".", "@/", "~/"))
+            yield "import", {"scope": "internal" if internal else "external", "module": target if internal else "/".join(target.split("/")[: 2 if target.startswith("@") else 1]), "root": target.split("/")[0], "names": []}
+        elif found := _called(line, "app", verbs) or _called(line, "router", verbs):
+            yield "ts_route", {"line": n, "method": found[0].upper(), "path": found[1]}
+        elif (m := re.search(r"(?<![\w.])fetch\s*\(\s*", line)) and (q := _QUOTED.match(line[m.end() :])):
+            yield "api_call", {"line": n, "library": "fetch", "method": "GET", "url": q[1]}
+        else:
+            for library in ("axios", "ky", "superagent"):
+                if found := _called(line, library, ()):
+                    yield "api_call", {"line": n, "library": library, "method": found[0].upper(), "url": found[1]}
+                    break
 
 
 @parser("sql", ".sql")
@@ -244,12 +351,14 @@ def compose(path, text, rules):
             yield "compose_" + kind[:-1], {"name": name}
 
 
-@parser("dependencies", "requirements.txt", "requirements-dev.txt", "pyproject.toml", "package.json")
+@parser("dependencies", ".txt", "pyproject.toml", "package.json")
 def dependencies(path, text, rules):
     out = lambda eco, section, name: ("dep", {"ecosystem": eco, "section": section, "name": name.lower()})
     token = lambda s: m[0] if (m := re.match(r"[A-Za-z0-9][A-Za-z0-9._-]*", s.strip())) else None
+    name = path.split("/")[-1]
     if path.endswith(".txt"):
-        yield from (out("python", "main", t) for line in text.split("\n") if line.strip()[:1] not in ("", "#", "-") and (t := token(line)))
+        if name.startswith("requirements"):
+            yield from (out("python", "main", t) for line in text.split("\n") if line.strip()[:1] not in ("", "#", "-") and (t := token(line)))
     elif path.endswith(".toml"):
         t = tomllib.loads(text)
         own = t.get("project", {}).get("name", "").lower()
@@ -264,7 +373,7 @@ def dependencies(path, text, rules):
 
 _TODO = re.compile(r"(?:#|//|/\*)\s*(TODO|FIXME|HACK|XXX)\b[:\s]*(.*?)(?:\*/)?\s*$", re.I)
 _ENV = {"python": re.compile(r"os\.(?:environ(?:\.get\(|\[)|getenv\()\s*[\"'](\w+)"), "typescript": re.compile(r"(?:process\.env|import\.meta\.env)\.(\w+)")}
-_HTTP = re.compile(r"\b(requests|httpx|aiohttp|session|client)\.(get|post|put|patch|delete|head|request)\(\s*(?:[\"'](GET|POST|PUT|PATCH|DELETE|HEAD)[\"']\s*,\s*)?f?[\"']([^\"']+)", re.I)
+_HTTP = re.compile(r"\b(requests|httpx|aiohttp|session|client|http|urllib3|treq)\.(get|post|put|patch|delete|head|options|request|urlopen)\(\s*(?:[\"'](GET|POST|PUT|PATCH|DELETE|HEAD)[\"']\s*,\s*)?f?[\"']([^\"']+)", re.I)
 
 
 def line_facts(path, text, language):

@@ -1,5 +1,3 @@
-collect_ignore_glob = ["fixtures/*"]
-
 import pytest
 from pyspark.sql import SparkSession
 
