@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
+from .words import WORDS
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -25,14 +26,6 @@ CONTEXT = re.compile(r"(?:passphrase|password|passwd|pwd|secret|credential|token
 KINDS = ("assign", "access", "hex", "guess")
 LEAST_GUESSES = 8.0  # log10; a value that costs less is weak or a placeholder
 
-#: Common words by rank; a caller may give a longer list.
-WORDS = (
-    "password the and you for secret admin welcome login letmein monkey dragon master love user test hello qwerty football baseball shadow sunshine princess "
-    "change changeme default example sample placeholder your key token none null true false value string here enter insert public private access account "
-    "root system server client service data base database mail home work school summer winter spring autumn january february march april may june july august "
-    "september october november december monday tuesday wednesday thursday friday saturday sunday red blue green black white yellow orange purple super man "
-    "star wars money power king queen happy computer internet google company office guest temp demo foo bar baz pass word code open sesame dog cat house"
-).split()
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _LEET = str.maketrans("4@31!0$57+", "aaeiiosstt")
 _DATE_SIZES, _DAYS = (4, 6, 7, 8, 9, 10), math.log10(365 * 120)
