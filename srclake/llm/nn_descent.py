@@ -263,8 +263,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = _DESCE
     label and a vector that is null, empty or zero, or holds a null or
     non-finite component, links with nothing and is kept. Vectors of different
     length never meet; they may be of any length. Equal vectors link. Repeated
-    rows count as rows; rows with a null id link but give no component its id
-    unless all are null. No rows give no rows. Only vec_id, embedding and label
+    rows count as rows; rows with a null id link but give no component its id,
+    and are kept only where no linked row has one. No rows give no rows. Only vec_id, embedding and label
     are read, so other columns may have any names.
     """
     rows = materialize(normalised(vectors).withColumn("digest", F.unhex(F.sha2("x", 256))), "rows")
@@ -287,7 +287,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = _DESCE
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("least", "vec_id").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("least", "vec_id"), F.lit(True)).alias("kept"),
+        F.col("vec_id").eqNullSafe(F.coalesce("least", "vec_id")).alias("kept"),
     )
 
 
