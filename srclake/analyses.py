@@ -154,6 +154,12 @@ class Analyses:
         return K.sampled(self.edges(), "dst", "src", most).select(F.col("dst").alias("node"), F.col("n").alias("in_degree"), F.col("sample").alias("callers"))
 
     # -- lookups
+    def test_files(self) -> DataFrame:
+        """Files that are tests by their place or name, each once."""
+        from .index import TEST
+
+        return self.files().where(F.col("file").rlike(TEST)).select("file", "language").distinct()
+
     def find_file(self, name: str) -> DataFrame:
         """The file of that path, or else the first by path of which one path ends with the other."""
         path = F.col("file")

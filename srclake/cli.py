@@ -10,7 +10,7 @@ import sys
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="srclake", description="Index a source tree and ask about it.")
     p.add_argument("path", nargs="?", help="root of the source tree")
-    p.add_argument("--load", metavar="FOLDER", help="a saved index")
+    p.add_argument("--load", metavar="FOLDER", help="a saved index, or a document written as FILE.json for --keys, --at and --summary")
     p.add_argument("--save", metavar="FOLDER", help="save the index as Parquet")
     p.add_argument("-o", "--output", metavar="FILE", help="write JSON to a file instead of the screen")
     p.add_argument("--summary", action="store_true", help="only meta, summary and badges")
@@ -50,6 +50,8 @@ def answer(spark, a: argparse.Namespace):
     rules["exclude_ext"] = [*rules["exclude_ext"], *(x for x in (a.exclude_ext or "").split(",") if x)]
     if (a.update or a.check) and not (a.load and a.path):
         raise ValueError("--update and --check need a path and --load")
+    if a.load and a.load.endswith(".json"):
+        return _shown(navigate.load(a.load), a)
     if a.update:
         index, changes = CodeIndex.update(spark, a.path, a.load, rules)
         return {"changes": {r.status: r.files for r in staleness.change_counts(changes).collect()}, **({"saved": a.save} if a.save and index.save(a.save) is None else {})}
@@ -91,12 +93,21 @@ def answer(spark, a: argparse.Namespace):
     if a.save:
         index.save(a.save)
     git = _rows(staleness.git_info(spark, a.path)) if a.path else []
-    made = navigate.document(index, {"root": a.path, "git": git[0] if git else None})
+    meta = {"root": a.path, "git": git[0] if git else None}
+    if a.summary and a.keys is None and not a.at:
+        return navigate.overview(index, meta)
+    return _shown(navigate.document(index, meta), a)
+
+
+def _shown(made: dict, a: argparse.Namespace):
+    """The document, or the part of it that the flags name."""
+    from . import navigate
+
     if a.keys is not None:
         return navigate.keys(made, a.keys, a.limit)
     if a.at:
         return navigate.extract(made, a.at, a.limit)
-    return {k: made[k] for k in ("meta", "summary", "badges")} if a.summary else made
+    return {k: made.get(k) for k in ("meta", "summary", "badges")} if a.summary else made
 
 
 def main(arguments: list[str] | None = None) -> int:

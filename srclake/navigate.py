@@ -34,18 +34,35 @@ SECTIONS = {
 }
 
 
-def document(index, meta: dict | None = None) -> dict:
-    """All sections of an index of one project in a dict; ``CodeIndex.save`` is the form for larger ones."""
+def overview(index, meta: dict | None = None) -> dict:
+    """Meta, summary and badges alone."""
     from .analyses import badges
 
     summary = {r.name: r.value for r in index.summary_values().collect()}
-    out = {"meta": meta or {}, "summary": summary, "badges": badges(summary)}
+    return {"meta": meta or {}, "summary": summary, "badges": badges(summary)}
+
+
+def document(index, meta: dict | None = None) -> dict:
+    """All sections of an index of one project in a dict; ``CodeIndex.save`` is the form for larger ones."""
+    out = overview(index, meta)
     for name, table in SECTIONS.items():
         rows = [json.loads(r[0]) for r in table(index).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
         out[name] = sorted(rows, key=lambda r: json.dumps(r, sort_keys=True))
     return out
 
 
+def load(path: str) -> dict:
+    """A document that was written as JSON."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+    except json.JSONDecodeError as e:
+        raise ValueError(f"{path} is no JSON: {e}") from None
+    if not isinstance(made, dict):
+        raise ValueError(f"{path} holds no document")
+    return made
+
+
 def schema(index) -> dict[str, str]:
     """The Spark schema of each section."""
     return {name: table(index).schema.simpleString() for name, table in SECTIONS.items()}

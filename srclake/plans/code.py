@@ -40,6 +40,7 @@ _ASKED = {
     "entry_points": lambda i: i.entry_points(),
     "impact": lambda i: i.impact("src/app/services/user_service.py"),
     "find_file": lambda i: i.find_file("user_service.py").drop("mtime"),
+    "test_files": lambda i: i.test_files(),
     "tests_for": lambda i: i.tests_for("UserService.load"),
     "test_coverage": lambda i: i.test_coverage(),
     "complexity": lambda i: i.complexity(10, 3, 1),

@@ -183,7 +183,8 @@ def test_code_slice():
     assert code_slice(lines, 1) == "def a():\n    x = 1\n\n    y = 2" and code_slice(lines, 9) == "" and len(code_slice(["def a():"] + ["    x"] * 80, 1).split("\n")) == 50
 
 
-def test_navigation(i):
+def test_navigation(i, monkeypatch):
+    monkeypatch.setattr(navigate, "SECTIONS", {k: navigate.SECTIONS[k] for k in ("files", "symbols", "models", "schemas", "todos", "websockets", "migrations", "services")})
     doc = navigate.document(i)
     assert navigate.keys(doc)["path"] == "(root)" and len(navigate.keys(doc, "", 3)["keys"]) == 3
     assert len(navigate.keys(doc, "symbols")["sample"]) == 5 and navigate.keys(doc, "symbols.0.name")["type"] == "str"
@@ -235,8 +236,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert set(run(str(TREE), "--summary", "--save", saved)) == {"meta", "summary", "badges"}
     assert run("--load", saved, "--callers", "load") and run("--load", saved, "--impact", "user_service.py") and run("--load", saved, "--tests", "load")
     assert run("--load", saved, "--doc", "load").startswith("# ") and run("--load", saved, "--search", "user load", "--search-threshold", "0.1")
-    assert run("--load", saved, "--get", "load", "--limit", "1") and run("--load", saved, "--keys")["path"] == "(root)" and "error" in run("--load", saved, "--at", "a.b")
+    assert run("--load", saved, "--get", "load", "--limit", "1")
     assert run(str(TREE), "--load", saved, "--update")["changes"].keys() == {"unchanged"} and "is_stale" in run(str(TREE), "--load", saved, "--check")
     assert isinstance(run(), ValueError) and isinstance(run("/no/such"), FileNotFoundError) and isinstance(run("--load", saved, "--check"), ValueError)
     assert isinstance(run("--load", saved, "--doc", "nope"), ValueError) and "_help" in run("--init-config") and "symbols" in run("--load", saved, "--schema")
     assert re.match(r"\{", run("--init-config"))
+    file = str(tmp_path / "made.json")
+    with open(file, "w") as f:
+        json.dump(run("--load", saved), f, default=str)
+    assert run("--load", file, "--at", "symbols", "--limit", "2")["limited_to"] == 2 and run("--load", file, "--keys")["path"] == "(root)" and "error" in run("--load", file, "--at", "a.b") and set(run("--load", file, "--summary")) == {"meta", "summary", "badges"}
+    (tmp_path / "bad.json").write_text("[")
+    assert isinstance(run("--load", str(tmp_path / "bad.json")), ValueError) and isinstance(run("--load", str(tmp_path / "none.json")), FileNotFoundError)
