@@ -247,7 +247,7 @@ def _digest(items: set) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def _score(ids, block: Block, phrases: Phrases, slop: int) -> pa.RecordBatch:
+def _score(ids, block: Block, phrases: Phrases, slop: int | None) -> pa.RecordBatch:
     hit, found, close = _hits(block, phrases, slop)
     return pa.RecordBatch.from_arrays(
         [pa.array(ids, pa.int64()), pa.array(block.lengths, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([_digest(x) for x in found]), pa.array(hit > 0), pa.array([len(x) for x in close], pa.int64())],
@@ -255,8 +255,8 @@ def _score(ids, block: Block, phrases: Phrases, slop: int) -> pa.RecordBatch:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, index_path: str | None = None, slop: int = SLOP) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, n_near.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, index_path: str | None = None, slop: int | None = None) -> DataFrame:
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and with ``slop`` n_near.
 
     n_near counts the items of which a window's words occur in order with at
     most ``slop`` other words between two, exact occurrences among them.
@@ -280,7 +280,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
                 yield _score(ids, Block.unpack(*packed), Phrases(phrases), slop)
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long"
-    return spark.read.schema(INDEX_SCHEMA).parquet(path).mapInArrow(search, schema)
+    scored = spark.read.schema(INDEX_SCHEMA).parquet(path).mapInArrow(search, schema)
+    return scored if slop is not None else scored.drop("n_near")
 
 
 def proximity_matches(index: DataFrame, phrases: dict[str, str], slop: int) -> DataFrame:

@@ -81,7 +81,8 @@ def test_decontaminate(spark, docs, empty):
                     found |= x
                     hit |= set(range(i, i + k))
         want.append((str(r.doc_id), len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)))
-    got = decontam.decontaminate(docs, items).collect()
+    got = decontam.decontaminate(docs, items, slop=2).collect()
+    assert decontam.decontaminate(docs, items).columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert sorted((str(r.doc_id), *r[1:6]) for r in got) == sorted(want) and all(r.n_near >= r.n_items for r in got)
     assert sorted(str(r.doc_id) for r in decontam.drop_contaminated(docs, items).collect()) == sorted(x[0] for x in want if not x[-1])
     assert decontam.decontaminate(empty, items).count() == 0
@@ -105,7 +106,7 @@ def test_decontaminate_near(spark):
     for r in docs.collect():
         w = r.text.split()
         want[r.doc_id] = sum(any(w[i] == x[0] and near(w, x[1:], i + 1) for i in range(len(w))) for x in (t.text.split() for t in items.collect()))
-    assert {r.doc_id: r.n_near for r in decontam.decontaminate(docs, items).collect()} == want
+    assert {r.doc_id: r.n_near for r in decontam.decontaminate(docs, items, slop=2).collect()} == want
 
 
 def test_decontaminate_unnamed_items(spark):
