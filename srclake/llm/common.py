@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -70,14 +70,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def materialize_at(df: DataFrame, path: str) -> DataFrame:
     """As ``materialize``, at a path that can be dropped later."""
     spark = df.sparkSession
-    df.write.option("compression", "zstd").parquet(path)
+    with freeing_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now, not when the driver next collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextlib.contextmanager
+def freeing_shuffles(spark: SparkSession):
+    """What is executed within leaves no shuffle files behind: its result is written, and nothing runs it again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    if before is None:  # a version without it
+        yield
+        return
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

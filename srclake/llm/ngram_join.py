@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import wordhash
-from .common import drop_path, free_name, materialize, materialize_at, release, scratch_path
+from .common import drop_path, free_name, materialize, materialize_at, scratch_path
 from .components import components
 
 _BUCKETS = 1 << 20
@@ -302,7 +302,6 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     spark = docs.sparkSession
     path = scratch_path(spark, "prefixes")
     full = materialize_at(signatures(docs, n, percent), path)
-    release(spark)
     signed = materialize(full.select("doc_id", "n", "cid"), "signed")
     classes = materialize(full.where("cid is not null").groupBy("cid").agg(F.count("*").alias("size"), F.min("doc_id").alias("rep"), F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     groups = classes.groupBy("gid").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.first("n").alias("n"), F.first("bits").alias("bits")).withColumn("nk", F.expr(f"cast(ceil(m / {_NODE}) as int)"))
@@ -311,7 +310,6 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     met = _group_pairs(full, percent).join(mine, "g").join(other, "h").select("g", "h", "n1", "n2", "b1", "b2")
     between = materialize(met.mapInArrow(_may_link(percent), "g long, h long"), "pairs")
     drop_path(spark, path)
-    release(spark)
 
     # families: a pair belongs to the smaller leader of its two groups
     around = between.union(between.select("h", "g"))
@@ -321,7 +319,6 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     led = between.join(first, "g").join(second, "h").select(F.least("l1", "l2").alias("f"), "g", "n1", "h", "n2")
     within = group.where("m > 1").select(F.col("l").alias("f"), "g", F.col("nk").alias("n1"), F.col("g").alias("h"), F.col("nk").alias("n2"))
     led = materialize(led.union(within), "families")
-    release(spark)
     sizes = led.select("f", "g").union(led.select("f", "h")).distinct().join(group.select("g", "s"), "g").groupBy("f").agg(F.sum("s").alias("total"))
     pairs = (
         led.join(sizes, "f")
@@ -334,7 +331,6 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
         .select("f", F.least("c1", "c2").alias("b1"), F.greatest("c1", "c2").alias("b2"), "g", "k1", "h", "k2")
     )
     pairs = materialize(pairs, "units")
-    release(spark)
 
     members = classes.drop("n", "bits").join(groups.select("gid", "nk"), "gid").withColumn("k", F.expr("cast(pmod(xxhash64(cid), nk) as int)")).select("gid", "k", "cid", "size", "rep")
     placed = pairs.select("f", "b1", "b2", F.col("g").alias("gid"), F.col("k1").alias("k")).union(pairs.select("f", "b1", "b2", "h", "k2")).distinct()
@@ -358,7 +354,6 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     )
     found = rows.repartition("f", "b1", "b2").sortWithinPartitions("f", "b1", "b2").mapInArrow(_verify(percent), "a binary, b binary, add long")
     found = materialize(found, "links")
-    release(spark)
 
     direct = found.where("b is null").groupBy("a").agg(F.sum("add").alias("links")).withColumnRenamed("a", "cid")
     roots = components(found.where("b is not null")).withColumnRenamed("node", "cid")
