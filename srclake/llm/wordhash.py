@@ -49,7 +49,8 @@ def _libc():
         try:
             _LIBC.append(ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None)
             if _LIBC[0]:
-                _LIBC[0].mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: fixed, or it grows with what is freed
+                _LIBC[0].mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: fixed, or it grows with what is freed
+                _LIBC[0].mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD: so much may stay for the next arrays
         except (OSError, AttributeError):  # another C library
             _LIBC[:] = [None]
     return _LIBC[0]
