@@ -212,40 +212,41 @@ class Analyses:
     # -- summary
     def summary_values(self) -> DataFrame:
         """(name, value): the counts of a scan, one row each."""
-        count = lambda name, df: df.agg(F.count("*").cast("double").alias("value")).select(F.lit(name).alias("name"), "value")
-        s, f, r, e = self.table("symbol"), self.files(), self.roles(), self.endpoints()
-        duplicates, orphans, covered = self.duplicates(), self.orphan_summary(), self.test_coverage()
-        one = lambda name, df, value: df.agg(F.coalesce(value.cast("double"), F.lit(0.0)).alias("value")).select(F.lit(name).alias("name"), "value")
-        named = lambda kind: s.where(F.col("kind") == kind)
-        documented = lambda kind: named(kind).where("docstring is not null and docstring <> ''")
+
+        def values(df: DataFrame, **found: Column) -> DataFrame:
+            """(name, value) rows of aggregates over one pass of a table."""
+            row = df.agg(*(F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in found.items()))
+            return row.select(F.expr(f"stack({len(found)}, {', '.join(f"'{n}', {n}" for n in found)}) as (name, value)"))
+
+        n, is_ = F.count("*"), lambda kind: F.col("kind") == kind
+        documented = F.coalesce(F.col("docstring") != "", F.lit(False))
         parts = [
-            count("total_files", f),
-            one("total_lines", f, F.sum("lines")),
-            count("todos_count", self.table("todo")),
-            one("env_vars_count", self.table("env").where("source <> 'dotenv'"), F.countDistinct("source", "name")),
-            count("api_endpoints_count", e),
-            count("auth_required_endpoints", e.where("auth_required")),
-            count("schemas_count", self.table("schema")),
-            count("database_tables_count", self.table("model")),
-            one("test_coverage_percent", covered, F.round(100.0 * F.count("test") / F.greatest(F.count("*"), F.lit(1)), 1)),
-            count("external_http_calls", self.table("http")),
-            count("complexity_issues", self.complexity()),
-            count("middleware_count", self.table("middleware")),
-            count("websocket_endpoints", self.table("websocket")),
-            count("migrations_count", self.table("migration")),
-            one("orphaned_files_count", orphans, F.max("orphaned_count")),
-            one("orphaned_lines", orphans, F.max("orphaned_lines")),
-            count("total_functions", named("function")),
-            count("total_classes", named("class")),
-            count("total_methods", named("method")),
-            count("documented_functions", documented("function")),
-            count("documented_classes", documented("class")),
-            one("call_graph_entries", self.calls(), F.countDistinct("caller")),
-            count("potential_duplicate_groups", duplicates),
-            one("total_duplicated_functions", duplicates, F.sum("n")),
-            count("entry_points_count", self.entry_points()),
-            one("max_call_depth", self.flows(), F.max("depth")),
-            *(count(f"{role}_functions", r.where(F.col("role") == role)) for role in ("core", "hub", "utility", "isolated")),
+            values(self.files(), total_files=n, total_lines=F.sum("lines")),
+            values(self.table("todo"), todos_count=n),
+            values(self.table("env").where("source <> 'dotenv'"), env_vars_count=F.countDistinct("source", "name")),
+            values(self.endpoints(), api_endpoints_count=n, auth_required_endpoints=F.count_if("auth_required")),
+            values(self.table("schema"), schemas_count=n),
+            values(self.table("model"), database_tables_count=n),
+            values(self.test_coverage(), test_coverage_percent=F.round(100.0 * F.count("test") / F.greatest(n, F.lit(1)), 1)),
+            values(self.table("http"), external_http_calls=n),
+            values(self.complexity(), complexity_issues=n),
+            values(self.table("middleware"), middleware_count=n),
+            values(self.table("websocket"), websocket_endpoints=n),
+            values(self.table("migration"), migrations_count=n),
+            values(self.orphan_summary(), orphaned_files_count=F.max("orphaned_count"), orphaned_lines=F.max("orphaned_lines")),
+            values(
+                self.table("symbol"),
+                total_functions=F.count_if(is_("function")),
+                total_classes=F.count_if(is_("class")),
+                total_methods=F.count_if(is_("method")),
+                documented_functions=F.count_if(is_("function") & documented),
+                documented_classes=F.count_if(is_("class") & documented),
+            ),
+            values(self.calls(), call_graph_entries=F.countDistinct("caller")),
+            values(self.duplicates(), potential_duplicate_groups=n, total_duplicated_functions=F.sum("n")),
+            values(self.entry_points(), entry_points_count=n),
+            values(self.flows(), max_call_depth=F.max("depth")),
+            values(self.roles(), **{f"{role}_functions": F.count_if(F.col("role") == role) for role in ("core", "hub", "utility", "isolated")}),
         ]
         out = parts[0]
         for p in parts[1:]:
