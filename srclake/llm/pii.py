@@ -3,8 +3,9 @@
 Each value is a number below the size of its format's domain. A balanced
 Feistel network over enough bits permutes it; results outside the domain, or
 not valid in the format, are permuted again (cycle walking), which keeps the
-map one-to-one. Equal values of a format get equal pseudonyms in every
-document, and nothing has to be joined or stored.
+map one-to-one. Long addresses are permuted in place, one half of their
+characters after the other, without the large number. Equal values of a format
+get equal pseudonyms in every document, and nothing has to be joined or stored.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from . import wordhash
 
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 _ROUNDS = 10
+_LONG = 3000  # characters beyond which a value is no number: arithmetic is quadratic, and Python prints 4,300 digits at most
 _MONTHS = "January February March April May June July August September October November December".split()
 _MONTH = "|".join(_MONTHS)
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -62,6 +65,20 @@ class Pseudonyms:
             if x < size and valid(x):
                 return x
 
+    def permute_places(self, places: list[int], sizes: list[int], tweak: str) -> list[int]:
+        """As ``permute``, for a number of any length, given by its digits to the bases ``sizes`` (two or more).
+
+        Each round adds to the digits of one half what a hash makes of the other.
+        """
+        x, base = np.array(places, dtype=np.uint8), np.array(sizes, dtype=np.uint8)
+        salt = hashlib.blake2b(f"{tweak}|places".encode(), digest_size=16).digest()
+        one, other = slice(0, len(x) // 2), slice(len(x) // 2, len(x))
+        for r in range(_ROUNDS):
+            f = hashlib.shake_256(self.key + salt + bytes([r]) + x[other].tobytes()).digest(8 * len(x[one]))
+            x[one] = (x[one] + (np.frombuffer(f, "<u8") % base[one]).astype(np.uint8)) % base[one]
+            one, other = other, one
+        return x.tolist()
+
     def digits(self, value: str, tweak: str, valid: Callable[[str], bool] = lambda _: True) -> str:
         n = len(value)
         return str(self.permute(int(value), 10**n, f"{tweak}{n}", lambda x: valid(str(x).zfill(n)))).zfill(n)
@@ -71,16 +88,18 @@ class Pseudonyms:
         sizes = [26 if c.isalpha() else 10 for c in value if c.isalnum()]
         if not sizes:
             return value
-        x, total = 0, 1
-        for c, s in zip((c for c in value.lower() if c.isalnum()), sizes):
-            x, total = x * s + (ord(c) - 97 if s == 26 else int(c)), total * s
+        places = [ord(c) - 97 if s == 26 else int(c) for c, s in zip((c for c in value.lower() if c.isalnum()), sizes)]
         shape = "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in value)
-        y = self.permute(x, total, tweak + shape)
-        new = []
-        for s in reversed(sizes):
-            y, d = divmod(y, s)
-            new.append(chr(97 + d) if s == 26 else str(d))
-        new = iter(reversed(new))
+        if len(places) > _LONG:
+            places = self.permute_places(places, sizes, tweak + shape)
+        else:
+            x, total = 0, 1
+            for d, s in zip(places, sizes):
+                x, total = x * s + d, total * s
+            y = self.permute(x, total, tweak + shape)
+            for i in reversed(range(len(sizes))):
+                y, places[i] = divmod(y, sizes[i])
+        new = (chr(97 + d) if s == 26 else str(d) for d, s in zip(places, sizes))
         return "".join((n.upper() if c.isupper() else n) if c.isalnum() and (n := next(new)) else c for c in value)
 
     def email(self, v: str) -> str:
@@ -171,7 +190,7 @@ class Pseudonyms:
             form = next((f for f in ("iso", "slash", "dot", "dmy", "mdy") if m.group(f)), "") if m.group("date") else ""
             kind = "date" if form else next(k for k in KINDS if m.group(k))
             if (kind, v) not in self.memo:
-                if len(self.memo) > 200_000:
+                if len(self.memo) > 200_000 or len(v) > _LONG:  # one long value at a time
                     self.memo.clear()
                 self.memo[kind, v] = self.date(v, form) if form else getattr(self, kind)(v)
             new = self.memo[kind, v]

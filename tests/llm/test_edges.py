@@ -96,6 +96,22 @@ def test_pii_edges(spark):
     assert pii.Pseudonyms(b"k").replace(text)[0] != pii.Pseudonyms(b"other").replace(text)[0]
 
 
+def test_pii_long_addresses(spark):
+    """An address of any length gets a pseudonym of its shape; short ones keep theirs."""
+    name = "Ab9." * 5000
+    values = [f"{name}x@c.org", f"{name}y@c.org", "q" * 400_000 + "@c.org", "1" * 5000 + "@c.org", f"jo@{'b' * 5000}.org"]
+    d = spark.createDataFrame([(i, f"to {v}, 10.1.2.3") for i, v in enumerate([*values, values[0]])], "doc_id long, text string")
+    got = [r.text.split(",")[0][3:] for r in pii.pseudonymise(d, b"k").orderBy("doc_id").collect()]
+    shape = lambda t: "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in t)
+    assert [shape(t) for t in got] == [shape(v) for v in [*values, values[0]]]
+    assert len(set(got) | set(values)) == 10 and got[5] == got[0] and sum(a == b for a, b in zip(got[0], got[1])) < 10_000
+    assert [r.n_email for r in pii.report(d, b"k").collect()] == [1] * 6
+    p, sizes = pii.Pseudonyms(b"k"), [26, 10, 10, 26]
+    made = {tuple(p.permute_places([a, b, c, e], sizes, "t")) for a in range(26) for b in range(10) for c in range(10) for e in range(26)}
+    assert len(made) == 26 * 10 * 10 * 26 and all(x < s for m in made for x, s in zip(m, sizes))
+    assert p.replace("jo.smith7@mail.example.org")[0] == "ct.bvikf4@sgif.kjkzkgf.org"
+
+
 def test_decontaminate_edges(spark):
     passage = " ".join(f"q{i}" for i in range(12))
     d = clash(spark.createDataFrame([(1, LONG + " " + passage), (1, passage), (2, None), (None, passage)], "doc_id long, text string"), "n_hit", "doc_ids", "terms")
