@@ -40,7 +40,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts becomes pseudonyms; rows, columns and all other text stay, null texts too."""
     for_texts(spark)
-    return pii.pseudonymise(docs, queries.pii_key(spark))
+    return pii.pseudonymise(docs, queries.run_key(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ class WordTokenizer:
             unknown, first = np.unique(h[new], return_index=True)
             first = new[first]
             data = raw.tobytes()
-            words = [data[a:b].decode() for a, b in zip(start[first].tolist(), stop[first].tolist())]
+            words = [data[a:b].decode(errors="replace") for a, b in zip(start[first].tolist(), stop[first].tolist())]
             try:
                 self._learn(unknown, words)
             except OverflowError:  # start afresh; a single text with more words than the table has none to share
@@ -106,7 +106,8 @@ class WordTokenizer:
         return ids, np.concatenate([[0], total[ends - 1]])
 
     def _plainly(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        ids = [[*self.tokenizer.encode(t or "", add_special_tokens=False).ids, self.end_id] for t in texts.to_pylist()]
+        raw = texts.cast(pa.large_binary()).to_pylist()
+        ids = [[*self.tokenizer.encode((t or b"").decode(errors="replace"), add_special_tokens=False).ids, self.end_id] for t in raw]
         return np.array([i for x in ids for i in x], dtype="<u4"), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
 
 
@@ -168,7 +169,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every id of every document lies in one piece; a null or empty text has the
-    end id only. Groups are formed by a hash of a row number, so repeated rows
+    end id only, and bytes that are no UTF-8 are read as U+FFFD. Groups are formed by a hash of a row number, so repeated rows
     or one hot id never gather. sequence_id is the group's number times 2**32
     plus the sequence within it. No rows give no rows. Only doc_id and text are
     read.

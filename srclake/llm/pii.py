@@ -223,17 +223,17 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     check (cards by Luhn, IBANs modulo 97, social security numbers) get a valid
     pseudonym of the same format and width; other numbers stay. n_chars, where
     there is one, keeps its value: it describes the source. Null and empty
-    texts stay as they are; long texts are read whole. Repeated rows give equal
-    results; no rows give no rows. Other columns pass through whatever their
-    names.
+    texts stay as they are, and bytes that are no UTF-8; long texts are read
+    whole. Repeated rows give equal results; no rows give no rows. Other columns
+    pass through whatever their names.
     """
     at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
         p = Pseudonyms(key)
         for part in wordhash.slices(batches, at):
-            texts = [p.replace(t)[0] if t else t for t in part.column(at).to_pylist()]
-            yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+            texts = [p.replace(t)[0] if t else t for t in wordhash.strings(part.column(at))]
+            yield part.set_column(at, part.schema.field(at), wordhash.array(texts, part.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -241,7 +241,8 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
 def report(docs: DataFrame, key: bytes) -> DataFrame:
     """Per document: doc_id, the count of each kind, their sum n_pii, and the pseudonymised text.
 
-    A null text stays null and has no personal data; long texts are read whole.
+    A null text stays null and has no personal data; long texts are read whole,
+    and bytes that are no UTF-8 stay.
     Repeated rows give equal results; no rows give no rows. Only doc_id and
     text are read, so other columns may have any names.
     """
@@ -251,12 +252,12 @@ def report(docs: DataFrame, key: bytes) -> DataFrame:
         for part in wordhash.slices(batches, 1):
             ids, texts = part.column(0), []
             counts = {k: [] for k in KINDS}
-            for t in part.column(1).to_pylist():
+            for t in wordhash.strings(part.column(1)):
                 new, n = p.replace(t) if t else (t, {})
                 texts.append(new)
                 for k in KINDS:
                     counts[k].append(n.get(k, 0))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), *(pa.array(counts[k], pa.int64()) for k in KINDS)], names=["doc_id", "text", *(f"n_{k}" for k in KINDS)])
+            yield pa.RecordBatch.from_arrays([ids, wordhash.array(texts, pa.string()), *(pa.array(counts[k], pa.int64()) for k in KINDS)], names=["doc_id", "text", *(f"n_{k}" for k in KINDS)])
 
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS))
     return made.withColumn("n_pii", sum((F.col(f"n_{k}") for k in KINDS), F.lit(0)).cast("long"))

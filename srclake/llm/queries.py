@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from secrets import token_bytes
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,7 +61,7 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(_read(spark, sf_dir, "documents"), pii_key(spark))
+    return pii.report(_read(spark, sf_dir, "documents"), run_key(spark))
 
 
 def pii_key(spark: SparkSession) -> bytes:
@@ -69,6 +72,22 @@ def pii_key(spark: SparkSession) -> bytes:
     return (key or "for tests on a local master").encode()
 
 
+_OWN: dict[str, bytes] = {}
+
+
+def run_key(spark: SparkSession) -> bytes:
+    """As ``pii_key``, but a cluster whose session names no key gets a random one, kept in the driver as long as the application runs.
+
+    Nobody knows it, so pseudonyms stay secret; they are the same in all queries
+    of the application, and not those of another.
+    """
+    try:
+        return pii_key(spark)
+    except ValueError:
+        warnings.warn("srclake.pii.key is not set: pseudonyms of this application will not match those of another", stacklevel=2)
+        return _OWN.setdefault(spark.sparkContext.applicationId, token_bytes(32))
+
+
 QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_wrapper_extract, op3_secrets, op4_ngram_jaccard, op5_warc_revisits, op6_decontaminate, op7_nn_descent, op8_toxicity, op9_pack, op10_pii_feistel, benchmark_near_matches)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -168,7 +168,8 @@ class Index:
         query = np.zeros((rows, len(self._maxima)), dtype=np.float32)
         query[doc[long], at[long]] = w[long]
         place, of = _spread(self.first[term[short]], self.first[term[short] + 1])
-        sims = np.bincount(doc[short][of] * self._entries + self.entry[place], w[short][of] * self.weight[place], minlength=rows * self._entries).reshape(rows, -1, _BLOCK)
+        sims = np.bincount(doc[short][of] * self._entries + self.entry[place], w[short][of] * self.weight[place], minlength=rows * self._entries)
+        sims = sims.astype(np.float64, copy=False).reshape(rows, -1, _BLOCK)  # of no short list at all, bincount makes integers
         bound = sims.max(axis=2) + query @ self._maxima
         seen = np.zeros(bound.shape, dtype=bool)
 

@@ -39,6 +39,23 @@ def slices(batches, at: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
         trim()
 
 
+def strings(texts: pa.Array) -> list[str | None]:
+    """The texts as Python has them; bytes that are no UTF-8, which Spark lets pass, as lone surrogates."""
+    try:
+        return texts.to_pylist()
+    except UnicodeDecodeError:
+        return [None if t is None else t.decode(errors="surrogateescape") for t in texts.cast(pa.large_binary()).to_pylist()]
+
+
+def array(texts: list[str | None], kind: pa.DataType) -> pa.Array:
+    """The Arrow column of what ``strings`` gave, with the bytes of old for lone surrogates."""
+    try:
+        return pa.array(texts, kind)
+    except UnicodeEncodeError:
+        raw = [None if t is None else t.encode(errors="surrogateescape") for t in texts]
+        return pa.array(raw, pa.large_binary() if pa.types.is_large_string(kind) else pa.binary()).view(kind)
+
+
 _LIBC: list = []
 
 

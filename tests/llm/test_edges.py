@@ -1,11 +1,15 @@
 """Odd rows of every operator: clashing columns, repeated rows, very long and very deep inputs, empty tables."""
 
+import itertools
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from srclake.llm import common, decontam, html_extract, nn_descent, pii, queries, toxicity, warc, wordhash
+import corpus_pipeline
+from srclake.llm import common, decontam, html_extract, nn_descent, packing, pii, queries, toxicity, warc, wordhash
 
 LONG = " ".join(f"w{i % 9973}" for i in range(200_000))
 
@@ -139,6 +143,50 @@ def test_shared_folder_and_keys(spark):
     assert common.qualified(spark, "/tmp/x").startswith("file:///tmp/x") and common.filesystem("file:///tmp/x")[1] == "/tmp/x"
 
 
+def test_stages_on_a_cluster_without_a_key(spark):
+    """The session names no key: one of the application serves all its queries."""
+
+    class Cluster:
+        conf = spark.conf
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app-1"
+
+    d = spark.createDataFrame([(i, "mail a.b@c.org or b.c@d.org") for i in range(6)], "doc_id long, text string").repartition(3)
+    with pytest.warns(UserWarning, match="srclake.pii.key"):
+        one, two = ({r.text for r in corpus_pipeline.private(Cluster, d, "").collect()} for _ in range(2))
+    assert one == two and len(one) == 1 and "a.b@c.org" not in one.pop()
+    key = queries.run_key(Cluster)
+    Cluster.sparkContext.applicationId = "app-2"
+    assert len(key) == 32 and queries.run_key(Cluster) != key and queries.run_key(spark) == queries.pii_key(spark)
+
+
+def test_bytes_that_are_no_utf8(spark):
+    """They pass pseudonymisation as they are, and packing as U+FFFD."""
+    from tokenizers import Tokenizer
+
+    raw = [b"x \xff\xfe mail a.b@c.org \xe6\xbc", b"\xed\xa0\x80", b"caf\xe9s plain", b"mail a.b@c.org", None, b""]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(raw)], "doc_id long, raw binary").select("doc_id", F.expr("cast(raw as string)").alias("text"))
+    got = {r.doc_id: r.raw for r in pii.pseudonymise(d, b"k").select("doc_id", F.expr("cast(text as binary)").alias("raw")).collect()}
+    mail = pii.Pseudonyms(b"k").replace("mail a.b@c.org")[0].encode()
+    assert [got[i] for i in range(6)] == [raw[0].replace(raw[3], mail), raw[1], raw[2], mail, None, b""]
+    assert {r.doc_id: r.n_pii for r in pii.report(d, b"k").select("doc_id", "n_pii").collect()} == {0: 1, 1: 0, 2: 0, 3: 1, 4: 0, 5: 0}
+    t = Tokenizer.from_file(queries.TOKENIZER)
+    ids = [[*t.encode((x or b"").decode(errors="replace"), add_special_tokens=False).ids, 1] for x in raw]
+    made = packing.pack(d, queries.TOKENIZER).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in made} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)} and len(made) == 6
+    plain = packing.WordTokenizer(queries.TOKENIZER, 1)._plainly(pa.array(raw, pa.binary()).view(pa.string()))[0]
+    assert plain.tolist() == [i for x in ids for i in x]
+
+
+def test_toxicity_of_frequent_words_only(spark):
+    """Every word is in many examples, so that no text has a short list."""
+    texts = [" ".join(f"w{i}" for i in some) for some in itertools.combinations(range(12), 6)]
+    labels = spark.createDataFrame([(i, int("w0 " in t)) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    got = toxicity.toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), labels).collect()
+    assert len(got) == 924 and all((r.score > 0.5) == ("w0 " in texts[r.doc_id]) for r in got)
+
+
 def test_slices_cover_all_rows():
     texts = pa.array(["a" * n for n in (0, 5, 3_000_000, 1, 2)] + [None])
     parts = list(wordhash.slices([pa.RecordBatch.from_arrays([texts], names=["t"])], 0))
