@@ -201,11 +201,34 @@ def _unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return some[good], flat[good] / norm[good, None]
 
 
+_SIDE = 512  # queries compared at once, with twice as many vectors
+
+
+def _merge_nearest(best: np.ndarray, who: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+    """Take vectors into the rows of each query's nearest, in place: scores ``best``, falling, and ids ``who``.
+
+    The product only finds candidates: its last digits depend on a vector's
+    place in it, and equal vectors must tie.
+    """
+    row, at = np.nonzero(q @ x.T >= best[:, -1:] - 1e-9)
+    step = max(1, (1 << 20) // q.shape[1])
+    s = np.concatenate([np.zeros(0), *((q[row[i : i + step]] * x[at[i : i + step]]).sum(axis=1) for i in range(0, len(row), step))])
+    edge = best[row, -1]
+    keep = (s > edge) | (s == edge) & (ids[at] < who[row, -1])
+    row, s, w = row[keep], s[keep], ids[at[keep]]
+    some, k = np.unique(row), best.shape[1]
+    row, s, w = np.concatenate([np.repeat(some, k), row]), np.concatenate([best[some].ravel(), s]), np.concatenate([who[some].ravel(), w])
+    order = np.lexsort((w, -s, row))
+    order = order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < k]
+    best[some], who[some] = s[order].reshape(-1, k), w[order].reshape(-1, k)
+
+
 def cosine_topk_each(queries: DataFrame, vectors: DataFrame, id_col: str, vec: str, k: int = 10, least: float = 0.3, block: int = 4096) -> DataFrame:
     """(query_id, id, score): for each query the k nearest of all vectors by cosine, without those below ``least``; ties by id.
 
-    Queries go in blocks of bounded size, each broadcast once; a task keeps the k
-    nearest of each query, so little is shuffled. No queries or no vectors give
+    Queries go in blocks of bounded size, each broadcast once; a task compares
+    them in squares of bounded size and keeps the k nearest of each query, however
+    many tie, so little is held or shuffled. No queries or no vectors give
     no rows; a null or zero vector, or one of another width, is near nothing.
     """
     spark, schema = vectors.sparkSession, f"query_id long, {id_col} long, _s double"
@@ -218,22 +241,17 @@ def cosine_topk_each(queries: DataFrame, vectors: DataFrame, id_col: str, vec: s
 
         def nearest(batches, shared=shared):
             names, q = shared.value
-            best, who = np.full((len(names), 0), -2.0), np.zeros((len(names), 0), np.int64)
+            best, who = np.full((len(names), k), np.nextafter(least, -np.inf)), np.full((len(names), k), np.iinfo(np.int64).max)
             for batch in batches:
                 at, x = _unit_rows(batch.column(1))
                 if not len(at) or x.shape[1] != q.shape[1]:
                     continue
-                sims = np.hstack([best, q @ x.T])
-                ids = np.hstack([who, np.broadcast_to(batch.column(0).to_numpy()[at], (len(names), len(at)))])
-                if sims.shape[1] > 4 * k:  # few remain, and ties at the edge with them
-                    edge = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
-                    width = int((sims >= edge[:, None]).sum(axis=1).max())
-                    part = np.argpartition(-sims, width - 1, axis=1)[:, :width]
-                    sims, ids = np.take_along_axis(sims, part, axis=1), np.take_along_axis(ids, part, axis=1)
-                best, who = sims, ids
-            order = np.lexsort((who, -best), axis=1)[:, :k]
-            row = np.repeat(np.arange(len(names)), order.shape[1])
-            s, w = np.take_along_axis(best, order, axis=1).ravel(), np.take_along_axis(who, order, axis=1).ravel()
+                ids = batch.column(0).to_numpy()[at]
+                for i in range(0, len(names), _SIDE):
+                    for j in range(0, len(at), 2 * _SIDE):
+                        _merge_nearest(best[i : i + _SIDE], who[i : i + _SIDE], q[i : i + _SIDE], x[j : j + 2 * _SIDE], ids[j : j + 2 * _SIDE])
+            row, place = np.nonzero(best >= least)
+            s, w = best[row, place], who[row, place]
             yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(w), pa.array(s)], names=["query_id", id_col, "_s"])
 
         found = found.union(vectors.select(F.col(id_col).cast("long"), vec).mapInArrow(nearest, schema))
